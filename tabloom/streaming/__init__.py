@@ -1,0 +1 @@
+"""Nothing here: the data model is finite tables, so there are no streaming operators."""
