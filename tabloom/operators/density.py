@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref
-from tabloom.operators.points import BLOCK, chunk_of, merged_points, point, squared_distances, stack
+from tabloom.operators.points import BLOCK, chunk_of, merged_points, point, renewed, squared_distances, stack
 from tabloom.plans.ordered import running_sums
 from tabloom.session import settle
 
@@ -68,7 +68,8 @@ def _meet(
         )
 
     keys = ("cell", "hc", "vc")
-    left, right = keyed(home, "h", "v", "hc", "vc"), keyed(visiting, "v", "h", "vc", "hc")
+    left = keyed(home, "h", "v", "hc", "vc")
+    right = renewed(keyed(visiting, "v", "h", "vc", "hc"))
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(work, schema)
 
 

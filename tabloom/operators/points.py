@@ -60,3 +60,8 @@ def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def chunk_of(key: Column, chunks: Column) -> Column:
     """An even chunk number in 0 .. chunks-1 for a row key."""
     return F.pmod(F.xxhash64(key), F.greatest(chunks, F.lit(1))).cast("int")
+
+
+def renewed(df: DataFrame) -> DataFrame:
+    """The same columns under new identities, so that a table can meet itself in a cogroup."""
+    return df.select([F.col(c).alias(c) for c in df.columns])

@@ -174,7 +174,7 @@ def numeric_profile(df: DataFrame, names: list[str] | None = None, exact: bool =
         if not exact:
             parts += [
                 F.percentile_approx(x, _FRACTIONS, 10_000).alias("quartiles"),
-                F.approx_count_distinct(x, 0.01).alias("u"),
+                F.hll_sketch_estimate(F.hll_sketch_agg(F.when(x.isNotNull(), F.xxhash64(x)), 14)).alias("u"),
             ]
         return F.struct(*parts)
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref, share
-from tabloom.operators.points import BLOCK, chunk_of, merged_points, point, squared_distances, stack
+from tabloom.operators.points import BLOCK, chunk_of, merged_points, point, renewed, squared_distances, stack
 
 _SUMS = "id bigint, cluster bigint, total double"
 
@@ -74,7 +74,7 @@ def silhouette(
     # A point meets the blocks from its own one on as left side, those up to it as right side.
     left = placed.withColumns({"i": F.col("b"), "j": F.explode(F.sequence(F.col("b"), F.lit(blocks - 1)))})
     right = placed.withColumns({"j": F.col("b"), "i": F.explode(F.sequence(F.lit(0), F.col("b")))})
-    sums = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(_block_pair, _SUMS)
+    sums = left.groupBy("i", "j").cogroup(renewed(right).groupBy("i", "j")).applyInPandas(_block_pair, _SUMS)
     totals = sums.groupBy("id", "cluster").agg(F.sum("total").alias("total"))
 
     own = points.select("id", "w", F.col("cluster").alias("own"))

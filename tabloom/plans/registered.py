@@ -180,9 +180,9 @@ def missing_total(spark, folder):
 def numeric_sql(columns, source: str) -> str:
     return union_sql(
         [
-            f"SELECT '{c}' AS \"column\", round(avg({c}::DOUBLE), 6) AS mean, round(stddev_samp({c}::DOUBLE), 6) AS std, "
-            f"min({c})::DOUBLE AS \"min\", max({c})::DOUBLE AS \"max\", round(quantile_cont({c}::DOUBLE, 0.25), 6) AS q25, "
-            f"round(quantile_cont({c}::DOUBLE, 0.5), 6) AS median, round(quantile_cont({c}::DOUBLE, 0.75), 6) AS q75, "
+            f"SELECT '{c}' AS \"column\", round(avg({c}::DOUBLE), 7) AS mean, round(stddev_samp({c}::DOUBLE), 7) AS std, "
+            f"min({c})::DOUBLE AS \"min\", max({c})::DOUBLE AS \"max\", round(quantile_cont({c}::DOUBLE, 0.25), 7) AS q25, "
+            f"round(quantile_cont({c}::DOUBLE, 0.5), 7) AS median, round(quantile_cont({c}::DOUBLE, 0.75), 7) AS q75, "
             f"count(DISTINCT {c}) AS unique_count FROM {source}"
             for c in columns
         ]
@@ -191,12 +191,12 @@ def numeric_sql(columns, source: str) -> str:
 
 @query("numeric_profile", numeric_sql(LINEITEM_NUMBERS, "lineitem"))
 def numeric_profile(spark, folder):
-    return rounded(profile.numeric_profile(table(spark, folder, "lineitem")))
+    return rounded(profile.numeric_profile(table(spark, folder, "lineitem")), 7)
 
 
 @query("numeric_profile_with_gaps", numeric_sql(LINEITEM_NUMBERS, GAPPY))
 def numeric_profile_with_gaps(spark, folder):
-    return rounded(profile.numeric_profile(gappy_lineitem(spark, folder)))
+    return rounded(profile.numeric_profile(gappy_lineitem(spark, folder)), 7)
 
 
 @query("numeric_profile_sketched")
@@ -257,7 +257,7 @@ COLUMN_PROFILE_SQL = (
 def column_profile(spark, folder):
     _, columns = profile.profile(gappy_lineitem(spark, folder).drop("l_shipdate"))
     return rounded(
-        columns.select("column", "missing_pct", "mean", "std", "median", "unique_count", "top_value", "top_freq")
+        columns.select("column", "missing_pct", "mean", "std", "median", "unique_count", "top_value", "top_freq"), 7
     )
 
 
@@ -549,7 +549,9 @@ def binning_values_sql(column: str, key: str, source: str) -> str:
     return (
         f"WITH coded AS (SELECT {key}, CASE WHEN {column} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY {column} NULLS LAST) - 1 END AS code FROM {source}), "
         "shape AS (SELECT least(10, count(DISTINCT CASE WHEN code >= 0 THEN code END)) AS q FROM coded), "
-        "edges AS (SELECT DISTINCT quantile_cont(code::DOUBLE, k / 10.0) AS e FROM coded, range(0, 11) AS r(k) GROUP BY k) "
+        "sorted AS (SELECT code, row_number() OVER (ORDER BY code) - 1 AS pos FROM coded), "
+        "places AS (SELECT ((SELECT count(*) FROM coded) - 1) * (k / (SELECT q FROM shape)::DOUBLE) AS p FROM range(0, 11) AS r(k) WHERE k <= (SELECT q FROM shape)), "
+        "edges AS (SELECT DISTINCT a.code + (b.code - a.code) * (p - floor(p)) AS e FROM places JOIN sorted a ON a.pos = floor(p) JOIN sorted b ON b.pos = ceil(p)) "
         f"SELECT {key}, greatest(0, (SELECT count(*) FROM edges WHERE e < code) - 1)::INTEGER AS bin FROM coded"
     )
 
@@ -572,11 +574,11 @@ def bin_categorical_with_nulls(spark, folder):
 
 @query(
     "derive_formula",
-    "SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice * (1 - l_discount) / (l_quantity + 1) - -2, 6) AS net FROM lineitem",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice * (1 - l_discount) / (l_quantity + 1) - -2 AS net FROM lineitem",
 )
 def derive_formula(spark, folder):
     df = derive(table(spark, folder, "lineitem"), "net", "l_extendedprice * (1 - l_discount) / (l_quantity + 1) - -2")
-    return rounded(df.select("l_orderkey", "l_linenumber", "l_partkey", "net"))
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", "net")
 
 
 @query(
