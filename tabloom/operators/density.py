@@ -188,9 +188,10 @@ def dbscan(
     ).select("root", (F.col("upto") - 1).alias("number"))
     labelled = (
         points.join(roots, "id", "left").join(numbers, "root", "left")
-        .select("x", F.coalesce("number", F.lit(NOISE)).cast("int").alias(label))
+        .select(F.col("x").alias("_point"), F.coalesce("number", F.lit(NOISE)).cast("int").alias("_number"))
     )
-    key = point(df, features)
-    return df.withColumn("_x", key).join(labelled, F.col("_x") == F.col("x")).select(
-        *map(ref, df.columns), label
+    return df.withColumn("_own_point", point(df, features)).join(
+        labelled, F.col("_own_point") == F.col("_point")
+    ).select(
+        *map(ref, df.columns), F.col("_number").alias(label)
     )

@@ -10,18 +10,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tabloom.functions.columns import (
     as_double,
-    is_fractional,
-    is_integral,
     literal_rows,
     present,
     ref,
 )
 from tabloom.functions.roles import column_roles
-from tabloom.plans.ordered import quantiles
+from tabloom.plans.ordered import by_family, fits_directly, quantiles, value_facts
 
 HIGH_MISSING_PCT = 50.0
 
@@ -119,18 +116,8 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
 
 def distinct_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
     """Exact distinct non-null values per column, compared in the column's own type."""
-    families: dict[str, list[str]] = {}
-    for name in names:
-        dtype = df.schema[name].dataType
-        family = (
-            "bigint" if is_integral(dtype)
-            else dtype.simpleString() if isinstance(dtype, T.DecimalType)
-            else "double" if is_fractional(dtype)
-            else "string"
-        )
-        families.setdefault(family, []).append(name)
     result: dict[str, int] = {}
-    for family, members in families.items():
+    for family, members in by_family(df, names).items():
         slim = df.select(
             [present(df, n).cast(family).alias(str(i)) for i, n in enumerate(members)]
         )
@@ -182,8 +169,13 @@ def numeric_profile(df: DataFrame, names: list[str] | None = None, exact: bool =
     found = dict(zip(names, row, strict=True))
     if exact:
         counts = {n: f.n for n, f in found.items()}
-        quartiles = quantiles(df, names, _FRACTIONS, counts)
-        distinct = distinct_counts(df, names)
+        if fits_directly(counts):
+            facts_of = value_facts(df, names, _FRACTIONS, counts)
+            quartiles = {n: q for n, (q, _) in facts_of.items()}
+            distinct = {n: u for n, (_, u) in facts_of.items()}
+        else:
+            quartiles = quantiles(df, names, _FRACTIONS, counts)
+            distinct = distinct_counts(df, names)
     else:
         quartiles = {n: f.quartiles or [None] * 3 for n, f in found.items()}
         distinct = {n: f.u for n, f in found.items()}

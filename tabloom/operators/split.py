@@ -1,9 +1,9 @@
 """Repeatable train / test split and class weights.
 
-A row's place in the split is decided by the md5 of its content, so it does not
-depend on partitions, row order or engine.  Exact shares come from histograms
-of hash prefixes: only the rows of the one prefix a class is cut at are ever
-ordered, and all other rows are split by a comparison.
+A row's place in the split is decided by a hash of its content, so it does not
+depend on partitions or row order.  Exact shares come from histograms
+of hash prefixes, which find each class's greatest test hash; the split itself
+is then a comparison with it.
 """
 
 from __future__ import annotations
@@ -18,8 +18,8 @@ from tabloom.functions.columns import content_hash, ref, text_of
 
 TEST_SHARE = 0.25
 SEED = 42
-#: Rows of one cut prefix that may be ordered in one task.
-SINGLE_TASK_ROWS = 200_000
+#: Hashes of one class that may be ordered in one task.
+SINGLE_TASK_ROWS = 500_000
 _PREFIX_DIGITS = 3  # hex digits a level: 4096 prefixes per class
 _DIGITS = 32
 _COPIES_PER_ROW = 100_000
@@ -36,39 +36,37 @@ def _class_key(by: str | None) -> Column:
     return F.lit("") if by is None else text_of(ref(by))
 
 
-def _cuts(keyed: DataFrame, wanted: DataFrame, limit: int) -> tuple[DataFrame, int, int]:
-    """Per class: hash prefix it is cut at, rows still needed inside it; prefix length, widest prefix.
+def _last_hashes(keyed: DataFrame, wanted: list[tuple[str, int, int]], limit: int) -> list[tuple[str, str, int, int]]:
+    """Per class: greatest test hash, rows of that hash to take, rows that have it.
 
-    ``wanted`` holds (_class, _need).  Prefixes are lengthened until every cut one
-    is small enough to order, or the whole hash is used up (copies of one row).
+    ``wanted`` holds (class, test rows, rows).  Histograms of ever longer hash prefixes
+    narrow a class down to at most ``limit`` rows (copies of one row stay one entry),
+    then its full hashes are counted in order.
     """
-    digits = 0
-    open_cuts = wanted.select("_class", F.lit("").alias("_cut"), "_need")
-    widest = 0
+    cuts = [(name, "", need) for name, need, _ in wanted]
+    widest = max((n for _, _, n in wanted), default=0)
+    known = digits = 0
     while digits < _DIGITS:
-        digits = min(_DIGITS, digits + _PREFIX_DIGITS)
-        inside = keyed.join(open_cuts, "_class").filter(
-            F.col("_hash").startswith(F.col("_cut"))
+        digits = _DIGITS if widest <= limit else min(_DIGITS, known + _PREFIX_DIGITS)
+        open_cuts = keyed.sparkSession.createDataFrame(cuts, "_class string, _cut string, _need bigint")
+        # One row per class, as many as were fetched for ``wanted``.
+        inside = keyed.join(F.broadcast(open_cuts), "_class")
+        if known:
+            inside = inside.filter(F.substring("_hash", 1, known) == F.col("_cut"))
+        histogram = inside.groupBy("_class", "_need", F.substring("_hash", 1, digits).alias("_prefix")).agg(
+            F.count(F.lit(1)).alias("_n")
         )
-        histogram = inside.groupBy(
-            "_class", F.substring("_hash", 1, digits).alias("_prefix")
-        ).agg(F.count(F.lit(1)).alias("_n"), F.first("_need").alias("_need"))
-        # At most 4096 prefixes per class are left, so this window is small.
+        # At most 4096 longer prefixes, or ``limit`` full hashes, are left of a class.
         upto = Window.partitionBy("_class").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-        placed = histogram.withColumn("_upto", F.sum("_n").over(upto)).filter(
-            (F.col("_upto") >= F.col("_need")) & (F.col("_upto") - F.col("_n") < F.col("_need"))
+        rows = (
+            histogram.withColumn("_over", F.sum("_n").over(upto) - F.col("_need"))
+            .filter((F.col("_over") >= 0) & (F.col("_over") < F.col("_n")))
+            .select("_class", "_prefix", (F.col("_n") - F.col("_over")).alias("_need"), "_n")
+            .collect()
         )
-        rows = placed.select(
-            "_class", F.col("_prefix").alias("_cut"),
-            (F.col("_need") - (F.col("_upto") - F.col("_n"))).alias("_need"), "_n",
-        ).collect()
-        open_cuts = keyed.sparkSession.createDataFrame(
-            [(r[0], r[1], r[2]) for r in rows], "_class string, _cut string, _need bigint"
-        )
-        widest = max((r[3] for r in rows), default=0)
-        if widest <= limit:
-            break
-    return open_cuts, digits, widest
+        cuts = [(r[0], r[1], r[2]) for r in rows]
+        widest, known = max((r[3] for r in rows), default=0), digits
+    return [tuple(r) for r in rows]
 
 
 def _copies(rows: DataFrame, count: Column, flag: bool) -> DataFrame:
@@ -90,6 +88,7 @@ def train_test_split(
     by: str | None = None,
     seed: int = SEED,
     limit: int = SINGLE_TASK_ROWS,
+    method: str = "xxhash64",
 ) -> DataFrame:
     """Add ``is_test``: exactly ceil(share * n) rows of each class, or of the whole table.
 
@@ -98,43 +97,26 @@ def train_test_split(
     split is not stratified.  The class list must fit the driver; it is one row per class.
     """
     names = df.columns
-    keyed = df.withColumns({"_class": _class_key(by), "_hash": content_hash(names, seed)})
+    keyed = df.withColumns({"_class": _class_key(by), "_hash": content_hash(df, seed, method)})
     sizes = keyed.groupBy("_class").agg(F.count(F.lit(1)).alias("n")).collect()
     total = sum(r.n for r in sizes)
     if by is not None and not _can_stratify([r.n for r in sizes], total, share):
-        return train_test_split(df, share, None, seed, limit)
-    wanted = df.sparkSession.createDataFrame(
-        [(r["_class"], math.ceil(share * r.n)) for r in sizes], "_class string, _need bigint"
-    )
-    slim = keyed.select("_class", "_hash")
-    cuts, digits, widest = _cuts(slim, wanted, limit)
-    # One row per class, as many as were just fetched above.
-    placed = keyed.join(F.broadcast(cuts), "_class", "left").withColumn(
-        "_prefix", F.substring("_hash", 1, digits)
-    )
-    decided = placed.filter(F.col("_cut").isNull() | (F.col("_prefix") != F.col("_cut"))).withColumn(
-        "is_test", F.coalesce(F.col("_prefix") < F.col("_cut"), F.lit(False))
-    )
-    at_cut = placed.filter(F.col("_prefix") == F.col("_cut"))
-    if widest <= limit:
-        order = Window.partitionBy("_class").orderBy("_hash")
-        ordered = at_cut.withColumn("_rank", F.row_number().over(order)).withColumn(
-            "is_test", F.col("_rank") <= F.col("_need")
-        )
-        return decided.select(*map(ref, names), "is_test").unionByName(
-            ordered.select(*map(ref, names), "is_test")
-        )
-    # The whole hash is the prefix: the rows at the cut are copies of one row per class.
-    grouped = at_cut.groupBy(*map(ref, names), "_need").agg(F.count(F.lit(1)).alias("_n"))
-    parts = [
-        decided,
-        _copies(grouped, F.col("_need"), True),
-        _copies(grouped, F.col("_n") - F.col("_need"), False),
-    ]
-    first, *rest = [p.select(*map(ref, names), "is_test") for p in parts]
-    for part in rest:
-        first = first.unionByName(part)
-    return first
+        return train_test_split(df, share, None, seed, limit, method)
+    wanted = [(r["_class"], math.ceil(share * r.n), r.n) for r in sizes]
+    found = _last_hashes(keyed.select("_class", "_hash"), wanted, limit)
+    last = df.sparkSession.createDataFrame(found, "_class string, _last string, _take bigint, _have bigint")
+    # One row per class, as many as were just fetched; so the split is one pass without a shuffle.
+    placed = keyed.join(F.broadcast(last), "_class", "left")
+    whole = placed.select(*map(ref, names), (F.col("_hash") <= F.col("_last")).alias("is_test"))
+    if all(take == have for _, _, take, have in found):
+        return whole
+    # Some copies of one row belong to either side: count them and make that many.
+    parted = (F.col("_hash") == F.col("_last")) & (F.col("_take") < F.col("_have"))
+    decided = placed.filter(~parted).select(*map(ref, names), (F.col("_hash") <= F.col("_last")).alias("is_test"))
+    grouped = placed.filter(parted).groupBy(*map(ref, names), "_take").agg(F.count(F.lit(1)).alias("_n"))
+    for rows in (_copies(grouped, F.col("_take"), True), _copies(grouped, F.col("_n") - F.col("_take"), False)):
+        decided = decided.unionByName(rows.select(*map(ref, names), "is_test"))
+    return decided
 
 
 def _can_stratify(sizes: list[int], total: int, share: float) -> bool:

@@ -5,15 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import as_double, is_datetime, literal_rows, ref
+from tabloom.functions.columns import is_datetime, literal_rows, ref
 from tabloom.functions.roles import column_roles
 from tabloom.operators.gram import means, pair_sums
 from tabloom.operators.profile import distinct_counts
 
 CORRELATION_THRESHOLD = 0.7
 BINNING_THRESHOLD = 10
-#: Column pairs up to which plain SQL aggregates are used; beyond it, matrix sums.
-SQL_PAIRS = 45
 SUGGESTION_SCHEMA = "name string, type string, columns array<string>, evidence double"
 
 # Accepted date and time shapes as (pattern, format); null format = ISO.
@@ -79,29 +77,15 @@ def suggest_datetime(df: DataFrame) -> DataFrame:
     return literal_rows(df.sparkSession, rows, SUGGESTION_SCHEMA)
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    """Pairwise-complete Pearson r; null for a constant or empty pair."""
-    both = x.isNotNull() & y.isNotNull()
-    a, b = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-
-
 def correlations(df: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """(col_a, col_b, r) for every unordered pair of numeric columns with a defined r."""
-    names = column_roles(df)[0] if names is None else names
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
-    schema = "col_a string, col_b string, r double"
-    if not pairs:
-        return df.sparkSession.createDataFrame([], schema)
-    if len(pairs) <= SQL_PAIRS:
-        row = df.agg(*[_pearson(as_double(df, a), as_double(df, b)) for a, b in pairs])
-        row = row.toDF(*[f"r{i}" for i in range(len(pairs))])
-        entries = [
-            F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-        return row.select(F.explode(F.array(*entries)).alias("p")).select("p.*").filter("r is not null")
+    """(col_a, col_b, r): pairwise-complete Pearson r of every unordered numeric pair that has one.
 
+    A single SQL aggregate over all pairs outgrows code generation at some dozens of
+    pairs; the matrix sums take one pass at any number.
+    """
+    names = column_roles(df)[0] if names is None else names
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     sums = pair_sums(df, names, means(df, names))
     # The mirrored cell holds the sums of the other column over the same rows.
     mirrored = sums.select(

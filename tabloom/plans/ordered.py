@@ -12,12 +12,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabloom.functions.columns import as_double
+from tabloom.functions.columns import as_double, is_fractional, is_integral, present
 from tabloom.session import settle
 
-#: Cells (rows x columns) up to which the built-in exact percentile is used.
+#: Cells (rows x columns) up to which each column is sorted in a task of its own.
 DIRECT_CELLS = 8_000_000
 #: Rows up to which a bracket or a running sum is finished in one task.
 SINGLE_TASK_ROWS = 200_000
@@ -49,14 +50,19 @@ def _between(x: Column, rank: _Rank) -> Column:
 
 def _narrow(df: DataFrame, columns: list[Column], ranks: list[_Rank], accuracy: int) -> None:
     """Two passes: guess an inner bracket by sketch, then count exactly and keep what holds."""
-    guesses = []
+    brackets: dict[tuple, list[_Rank]] = {}
     for r in ranks:
-        centre = (r.k - r.below) / max(1, r.inside - 1)
-        spread = 2.0 / accuracy
-        fractions = [max(0.0, centre - spread), min(1.0, centre + spread)]
-        guesses.append(F.percentile_approx(_between(columns[r.slot], r), fractions, accuracy))
-    for r, guess in zip(ranks, df.agg(*guesses).first(), strict=True):
-        r.bounds = (guess[0], guess[1])
+        brackets.setdefault((r.slot, r.low, r.high), []).append(r)
+    sketches = []
+    for group in brackets.values():
+        fractions = []
+        for r in group:
+            centre, spread = (r.k - r.below) / max(1, r.inside - 1), 2.0 / accuracy
+            fractions += [max(0.0, centre - spread), min(1.0, centre + spread)]
+        sketches.append(F.percentile_approx(_between(columns[group[0].slot], group[0]), fractions, accuracy))
+    for group, guess in zip(brackets.values(), df.agg(*sketches).first(), strict=True):
+        for i, r in enumerate(group):
+            r.bounds = (guess[2 * i], guess[2 * i + 1])
 
     counts = []
     for r in ranks:
@@ -121,6 +127,61 @@ def order_statistics(
     return {key: r.value for key, r in ranks.items()}
 
 
+def fits_directly(counts: dict[str, int], direct_cells: int = DIRECT_CELLS) -> bool:
+    """Whether the distinct values of all columns may meet in a few tasks."""
+    return sum(counts.values()) <= direct_cells
+
+
+def value_facts(
+    df: DataFrame, names: list[str], fractions: list[float], counts: dict[str, int]
+) -> dict[str, tuple[list[float | None], int]]:
+    """(quantiles, distinct values) per numeric column, from its values in order.
+
+    Only for tables that :func:`fits_directly`: a column is sorted in one task.
+    """
+    result: dict[str, tuple[list[float | None], int]] = {n: ([None] * len(fractions), 0) for n in names}
+    for family, members in by_family(df, [n for n in names if counts[n]]).items():
+        slim = df.select([present(df, n).cast(family).alias(str(i)) for i, n in enumerate(members)])
+        order = Window.partitionBy("slot").orderBy("value")
+        ranked = (
+            slim.unpivot([], slim.columns, "slot", "value")
+            .filter("value is not null")
+            .select("slot", "value", F.row_number().over(order).alias("place"), F.lag("value").over(order).alias("before"))
+        )
+        # Where each quantile lies in each column: 1-based places on either side of it.
+        spots = [[(counts[n] - 1) * q for n in members] for q in fractions]
+        slot = F.col("slot").cast("int")
+
+        def value_at(places: list[int], slot=slot) -> Column:
+            wanted = F.get(F.array(*[F.lit(p + 1) for p in places]), slot)
+            return F.max(F.when(F.col("place") == wanted, F.col("value").cast("double")))
+
+        sides = [value_at([f(s) for s in spot]) for spot in spots for f in (math.floor, math.ceil)]
+        fresh = F.col("before").isNull() | (F.col("before") != F.col("value"))
+        for row in ranked.groupBy("slot").agg(F.count_if(fresh), *sides).collect():
+            index, values = int(row[0]), []
+            for k, spot in enumerate(spots):
+                low, high = row[2 + 2 * k], row[3 + 2 * k]
+                values.append(low + (high - low) * (spot[index] - math.floor(spot[index])))
+            result[members[index]] = (values, row[1])
+    return result
+
+
+def by_family(df: DataFrame, names: list[str]) -> dict[str, list[str]]:
+    """Columns by the type their values are compared in."""
+    families: dict[str, list[str]] = {}
+    for name in names:
+        dtype = df.schema[name].dataType
+        if is_integral(dtype):
+            family = "bigint"
+        elif isinstance(dtype, T.DecimalType):
+            family = dtype.simpleString()
+        else:
+            family = "double" if is_fractional(dtype) else "string"
+        families.setdefault(family, []).append(name)
+    return families
+
+
 def quantiles(
     df: DataFrame,
     names: list[str],
@@ -132,17 +193,14 @@ def quantiles(
     """Exact linearly interpolated quantiles per numeric column; null where no value is present.
 
     ``counts`` holds the present values per column, which the caller has from an
-    earlier pass.  Small tables go through the built-in ``percentile``.
+    earlier pass.  Small tables are sorted, one task per column.
     """
     filled = [n for n in names if counts[n] > 0]
     result: dict[str, list[float | None]] = {n: [None] * len(fractions) for n in names}
     if not filled:
         return result
-    if sum(counts[n] for n in filled) <= direct_cells:
-        row = df.agg(
-            *[F.percentile(as_double(df, n), [float(q) for q in fractions]) for n in filled]
-        ).first()
-        return result | {n: list(row[i]) for i, n in enumerate(filled)}
+    if fits_directly(counts, direct_cells):
+        return result | {n: q for n, (q, _) in value_facts(df, filled, fractions, counts).items()}
 
     sizes = [counts[n] for n in filled]
     places = {

@@ -771,17 +771,27 @@ def split_sql(partition: str) -> str:
 
 @query("train_test_split", split_sql("PARTITION BY l_returnflag"))
 def train_test_split(spark, folder):
-    done = split.train_test_split(hashed_lineitem(spark, folder), by="l_returnflag")
+    done = split.train_test_split(hashed_lineitem(spark, folder), by="l_returnflag", method="md5")
     return done.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "is_test")
 
 
 @query("train_test_split_unstratified", split_sql(""))
 def train_test_split_unstratified(spark, folder):
     """With a small limit, so that the cut is refined over several hash prefixes."""
-    done = split.train_test_split(hashed_lineitem(spark, folder), limit=2)
+    done = split.train_test_split(hashed_lineitem(spark, folder), limit=2, method="md5")
     return done.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "is_test")
 
 
+@query(
+    "train_test_split_sizes",
+    "SELECT l_returnflag, ceil(0.25 * count(*))::BIGINT AS test_rows, count(*) AS all_rows FROM lineitem GROUP BY l_returnflag",
+)
+def train_test_split_sizes(spark, folder):
+    """The default hash, over all columns as they are."""
+    done = split.train_test_split(table(spark, folder, "lineitem"), by="l_returnflag")
+    return done.groupBy("l_returnflag").agg(F.count_if(F.col("is_test")).alias("test_rows"), F.count(F.lit(1)).alias("all_rows"))
+
+
 @query(
     "balanced_weights",
     "SELECT doc_id, quality, (SELECT count(*) FROM labels)::DOUBLE / ((SELECT count(DISTINCT quality) FROM labels) * "
@@ -1038,12 +1048,12 @@ def failures(spark, folder):
 # ---------------------------------------------------------------- models with an SQL form
 
 def segment_fold(spark, folder) -> Fold:
-    done = split.train_test_split(customer_rows(spark, folder), by="c_mktsegment")
+    done = split.train_test_split(customer_rows(spark, folder), by="c_mktsegment", method="md5")
     return _fold(done, ["c_nationkey", "c_acctbal"], "seg")
 
 
 def balance_fold(spark, folder, inputs=("c_nationkey", "seg")) -> Fold:
-    done = split.train_test_split(customer_rows(spark, folder), by="c_mktsegment")
+    done = split.train_test_split(customer_rows(spark, folder), by="c_mktsegment", method="md5")
     return _fold(done, list(inputs), "c_acctbal")
 
 
@@ -1103,7 +1113,7 @@ def neighbours_sql(distance: str, label: str) -> str:
 )
 def knn_classifier(spark, folder):
     fold = segment_fold(spark, folder)
-    found = vote(nearest(fold.train, "label", fold.test, "id", ["x"], k=5, block=64))
+    found = vote(nearest(fold.train, "label", fold.test, "id", ["x"], k=5))
     return found.select(F.col("qid").alias("c_custkey"), "prediction")
 
 
@@ -1116,7 +1126,7 @@ def knn_classifier(spark, folder):
 )
 def knn_regressor(spark, folder):
     fold = balance_fold(spark, folder)
-    found = mean_label(nearest(fold.train, "label", fold.test, "id", ["x"], k=5, block=64))
+    found = mean_label(nearest(fold.train, "label", fold.test, "id", ["x"], k=5))
     return rounded(found.select(F.col("qid").alias("c_custkey"), "prediction"), 4)
 
 
@@ -1159,7 +1169,7 @@ DBSCAN_SQL = (
 @query("dbscan", DBSCAN_SQL)
 def dbscan_suppliers(spark, folder):
     df = prepare.standard_scale(table(spark, folder, "supplier"), ["s_nationkey", "s_acctbal"])
-    return dbscan(df, ["s_nationkey", "s_acctbal"], block=16).select("s_suppkey", "cluster")
+    return dbscan(df, ["s_nationkey", "s_acctbal"]).select("s_suppkey", "cluster")
 
 
 # ---------------------------------------------------------------- models without an SQL form
@@ -1173,7 +1183,7 @@ def _record_rows(spark: SparkSession, record: dict) -> DataFrame:
 
 def balance_flag_fold(spark, folder) -> Fold:
     """Two classes: whether a customer's balance is above 5000, from nation and segment."""
-    done = split.train_test_split(customer_rows(spark, folder), by="c_mktsegment")
+    done = split.train_test_split(customer_rows(spark, folder), by="c_mktsegment", method="md5")
     fold = _fold(done.withColumn("c_high", (F.col("c_acctbal") > 5000).cast("int")), ["c_nationkey", "seg"], "c_high")
     counts = {int(r.label): r["count"] for r in fold.train.groupBy("label").count().collect()}
     fold.classes, fold.class_rows = [0, 1], [counts.get(0, 0), counts.get(1, 0)]
