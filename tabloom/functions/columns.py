@@ -7,15 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def ref(name: str) -> Column:
-    """Reference a column whose name may hold dots, blanks or backticks."""
-    return F.col(quoted(name))
+# Column objects are costly to build one call at a time from Python (milliseconds each),
+# so whatever is repeated per column of a wide table is written as SQL text and parsed once.
 
 
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def ref(name: str) -> Column:
+    """Reference a column whose name may hold dots, blanks or backticks."""
+    return F.expr(quoted(name))
+
+
+def number_sql(value: float) -> str:
+    """A double literal."""
+    return f"double('{float(value)!r}')"
+
+
+def text_sql(value: str) -> str:
+    """A string literal that is the same under any escaping rule."""
+    return f"cast(X'{value.encode().hex()}' as string)"
+
+
 def is_fractional(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType))
 
@@ -28,16 +42,24 @@ def is_datetime(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def present(df: DataFrame, name: str) -> Column:
+def present_sql(df: DataFrame, name: str) -> str:
     """The column with NaN counted as missing, as it is in a data frame of floats."""
-    column = ref(name)
+    column = quoted(name)
     if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(column), column)
+        return f"if(isnan({column}), null, {column})"
     return column
 
 
+def double_sql(df: DataFrame, name: str) -> str:
+    return f"cast({present_sql(df, name)} as double)"
+
+
+def present(df: DataFrame, name: str) -> Column:
+    return F.expr(present_sql(df, name))
+
+
 def as_double(df: DataFrame, name: str) -> Column:
-    return present(df, name).cast("double")
+    return F.expr(double_sql(df, name))
 
 
 def share(part: Column, whole: Column) -> Column:
@@ -45,11 +67,6 @@ def share(part: Column, whole: Column) -> Column:
     return F.try_divide(part.cast("double"), whole.cast("double"))
 
 
-def finite_or_null(column: Column) -> Column:
-    """Null for NaN, otherwise the value."""
-    return F.when(~F.isnan(column), column)
-
-
 def safe_ratio(a: Column, b: Column, on_zero: str = "null") -> Column:
     """a / b on doubles; ``on_zero`` is ``"null"`` or ``"ieee"`` (signed infinity, NaN)."""
     a, b = a.cast("double"), b.cast("double")
@@ -82,9 +99,10 @@ def content_hash(df: DataFrame, seed: int, method: str = "xxhash64") -> Column:
     if method != "xxhash64":
         raise ValueError(f"unknown method {method!r}: use 'xxhash64' or 'md5'")
     # A null leaves the hash as it was, so where the nulls are has to be hashed too.
-    nulls = F.concat(*[F.when(ref(f.name).isNull(), "1").otherwise("0") for f in df.schema if f.nullable], F.lit(""))
-    halves = [F.xxhash64(F.lit(seed + i), nulls, *[ref(n) for n in df.columns]) for i in (0, 1)]
-    return F.lower(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in halves]))
+    nulls = ", ".join(f"if({quoted(f.name)} is null, '1', '0')" for f in df.schema if f.nullable)
+    values = ", ".join(quoted(n) for n in df.columns)
+    halves = [f"lpad(hex(xxhash64({seed + i}, concat('', {nulls or chr(39) * 2}), {values})), 16, '0')" for i in (0, 1)]
+    return F.expr(f"lower(concat({', '.join(halves)}))")
 
 
 def literal_rows(spark, rows: list[tuple], schema: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import ref
+from tabloom.functions.columns import quoted
 
 SEED = 42
 #: Rows a training partition should hold; small tables get few partitions, so that
@@ -51,7 +51,7 @@ class ModelSpec:
 
 def vector_rows(df: DataFrame, features: list[str], *others: str) -> DataFrame:
     """Features as array ``x`` and vector ``features``, with further columns kept."""
-    x = F.array(*[ref(f).cast("double") for f in features])
+    x = F.expr(f"array({', '.join(f'double({quoted(f)})' for f in features)})")
     return df.select(*others, x.alias("x")).withColumn("features", array_to_vector("x"))
 
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import ref
+from tabloom.functions.columns import number_sql, ref
 from tabloom.operators.points import BLOCK, chunk_of, merged_points, point, renewed, squared_distances, stack
 from tabloom.plans.ordered import running_sums
 from tabloom.session import settle
@@ -31,7 +31,7 @@ def _grid(points: DataFrame, eps: float, total: int, block: int) -> list[tuple[i
     """(feature position, cell width) of the grid: the widest features, cells of about a block's points."""
     size = points.select(F.size("x")).first()[0]
     row = points.agg(
-        *[F.struct(F.min(F.get("x", F.lit(i))).alias("low"), F.max(F.get("x", F.lit(i))).alias("high")) for i in range(size)]
+        *[F.expr(f"struct(min(x[{i}]) as low, max(x[{i}]) as high)") for i in range(size)]
     ).first()
     spans = sorted(((f.high - f.low, i) for i, f in enumerate(row)), reverse=True)[:GRID_FEATURES]
     per_side = max(1.0, (4.0 * total / block) ** (1.0 / len(spans)))
@@ -45,10 +45,11 @@ def _meet(
 
     Groups are (cell, hc, vc): a cell, a chunk of its residents, a chunk of its visitors.
     """
-    cell = [F.floor(F.get("x", F.lit(i)) / F.lit(width)).cast("bigint") for i, width in grid]
-    steps = list(combinations((-1, 0, 1), repeat=len(grid)))
-    around = F.array(*[F.array(*[c + F.lit(d) for c, d in zip(cell, step)]).cast("array<bigint>") for step in steps])
-    here = F.array(*cell).cast("array<bigint>")
+    cell = [f"bigint(floor(x[{i}] / {number_sql(width)}))" for i, width in grid]
+    steps = combinations((-1, 0, 1), repeat=len(grid))
+    shifted = [", ".join(f"{c} + {d}" for c, d in zip(cell, step, strict=True)) for step in steps]
+    around = F.expr(f"array({', '.join(f'cast(array({s}) as array<bigint>)' for s in shifted)})")
+    here = F.expr(f"cast(array({', '.join(cell)}) as array<bigint>)")
     home = residents.withColumn("cell", here)
     visiting = visitors.withColumn("cell", F.explode(around))
     # Only crowded cells are listed; Spark picks the join by the list's measured size.

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import as_double
+from tabloom.functions.columns import double_sql
 
 #: Columns up to which the full (columns x columns) matrix may reach the driver.
 MAX_COLUMNS = 4_000
@@ -47,7 +47,7 @@ def pair_sums(df: DataFrame, names: list[str], centres: list[float]) -> DataFram
     if len(names) > MAX_COLUMNS:
         raise ValueError(f"{len(names)} columns exceed the {MAX_COLUMNS} a pair matrix is kept for")
     shift = np.array(centres, dtype=float)
-    slim = df.select([as_double(df, n).alias(f"c{i}") for i, n in enumerate(names)])
+    slim = df.selectExpr(*[f"{double_sql(df, n)} as c{i}" for i, n in enumerate(names)])
     parts = slim.mapInPandas(
         lambda batches: _pair_sums(batches, shift),
         "i int, j int, n double, sx double, sxx double, sxy double",
@@ -57,5 +57,5 @@ def pair_sums(df: DataFrame, names: list[str], centres: list[float]) -> DataFram
 
 def means(df: DataFrame, names: list[str]) -> list[float]:
     """Column means, 0 for a column without values."""
-    row = df.agg(*[F.avg(as_double(df, n)) for n in names]).first()
+    row = df.agg(*[F.expr(f"avg({double_sql(df, n)})") for n in names]).first()
     return [0.0 if m is None or m != m else float(m) for m in row]

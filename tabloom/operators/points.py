@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import ref
+from tabloom.functions.columns import quoted, ref
 from tabloom.session import settle
 
 #: Points of one side of a block pair; a distance matrix of a pair has its square of cells.
@@ -24,7 +24,7 @@ def point(df: DataFrame, features: list[str]) -> Column:
     if len(features) == 1 and df.schema[features[0]].dataType.typeName() == "array":
         return ref(features[0]).cast("array<double>")
     # -0.0 and 0.0 are one point.
-    return F.array(*[ref(f).cast("double") + F.lit(0.0) for f in features])
+    return F.expr(f"array({', '.join(f'double({quoted(f)}) + 0D' for f in features)})")
 
 
 def merged_points(df: DataFrame, features: list[str], *keys: Column) -> DataFrame:
@@ -64,4 +64,4 @@ def chunk_of(key: Column, chunks: Column) -> Column:
 
 def renewed(df: DataFrame) -> DataFrame:
     """The same columns under new identities, so that a table can meet itself in a cogroup."""
-    return df.select([F.col(c).alias(c) for c in df.columns])
+    return df.selectExpr(*[f"{c} as {c}" for c in df.columns])

@@ -12,7 +12,17 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import as_double, literal_rows, present, ref
+from tabloom.functions.columns import (
+    as_double,
+    double_sql,
+    literal_rows,
+    number_sql,
+    present,
+    present_sql,
+    quoted,
+    ref,
+    text_sql,
+)
 from tabloom.functions.roles import column_roles
 from tabloom.operators.profile import value_counts
 from tabloom.operators.reduce import Projection, fit_projection
@@ -69,15 +79,15 @@ class PrepModel:
     def feature_cols(self) -> list[str]:
         return self.projection.names if self.projection else self.columns
 
-    def _encoded(self, df: DataFrame) -> list[Column]:
+    def _encoded(self, df: DataFrame) -> list[str]:
         scaled = [
-            scaled_value(imputed(as_double(df, f.name), f.median), f.mean, f.scale).alias(f.name)
+            f"(coalesce({double_sql(df, f.name)}, {number_sql(f.median)}) - {number_sql(f.mean)}) / {number_sql(f.scale)}"
+            f" as {quoted(f.name)}"
             for f in self.numeric
         ]
         flags = [
-            (imputed(ref(f.name).cast("string"), f.mode) == F.lit(level))
-            .cast("double")
-            .alias(f"{f.name}_{level}")
+            f"double(coalesce(cast({quoted(f.name)} as string), {text_sql(f.mode)}) = {text_sql(level)})"
+            f" as {quoted(f'{f.name}_{level}')}"
             for f in self.categorical
             for level in f.levels
         ]
@@ -85,8 +95,8 @@ class PrepModel:
 
     def encode(self, df: DataFrame) -> DataFrame:
         """Features before any projection, and the target as it is."""
-        kept = [ref(self.target)] if self.target in df.columns else []
-        return df.select(*self._encoded(df), *kept)
+        kept = [quoted(self.target)] if self.target in df.columns else []
+        return df.selectExpr(*self._encoded(df), *kept)
 
     def transform(self, df: DataFrame) -> DataFrame:
         encoded = self.encode(df)
@@ -121,7 +131,7 @@ def deduplicate(df: DataFrame) -> DataFrame:
 
 def present_counts(df: DataFrame, names: list[str]) -> tuple[int, dict[str, int]]:
     """Row count and present values per column, in one aggregate."""
-    row = df.agg(F.count(F.lit(1)), *[F.count(present(df, n)) for n in names]).first()
+    row = df.agg(F.expr("count(1)"), *[F.expr(f"count({present_sql(df, n)})") for n in names]).first()
     return row[0], dict(zip(names, row[1:], strict=True))
 
 
@@ -203,7 +213,7 @@ def standard_scale(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     if not cols:
         return df
     row = df.agg(
-        *[F.struct(F.avg(as_double(df, n)).alias("m"), F.stddev_pop(as_double(df, n)).alias("s")) for n in cols]
+        *[F.expr(f"struct(avg({x}) as m, stddev_pop({x}) as s)") for x in (double_sql(df, n) for n in cols)]
     ).first()
     fits = dict(zip(cols, row, strict=True))
     return df.withColumns(
@@ -234,13 +244,13 @@ def one_hot(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Replace each column by one 0/1 column per sorted level, ``<col>_<level>``; null has no level."""
     cols = column_roles(df)[1] if cols is None else cols
     levels = levels_of(df, {n: facts[0] for n, facts in _level_facts(df, cols).items()})
-    kept = [ref(n) for n in df.columns if n not in set(cols)]
+    kept = [quoted(n) for n in df.columns if n not in set(cols)]
     flags = [
-        F.coalesce((ref(n).cast("string") == F.lit(v)).cast("double"), F.lit(0.0)).alias(f"{n}_{v}")
+        f"double(cast({quoted(n)} as string) <=> {text_sql(v)}) as {quoted(f'{n}_{v}')}"
         for n in cols
         for v in levels[n]
     ]
-    return df.select(*kept, *flags)
+    return df.selectExpr(*kept, *flags)
 
 
 def _numeric_fits(df: DataFrame, cols: list[str], rows: int, exact: bool) -> list[NumericFit]:
@@ -252,12 +262,8 @@ def _numeric_fits(df: DataFrame, cols: list[str], rows: int, exact: bool) -> lis
         return []
     moments = df.agg(
         *[
-            F.struct(
-                F.count(as_double(df, n)).alias("n"),
-                F.avg(as_double(df, n)).alias("mean"),
-                F.var_pop(as_double(df, n)).alias("var"),
-            )
-            for n in cols
+            F.expr(f"struct(count({x}) as n, avg({x}) as mean, var_pop({x}) as var)")
+            for x in (double_sql(df, n) for n in cols)
         ]
     ).first()
     stats = dict(zip(cols, moments, strict=True))

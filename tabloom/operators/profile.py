@@ -11,12 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import (
-    as_double,
-    literal_rows,
-    present,
-    ref,
-)
+from tabloom.functions.columns import double_sql, literal_rows, present_sql, quoted, text_sql
 from tabloom.functions.roles import column_roles
 from tabloom.plans.ordered import by_family, fits_directly, quantiles, value_facts
 
@@ -49,18 +44,14 @@ def duplicate_count(df: DataFrame) -> DataFrame:
 def _missing_facts(df: DataFrame) -> DataFrame:
     """One row per column with its missing count and the row count, from one aggregate."""
     facts = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count(present(df, name)).alias(f"_c{i}") for i, name in enumerate(df.columns)],
+        F.expr("count(1) as _rows"),
+        *[F.expr(f"count({present_sql(df, name)}) as _c{i}") for i, name in enumerate(df.columns)],
     )
     per_column = [
-        F.struct(
-            F.lit(name).alias("column"),
-            (F.col("_rows") - F.col(f"_c{i}")).alias("missing"),
-            F.col("_rows").alias("num_rows"),
-        )
+        f"struct({text_sql(name)} as column, _rows - _c{i} as missing, _rows as num_rows)"
         for i, name in enumerate(df.columns)
     ]
-    return facts.select(F.explode(F.array(*per_column)).alias("f")).select("f.*")
+    return facts.select(F.expr(f"inline(array({', '.join(per_column)}))"))
 
 
 def missing_profile(df: DataFrame) -> DataFrame:
@@ -106,7 +97,7 @@ def value_counts(df: DataFrame, names: list[str]) -> DataFrame:
 
     The nulls of a column are one row, so an empty column still shows up.
     """
-    slim = df.select([ref(n).cast("string").alias(str(i)) for i, n in enumerate(names)])
+    slim = df.selectExpr(*[f"cast({quoted(n)} as string) as `{i}`" for i, n in enumerate(names)])
     return (
         slim.unpivot([], slim.columns, "slot", "value")
         .groupBy("slot", "value")
@@ -118,8 +109,8 @@ def distinct_counts(df: DataFrame, names: list[str]) -> dict[str, int]:
     """Exact distinct non-null values per column, compared in the column's own type."""
     result: dict[str, int] = {}
     for family, members in by_family(df, names).items():
-        slim = df.select(
-            [present(df, n).cast(family).alias(str(i)) for i, n in enumerate(members)]
+        slim = df.selectExpr(
+            *[f"cast({present_sql(df, n)} as {family}) as `{i}`" for i, n in enumerate(members)]
         )
         counted = (
             slim.unpivot([], slim.columns, "slot", "value")
@@ -153,17 +144,17 @@ def numeric_profile(df: DataFrame, names: list[str] | None = None, exact: bool =
         return spark.createDataFrame([], _NUMERIC_SCHEMA)
 
     def facts(name: str):
-        x = as_double(df, name)
-        parts = [
-            F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).alias("low"), F.max(x).alias("high"),
-        ]
+        x = double_sql(df, name)
+        parts = (
+            f"count({x}) as n, avg({x}) as mean, stddev_samp({x}) as std, min({x}) as low, max({x}) as high"
+        )
         if not exact:
-            parts += [
-                F.percentile_approx(x, _FRACTIONS, 10_000).alias("quartiles"),
-                F.hll_sketch_estimate(F.hll_sketch_agg(F.when(x.isNotNull(), F.xxhash64(x)), 14)).alias("u"),
-            ]
-        return F.struct(*parts)
+            hashed = f"hll_sketch_agg(if({x} is null, null, xxhash64({x})), 14)"
+            parts += (
+                f", percentile_approx({x}, array({', '.join(map(str, _FRACTIONS))}), 10000) as quartiles"
+                f", hll_sketch_estimate({hashed}) as u"
+            )
+        return F.expr(f"struct({parts})")
 
     row = df.agg(*[facts(n) for n in names]).first()
     found = dict(zip(names, row, strict=True))
@@ -196,7 +187,7 @@ def categorical_profile(df: DataFrame, names: list[str] | None = None) -> DataFr
             [], "column string, unique_count bigint, top_value string, top_freq bigint"
         )
     best = F.min(F.when(F.col("value").isNotNull(), F.struct(-F.col("n"), F.col("value"))))
-    labels = F.array(*[F.lit(n) for n in names])
+    labels = F.expr(f"array({', '.join(map(text_sql, names))})")
     return (
         value_counts(df, names)
         .groupBy("slot")

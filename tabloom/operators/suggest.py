@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import is_datetime, literal_rows, ref
+from tabloom.functions.columns import is_datetime, literal_rows, ref, text_sql
 from tabloom.functions.roles import column_roles
 from tabloom.operators.gram import means, pair_sums
 from tabloom.operators.profile import distinct_counts
@@ -96,7 +96,7 @@ def correlations(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     joint = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
     # Rounding can leave a constant column a spread of about 1e-16 of its square sum.
     flat = (spread_x <= 1e-12 * F.col("sxx")) | (spread_y <= 1e-12 * F.col("syy"))
-    labels = F.array(*[F.lit(n) for n in names])
+    labels = F.expr(f"array({', '.join(map(text_sql, names))})")
     return (
         sums.filter("i < j")
         .join(mirrored, ["i", "j"])

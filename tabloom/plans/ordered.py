@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tabloom.functions.columns import as_double, is_fractional, is_integral, present
+from tabloom.functions.columns import as_double, is_fractional, is_integral, present_sql
 from tabloom.session import settle
 
 #: Cells (rows x columns) up to which each column is sorted in a task of its own.
@@ -141,7 +141,7 @@ def value_facts(
     """
     result: dict[str, tuple[list[float | None], int]] = {n: ([None] * len(fractions), 0) for n in names}
     for family, members in by_family(df, [n for n in names if counts[n]]).items():
-        slim = df.select([present(df, n).cast(family).alias(str(i)) for i, n in enumerate(members)])
+        slim = df.selectExpr(*[f"cast({present_sql(df, n)} as {family}) as `{i}`" for i, n in enumerate(members)])
         order = Window.partitionBy("slot").orderBy("value")
         ranked = (
             slim.unpivot([], slim.columns, "slot", "value")
@@ -150,11 +150,10 @@ def value_facts(
         )
         # Where each quantile lies in each column: 1-based places on either side of it.
         spots = [[(counts[n] - 1) * q for n in members] for q in fractions]
-        slot = F.col("slot").cast("int")
 
-        def value_at(places: list[int], slot=slot) -> Column:
-            wanted = F.get(F.array(*[F.lit(p + 1) for p in places]), slot)
-            return F.max(F.when(F.col("place") == wanted, F.col("value").cast("double")))
+        def value_at(places: list[int]) -> Column:
+            wanted = f"array({', '.join(str(p + 1) for p in places)})[cast(slot as int)]"
+            return F.expr(f"max(if(place = {wanted}, cast(value as double), null))")
 
         sides = [value_at([f(s) for s in spot]) for spot in spots for f in (math.floor, math.ceil)]
         fresh = F.col("before").isNull() | (F.col("before") != F.col("value"))

@@ -19,6 +19,7 @@ def local_session(cores: int | str = "*", app: str = "tabloom", **conf: str) ->
         .config("spark.driver.memory", "16g")
         .config("spark.scheduler.mode", "FAIR")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
