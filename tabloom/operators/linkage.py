@@ -58,11 +58,11 @@ def ward(
         centres, sizes = stack(r.x for r in rows), np.array([r.w for r in rows])
     else:
         vectors = points.select(array_to_vector("x").alias("features"), F.col("w").cast("double"))
-        model = KMeans(k=limit, seed=seed, weightCol="w", maxIter=20, tol=1e-3).fit(vectors)
+        model = KMeans(k=limit, seed=seed, weightCol="w", maxIter=20, tol=1e-3, initMode="random").fit(vectors)
         weights = model.transform(vectors).groupBy("prediction").agg(F.sum("w").alias("w")).collect()
         held = {r.prediction: r.w for r in weights}
         kept = sorted(held)
-        centres = np.array([model.clusterCenters()[i] for i in kept])
+        centres = np.array(model.clusterCenters())[kept]
         sizes = np.array([held[i] for i in kept])
     if len(centres) < k:
         raise ValueError(f"{len(centres)} distinct points cannot form {k} clusters")

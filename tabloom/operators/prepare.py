@@ -24,9 +24,10 @@ from tabloom.functions.columns import (
     text_sql,
 )
 from tabloom.functions.roles import column_roles
-from tabloom.operators.profile import value_counts
+from tabloom.operators.profile import duplicate_count, value_counts
 from tabloom.operators.reduce import Projection, fit_projection
 from tabloom.plans.ordered import quantiles
+from tabloom.session import staged
 
 # Fixed values of the drop rule for free text and identifiers.
 MANY_LEVELS = 20
@@ -129,6 +130,17 @@ def deduplicate(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def without_duplicates(df: DataFrame, duplicates: int | None = None) -> tuple[DataFrame, int]:
+    """(distinct rows, rows removed).
+
+    Counting duplicates shuffles hashes only, so a table without any is left as it
+    is; otherwise the distinct rows are written once for the passes that follow.
+    """
+    if duplicates is None:
+        duplicates = duplicate_count(df).first()[0]
+    return (staged(deduplicate(df)) if duplicates else df), duplicates
+
+
 def present_counts(df: DataFrame, names: list[str]) -> tuple[int, dict[str, int]]:
     """Row count and present values per column, in one aggregate."""
     row = df.agg(F.expr("count(1)"), *[F.expr(f"count({present_sql(df, n)})") for n in names]).first()
@@ -331,8 +343,7 @@ def preprocess(
     """
     log: list[tuple[str, str, str]] = []
     if dedupe:
-        before, df = df.count(), deduplicate(df)
-        removed = before - df.count()
+        df, removed = without_duplicates(df)
         if removed:
             log.append(("dataset", "deduplication", f"{removed} duplicate rows"))
     model, steps, errors = fit_preparation(df if fit_on is None else fit_on, target, exact)

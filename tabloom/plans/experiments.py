@@ -25,6 +25,8 @@ from tabloom.session import ensure_checkpoint_dir, settle
 from tabloom.sources.tables import require_min_rows
 
 MAX_WORKERS = 4
+#: Rows up to which "auto" takes the exact silhouette, whose work is quadratic.
+EXACT_SILHOUETTE_ROWS = 200_000
 
 
 class AllExperimentsFailed(RuntimeError):
@@ -90,10 +92,15 @@ def folds(prepared: PreparedData) -> Iterator[Fold]:
         test.unpersist()
 
 
+def _silhouette_method(method: str, rows: int) -> str:
+    return method if method != "auto" else ("exact" if rows <= EXACT_SILHOUETTE_ROWS else "squared")
+
+
 def _scores(task: str, predicted: DataFrame, fold: Fold, silhouette_method: str) -> dict[str, float]:
     if task == "clustering":
         counts = cluster_counts(predicted, "prediction").first()
-        quality = silhouette(predicted, ["x"], "prediction", silhouette_method).first()[0]
+        method = _silhouette_method(silhouette_method, fold.n_train)
+        quality = silhouette(predicted, ["x"], "prediction", method).first()[0]
         return {
             "n_clusters": float(counts.n_clusters), "n_noise": float(counts.n_noise),
             "silhouette": float(quality if quality is not None else "nan"),
@@ -107,7 +114,7 @@ def _scores(task: str, predicted: DataFrame, fold: Fold, silhouette_method: str)
     return {"pr_auc": float("nan")} | found
 
 
-def run_one(spec: ModelSpec, task: str, fold: Fold, silhouette_method: str = "exact") -> dict:
+def run_one(spec: ModelSpec, task: str, fold: Fold, silhouette_method: str = "auto") -> dict:
     """Fit, predict and score one model.  A failure becomes a record, never an exception."""
     started = time.perf_counter()
     record = {
@@ -123,6 +130,8 @@ def run_one(spec: ModelSpec, task: str, fold: Fold, silhouette_method: str = "ex
         finally:
             predicted.unpersist()
         record["params"] |= found
+        if task == "clustering":
+            record["params"]["silhouette"] = _silhouette_method(silhouette_method, fold.n_train)
         record["n_train_samples"], record["n_test_samples"] = fold.n_train, fold.n_test
         record["success"] = True
     except Exception as exc:  # isolation: one model must not stop the others
@@ -171,9 +180,14 @@ def run_experiments(
     max_experiments: int | None = None,
     max_workers: int | None = None,
     time_cap_s: float = 0,
-    silhouette_method: str = "exact",
+    silhouette_method: str = "auto",
 ) -> DataFrame:
-    """One record per model, by name.  Raises :class:`AllExperimentsFailed` if none succeeded."""
+    """One record per model, by name.  Raises :class:`AllExperimentsFailed` if none succeeded.
+
+    ``silhouette_method`` is ``"exact"``, ``"squared"`` (linear time, squared distances, all
+    rows) or ``"auto"``, the exact one as long as its quadratic work is bearable; the
+    records' parameters name the one taken.
+    """
     task = prepared.task
     zoo = (select_zoo(task) if zoo is None else list(zoo))[:max_experiments]
     workers = max(1, max_workers or min(MAX_WORKERS, len(zoo) or 1))

@@ -10,7 +10,7 @@ from tabloom.functions.columns import literal_rows
 from tabloom.operators.detect import class_balance, detect_target, detect_task
 from tabloom.operators.features import LOG_SCHEMA as FEATURE_LOG_SCHEMA
 from tabloom.operators.features import apply_features
-from tabloom.operators.prepare import PreparedData, deduplicate, preprocess
+from tabloom.operators.prepare import PreparedData, preprocess, without_duplicates
 from tabloom.operators.profile import profile
 from tabloom.operators.rank import (
     ERROR_SCHEMA,
@@ -21,6 +21,7 @@ from tabloom.operators.rank import (
 )
 from tabloom.operators.suggest import feature_suggestions
 from tabloom.plans.experiments import run_experiments
+from tabloom.session import staged
 from tabloom.sources.tables import require_non_empty, write_table
 
 
@@ -56,64 +57,60 @@ def run_pipeline(
     exact: bool = True,
     reduction: str = "svd",
     components: int | None = None,
+    stage_input: bool = False,
 ) -> StudyResult:
     """Profile, detect, derive, prepare, train, rank; every default can be replaced by an argument.
 
     ``exact=False`` takes sketches for quartiles, medians and distinct counts of the
-    profile.  ``scope`` is passed on to :func:`run_experiments`.
+    profile.  ``scope`` is passed on to :func:`run_experiments`.  ``stage_input`` writes
+    an input that is costly to read again, such as CSV, as Parquet first.
     """
-    df = require_non_empty(df).persist()
+    df = staged(df) if stage_input else df
+    require_non_empty(df)
     spark = df.sparkSession
-    try:
-        table, columns = profile(df, exact)
-        errors = [
-            ("profile", "high_missing_values", f"{r.column}: {r.missing_pct}% missing", True)
-            for r in columns.filter("high_missing").select("column", "missing_pct").collect()
-        ]
-        suggestions = feature_suggestions(df)
-        chosen = detect_target(df, target, clustering)
-        detection = detect_task(df, chosen, task_hint, task_override)
-        found = detection.first()
-        balance = class_balance(df, found.target_column) if found.task_type == "classification" else None
-        unique = deduplicate(df).persist()
-        try:
-            removed = df.count() - unique.count()
-            made, feature_log, feature_errors = apply_features(unique, suggestions, features, custom_features)
-            prepared = preprocess(
-                made, found.target_column, found.task_type, reduction=reduction, components=components,
-                exact=exact, dedupe=False,
-            )
-            if removed:
-                note = literal_rows(
-                    spark, [("dataset", "deduplication", f"{removed} duplicate rows")], prepared.log.schema
-                )
-                prepared.log = note.unionByName(prepared.log)
-            records = run_experiments(prepared, **(scope or {}))
-        finally:
-            unique.unpersist()
-        errors += feature_errors + prepared.errors
-        errors += [
-            ("experiments", "experiment_failure", f"{r.model_name}: {r.error_type}: {r.error_message}", True)
-            for r in failures(records).collect()
-        ]
-        ranking = rank_results(records, found.task_type)
-        return StudyResult(
-            table_profile=table,
-            column_profile=columns,
-            suggestions=suggestions,
-            detection=detection,
-            class_balance=balance,
-            feature_log=literal_rows(spark, feature_log, FEATURE_LOG_SCHEMA),
-            prepared=prepared,
-            records=records,
-            ranking=ranking,
-            leaderboard=leaderboard(records, found.task_type),
-            best=best_model(ranking, best_override),
-            failures=failures(records),
-            errors=literal_rows(spark, errors, ERROR_SCHEMA),
+    table, columns = profile(df, exact)
+    errors = [
+        ("profile", "high_missing_values", f"{r.column}: {r.missing_pct}% missing", True)
+        for r in columns.filter("high_missing").select("column", "missing_pct").collect()
+    ]
+    suggestions = feature_suggestions(df)
+    chosen = detect_target(df, target, clustering)
+    detection = detect_task(df, chosen, task_hint, task_override)
+    found = detection.first()
+    balance = class_balance(df, found.target_column) if found.task_type == "classification" else None
+    unique, removed = without_duplicates(df, table.first().duplicate_count)
+    made, feature_log, feature_errors = apply_features(unique, suggestions, features, custom_features)
+    prepared = preprocess(
+        made, found.target_column, found.task_type, reduction=reduction, components=components,
+        exact=exact, dedupe=False,
+    )
+    if removed:
+        note = literal_rows(
+            spark, [("dataset", "deduplication", f"{removed} duplicate rows")], prepared.log.schema
         )
-    finally:
-        df.unpersist()
+        prepared.log = note.unionByName(prepared.log)
+    records = run_experiments(prepared, **(scope or {}))
+    errors += feature_errors + prepared.errors
+    errors += [
+        ("experiments", "experiment_failure", f"{r.model_name}: {r.error_type}: {r.error_message}", True)
+        for r in failures(records).collect()
+    ]
+    ranking = rank_results(records, found.task_type)
+    return StudyResult(
+        table_profile=table,
+        column_profile=columns,
+        suggestions=suggestions,
+        detection=detection,
+        class_balance=balance,
+        feature_log=literal_rows(spark, feature_log, FEATURE_LOG_SCHEMA),
+        prepared=prepared,
+        records=records,
+        ranking=ranking,
+        leaderboard=leaderboard(records, found.task_type),
+        best=best_model(ranking, best_override),
+        failures=failures(records),
+        errors=literal_rows(spark, errors, ERROR_SCHEMA),
+    )
 
 
 def run_report(result: StudyResult, path: str) -> list[str]:
