@@ -148,18 +148,20 @@ def _capped(spec: ModelSpec, task: str, fold: Fold, cap: float, method: str, run
     context.setLocalProperty("spark.scheduler.pool", group)
     if cap <= 0:
         return run_one(spec, task, fold, method)
-    late = threading.Event()
+    done, late = threading.Event(), threading.Event()
 
-    def stop() -> None:
-        late.set()
-        context.cancelJobGroup(group)
+    def watch() -> None:
+        if not done.wait(cap):
+            late.set()
+            while not done.wait(0.5):  # also jobs the model starts after its time is up
+                context.cancelJobGroup(group)
 
-    timer = threading.Timer(cap, stop)
-    timer.start()
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
     try:
         record = run_one(spec, task, fold, method)
     finally:
-        timer.cancel()
+        done.set()
     if late.is_set():
         record |= {
             "success": False, "error_type": "TimeCapExceeded", "metrics": {},
@@ -196,11 +198,15 @@ def run_experiments(
     require_min_rows(prepared.df, 2)
     run = uuid.uuid4().hex[:8]
     with folds(prepared) as fold:
-        one = inheritable_thread_target(spark)(
-            lambda spec: _capped(spec, task, fold, time_cap_s, silhouette_method, run)
-        )
+        def one(spec: ModelSpec):
+            # Wrapped per model: each thread needs local properties (job group, pool) of its own.
+            return inheritable_thread_target(spark)(
+                lambda: _capped(spec, task, fold, time_cap_s, silhouette_method, run)
+            )
+
         with ThreadPoolExecutor(workers) as pool:
-            records = list(pool.map(one, zoo))
+            running = [pool.submit(one(spec)) for spec in zoo]
+            records = [r.result() for r in running]
     table = records_table(spark, records)
     if records and not any(r["success"] for r in records):
         lines = [f"- {r['model_name']}: {r['error_type']}: {r['error_message']}" for r in records]

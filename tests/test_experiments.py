@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,7 +97,7 @@ def test_all_broken_is_fatal(spark):
 
 
 def slow(fold):
-    tick = F.udf(lambda v: __import__("time").sleep(3) or v, "double")
+    tick = F.udf(lambda v: time.sleep(1) or v, "double")
     return fold.test.withColumn("prediction", tick("label")), {}
 
 
@@ -104,6 +106,7 @@ def test_scope(spark):
     assert run_experiments(prepared, max_experiments=1, max_workers=1).count() == 1
     found = by_name(run_experiments(prepared, [ModelSpec("slow", "none", {}, slow), *small("classification", "majority_class")], time_cap_s=2))
     assert found["slow"].error_type == "TimeCapExceeded"
+    assert found["slow"].runtime_seconds < 30 and found["majority_class"].success
 
 
 def test_too_few_rows(spark):
