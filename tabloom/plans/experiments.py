@@ -29,6 +29,10 @@ MAX_WORKERS = 4
 EXACT_SILHOUETTE_ROWS = 200_000
 
 
+#: Families from the longest to the shortest fits: long ones start first, so that none is left over alone.
+FAMILIES_BY_LENGTH = ("boosting", "svm", "hierarchical", "density", "tree", "instance", "centroid", "distribution")
+
+
 class AllExperimentsFailed(RuntimeError):
     """No model of the zoo could be fitted; the text has one line per model."""
 
@@ -37,6 +41,11 @@ class AllExperimentsFailed(RuntimeError):
         self.records = records
 
 
+def _expected_length(spec: ModelSpec) -> int:
+    known = spec.family in FAMILIES_BY_LENGTH
+    return FAMILIES_BY_LENGTH.index(spec.family) if known else len(FAMILIES_BY_LENGTH)
+
+
 def _classes(rows: DataFrame, target: str) -> list:
     found = [r[0] for r in rows.select(ref(target)).distinct().limit(MAX_CLASSES + 1).collect()]
     if len(found) > MAX_CLASSES:
@@ -205,7 +214,7 @@ def run_experiments(
             )
 
         with ThreadPoolExecutor(workers) as pool:
-            running = [pool.submit(one(spec)) for spec in zoo]
+            running = [pool.submit(one(spec)) for spec in sorted(zoo, key=_expected_length)]
             records = [r.result() for r in running]
     table = records_table(spark, records)
     if records and not any(r["success"] for r in records):
