@@ -20,6 +20,8 @@ TEST_SHARE = 0.25
 SEED = 42
 #: Hashes of one class that may be ordered in one task.
 SINGLE_TASK_ROWS = 500_000
+#: Classes up to which a table of one row per class is broadcast.
+BROADCAST_CLASSES = 100_000
 _PREFIX_DIGITS = 3  # hex digits a level: 4096 prefixes per class
 _DIGITS = 32
 _COPIES_PER_ROW = 100_000
@@ -36,6 +38,11 @@ def _class_key(by: str | None) -> Column:
     return F.lit("") if by is None else text_of(ref(by))
 
 
+def _sized_hint(per_class: DataFrame, classes: int) -> DataFrame:
+    """Broadcast a table of one row per class while the classes are few; else Spark decides."""
+    return F.broadcast(per_class) if classes <= BROADCAST_CLASSES else per_class
+
+
 def _last_hashes(keyed: DataFrame, wanted: list[tuple[str, int, int]], limit: int) -> list[tuple[str, str, int, int]]:
     """Per class: greatest test hash, rows of that hash to take, rows that have it.
 
@@ -49,8 +56,7 @@ def _last_hashes(keyed: DataFrame, wanted: list[tuple[str, int, int]], limit: in
     while digits < _DIGITS:
         digits = _DIGITS if widest <= limit else min(_DIGITS, known + _PREFIX_DIGITS)
         open_cuts = keyed.sparkSession.createDataFrame(cuts, "_class string, _cut string, _need bigint")
-        # One row per class, as many as were fetched for ``wanted``.
-        inside = keyed.join(F.broadcast(open_cuts), "_class")
+        inside = keyed.join(_sized_hint(open_cuts, len(cuts)), "_class")
         if known:
             inside = inside.filter(F.substring("_hash", 1, known) == F.col("_cut"))
         histogram = inside.groupBy("_class", "_need", F.substring("_hash", 1, digits).alias("_prefix")).agg(
@@ -105,8 +111,8 @@ def train_test_split(
     wanted = [(r["_class"], math.ceil(share * r.n), r.n) for r in sizes]
     found = _last_hashes(keyed.select("_class", "_hash"), wanted, limit)
     last = df.sparkSession.createDataFrame(found, "_class string, _last string, _take bigint, _have bigint")
-    # One row per class, as many as were just fetched; so the split is one pass without a shuffle.
-    placed = keyed.join(F.broadcast(last), "_class", "left")
+    # With few classes the split is one pass without a shuffle.
+    placed = keyed.join(_sized_hint(last, len(found)), "_class", "left")
     whole = placed.select(*map(ref, names), (F.col("_hash") <= F.col("_last")).alias("is_test"))
     if all(take == have for _, _, take, have in found):
         return whole
