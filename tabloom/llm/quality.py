@@ -39,7 +39,7 @@ FEATURES = (
     ("sqrt(try_divide(n_symbols, word_chars))", 0.05),
     ("sqrt(try_divide(n_upper, word_chars))", 0.05),
     ("sqrt(try_divide(n_dup_lines, n_words))", 0.04),
-    ("sqrt(try_divide(n_repeat_words, n_words))", 0.12),
+    ("sqrt(try_divide(n_repeat_words, n_words))", 0.14),
     ("sqrt(try_divide(n_stutters, n_words))", 0.12),
 )
 SUPPORT = 0.75

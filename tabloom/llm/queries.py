@@ -3,14 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import read
+from tabloom.llm.packing import pack_documents
 from tabloom.llm.quality import STATISTICS, quality_rules
 
 
+def tokenizer_file(name: str) -> str:
+    """Content of a public tokenizer's file, read on the driver and sent along with tasks."""
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
+def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(read(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     found = quality_rules(docs)
@@ -18,6 +30,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
