@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import read
+from tabloom.llm.near_duplicates import near_duplicates
 from tabloom.llm.packing import pack_documents
 from tabloom.llm.quality import STATISTICS, quality_rules
 
@@ -23,6 +24,11 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(read(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_duplicates(read(spark, folder, "documents"), width=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
     found = quality_rules(docs)
@@ -31,6 +37,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
 }
 
