@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import read
+from tabloom.llm.licenses import license_scan
 from tabloom.llm.near_duplicates import near_duplicates
 from tabloom.llm.packing import pack_documents
 from tabloom.llm.quality import STATISTICS, quality_rules
+from tabloom.llm.secrets import secret_scan, spans_text
 
 
 def tokenizer_file(name: str) -> str:
@@ -24,6 +26,21 @@ def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(read(spark, folder, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan(read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(F.col("_row.doc_id").alias("doc_id"), *found.columns[1:])
+
+
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan(read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("_row.doc_id").alias("doc_id"),
+        *[F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as bigint)").alias(f"n_{k}") for i, k in enumerate(("assign", "access", "hex"))],
+        F.expr(f"sha2({spans_text('base')}, 256)").alias("base_sha256"),
+        F.expr(spans_text("spans")).alias("spans"),
+    )
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(read(spark, folder, "documents"), width=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -37,6 +54,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_license_scan": op2_license_scan,
+    "op6_secret_scan": op6_secret_scan,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
 }
