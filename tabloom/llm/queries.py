@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import read
+from tabloom.llm.contamination import decontaminate
 from tabloom.llm.licenses import license_scan
 from tabloom.llm.near_duplicates import near_duplicates
 from tabloom.llm.packing import pack_documents
@@ -31,6 +32,13 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("_row.doc_id").alias("doc_id"), *found.columns[1:])
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    columns = ["doc_id", "text"]
+    found = decontaminate(docs.select(*columns), read(spark, folder, "benchmark"))
+    return found.select(F.col("_row.doc_id").alias("doc_id"), "contaminated", "n_items", "item_id", "share")
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     found = secret_scan(read(spark, folder, "documents").select("doc_id", "text"))
     return found.select(
@@ -55,6 +63,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
+    "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
