@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref
+from tabloom.llm.common import unpacked
 from tabloom.llm.shingles import mixed, shingle_sets
 from tabloom.operators.density import connected_components
 from tabloom.session import staged
@@ -162,7 +163,8 @@ def _with_both(pairs: DataFrame, table: DataFrame, column: str, name: str) -> Da
 def near_duplicates(
     docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
-    """One row per input row: ``doc_id``, ``mark`` (a hash of its text), ``n_shingles``, ``component_id``, ``kept``.
+    """One row per input row: ``doc_id``, ``mark`` (a hash of its text), ``n_shingles``, ``component_id``, ``kept``,
+    and ``group``, a key of the component, null for rows without shingles.
 
     Two rows are linked if their shingle sets have a Jaccard similarity of at least
     ``percent`` hundredths; a component is named by its least id.
@@ -171,7 +173,7 @@ def near_duplicates(
     body = F.coalesce(ref(text).cast("string"), F.lit(""))
     wanted = docs.select(ref(key).cast("long").alias("doc_id"), body.alias("text"))
     hashed = staged(
-        wanted.withColumn("mark", F.xxhash64("text")).mapInPandas(
+        wanted.withColumn("mark", F.xxhash64(F.col("doc_id").isNull(), "text")).mapInPandas(
             _hashed(width), "doc_id bigint, mark bigint, n_shingles bigint, key binary, sign binary"
         )
     )
@@ -221,11 +223,36 @@ def near_duplicates(
     roots = staged(connected_components(links, nodes)).withColumnRenamed("id", "key")
     named = classes.select("key", "doc_id").join(roots, "key")
     names = named.groupBy("root").agg(F.min("doc_id").alias("_least"))
-    components = named.join(names, "root").select("key", "_least").unionByName(
-        classes.join(met, "key", "left_anti").select("key", F.col("doc_id").alias("_least"))
+    components = named.join(names, "root").select("key", "_least", F.col("root").alias("group")).unionByName(
+        classes.join(met, "key", "left_anti").select("key", F.col("doc_id").alias("_least"), F.col("key").alias("group"))
     )
     component = F.coalesce("_least", "doc_id")
     return (
         hashed.select("doc_id", "mark", "n_shingles", "key").join(components, "key", "left")
-        .select("doc_id", "mark", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+        .select("doc_id", "mark", "n_shingles", component.alias("component_id"),
+                component.eqNullSafe(F.col("doc_id")).alias("kept"), "group")
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, text: str = "text", key: str = "doc_id"
+) -> DataFrame:
+    """One row of each component, with the columns as they were: one with the least id, of equal ids the least ``mark``.
+
+    Rows without any word are in no component and all stay.
+    """
+    found = near_duplicates(docs, width, percent, text, key)
+    chosen = found.filter("group is not null").groupBy("group").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("one")
+    )
+    chosen = staged(chosen.select(F.coalesce("one.doc_id", F.lit(0)).alias("_doc"), F.col("one.mark").alias("_mark")))
+    body = F.coalesce(ref(text).cast("string"), F.lit(""))
+    number = ref(key).cast("long")
+    rows = docs.select(
+        F.struct(*[ref(c) for c in docs.columns]).alias("_row"), F.coalesce(number, F.lit(0)).alias("_doc"),
+        F.xxhash64(number.isNull(), body).alias("_mark"), body.rlike(r"[^ \t-\x0d]").alias("_worded"),
+    )
+    kept = rows.filter("_worded").join(chosen, ["_doc", "_mark"], "left_semi")
+    # Rows equal in id and text are combined before and after the shuffle that the join has made already.
+    kept = kept.groupBy("_doc", "_mark").agg(F.first("_row").alias("_row")).select("_row")
+    return unpacked(kept.unionByName(rows.filter("not _worded").select("_row")), docs.columns)

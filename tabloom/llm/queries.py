@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from pathlib import Path
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +14,7 @@ from tabloom.llm.near_duplicates import near_duplicates
 from tabloom.llm.packing import pack_documents
 from tabloom.llm.quality import STATISTICS, quality_rules
 from tabloom.llm.secrets import secret_scan, spans_text
-
-
-def tokenizer_file(name: str) -> str:
-    """Content of a public tokenizer's file, read on the driver and sent along with tasks."""
-    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+from tabloom.llm.sources import tokenizer_file
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:

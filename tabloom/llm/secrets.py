@@ -160,3 +160,10 @@ def redacted(text: str, spans: str) -> str:
         f"aggregate({spans}, named_struct('at', 0, 'out', ''), {step}, a -> concat(a.out, substring({text}, a.at + 1)))"
     )
     return f"if(size({spans}) > 0, {walk}, {text})"
+
+
+def without_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows as they were, with a placeholder for every secret in the text; a null text stays null."""
+    found = secret_scan(docs, text).withColumn("_text", F.col("_row").getField(text).cast("string"))
+    cleaned = F.expr(redacted("_text", "spans"))
+    return found.select(*[cleaned.alias(c) if c == text else F.col("_row").getField(c).alias(c) for c in docs.columns])
