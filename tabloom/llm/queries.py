@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import read
 from tabloom.llm.contamination import decontaminate
+from tabloom.llm.language import identify_languages
 from tabloom.llm.licenses import license_scan
 from tabloom.llm.near_duplicates import near_duplicates
 from tabloom.llm.packing import pack_documents
@@ -43,6 +44,10 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return identify_languages(read(spark, folder, "documents"))
+
+
 def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = near_duplicates(read(spark, folder, "documents"), width=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
+    "op8_language": op8_language,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
 }
