@@ -16,6 +16,7 @@ from tabloom.llm.packing import pack_documents
 from tabloom.llm.quality import STATISTICS, quality_rules
 from tabloom.llm.secrets import secret_scan, spans_text
 from tabloom.llm.sources import tokenizer_file
+from tabloom.llm.wordpieces import count_tokens, vocabulary_of
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +28,10 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("_row.doc_id").alias("doc_id"), *found.columns[1:])
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(read(spark, folder, "documents"), vocabulary_of(tokenizer_file("word_bpe_49k.json")))
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents")
     columns = ["doc_id", "text"]
@@ -62,6 +67,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
+    "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
     "op8_language": op8_language,
