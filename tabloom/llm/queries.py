@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import read
 from tabloom.llm.contamination import decontaminate
+from tabloom.llm.html_extraction import extract_text
 from tabloom.llm.language import identify_languages
 from tabloom.llm.licenses import license_scan
 from tabloom.llm.near_duplicates import near_duplicates
@@ -28,6 +29,10 @@ def op2_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("_row.doc_id").alias("doc_id"), *found.columns[1:])
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_text(read(spark, folder, "pages"))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(read(spark, folder, "documents"), vocabulary_of(tokenizer_file("word_bpe_49k.json")))
 
@@ -67,6 +72,7 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
+    "op3_html_extraction": op3_html_extraction,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
