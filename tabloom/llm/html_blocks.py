@@ -149,7 +149,7 @@ def features(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         path += own
         path_of += [i] * len(own)
         split = block.text.split()
-        hashed = [bucket(w, WORD_BUCKETS) for w in split]
+        hashed = [bucket(w, WORD_BUCKETS) for w in dict.fromkeys(split)]
         words += hashed
         words_of += [i] * len(hashed)
         n, chars = len(split), len(block.text)

@@ -27,7 +27,7 @@ from tabloom.functions.columns import ref
 from tabloom.llm.block_labeller import BlockLabeller
 from tabloom.llm.html_blocks import PATH_BUCKETS, Block, blocks_of, bucket
 
-SAMPLE = 150
+SAMPLE = 200
 #: Pages above this length are left out of the training sample only.
 SAMPLE_CHARS = 200_000
 LAID_OUT = 700
@@ -77,6 +77,20 @@ class _Layout:
         self.rng, self.sentences = rng, sentences
         self.html: list[str] = []
         self.labels: list[int] = []
+        self.style = self.pick(("plain",) * 6 + ("words", "sentence", "capitals", "marks"))
+
+    def styled(self, text: str) -> str:
+        """Junk comes in articles too: words or sentences many times over, capitals, marks."""
+        words = text.split()
+        if self.style == "words":
+            return " ".join(w for w in words[:12] for _ in range(int(self.rng.integers(2, 30))))
+        if self.style == "sentence":
+            return self.sentences[0] if self.chance(0.5) else " ".join([text] * int(self.rng.integers(2, 5)))
+        if self.style == "capitals":
+            return "!! ".join(words).upper()
+        if self.style == "marks":
+            return " ".join(w + self.pick(("$$$", "%%%", "&&&", "###", " |")) for w in words)
+        return text
 
     def pick(self, options):
         return options[int(self.rng.integers(len(options)))]
@@ -112,7 +126,7 @@ class _Layout:
     def article(self) -> None:
         tag = self.opened("article")
         if self.chance(0.8):
-            self.put("h1", self.prose(1, 1), 1)
+            self.put("h1", self.styled(self.prose(1, 1)), 1)
         if self.chance(0.2):
             self.put("p", self.prose(1, 1), 1)
         loose = self.chance(0.1)
@@ -135,7 +149,8 @@ class _Layout:
             elif draw < 0.33:
                 self.put("p", self.short(1, 4) + ".", 1)
             else:
-                self.put("p", self.prose(1, 7), 1)
+                for _ in range(int(self.rng.integers(3, 25)) if self.style == "sentence" else 1):
+                    self.put("p", self.styled(self.prose(1, 7)), 1)
         if self.chance(0.1):
             self.boilerplate("comments")
         self.html.append(f"</{tag}>")
