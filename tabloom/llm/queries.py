@@ -15,6 +15,7 @@ from tabloom.llm.licenses import license_scan
 from tabloom.llm.near_duplicates import near_duplicates
 from tabloom.llm.packing import pack_documents
 from tabloom.llm.quality import STATISTICS, quality_rules
+from tabloom.llm.repeats import remove_repeats
 from tabloom.llm.secrets import secret_scan, spans_text
 from tabloom.llm.sources import tokenizer_file
 from tabloom.llm.wordpieces import count_tokens, vocabulary_of
@@ -54,6 +55,10 @@ def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(read(spark, folder, "documents"))
+
+
 def op8_language(spark: SparkSession, folder: str) -> DataFrame:
     return identify_languages(read(spark, folder, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_secret_scan": op6_secret_scan,
+    "op7_repeats": op7_repeats,
     "op8_language": op8_language,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
