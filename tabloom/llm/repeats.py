@@ -180,8 +180,8 @@ def _sent(entries: np.ndarray, rows: np.ndarray, length: int, buckets: int, part
     ):
         by = np.argsort(at, kind="stable")
         table, at = table[by], at[by]
-        cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else []
-        for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+        cuts = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
+        for a, b in zip(cuts, [*cuts[1:], len(at)] if len(at) else cuts, strict=True):
             found.append((int(at[a]), part, kind, table[a:b].tobytes()))
     return pd.DataFrame(found, columns=["bucket", "part", "kind", "data"])
 
