@@ -5,7 +5,8 @@ Bands of a class's signature put it in buckets.  Candidates of a bucket are comp
 
 1. each class with the least of all bucket leaders it meets,
 2. each class with the leaders of its buckets that it is not yet connected with,
-3. all classes of a bucket that are still in different components and not compared yet.
+3. all classes of a bucket that are still in different components and not compared yet, in blocks of at most ``BLOCK``
+   signatures, which hand on only the pairs that survive the pruning.
 
 So a bucket of many near copies costs one comparison per class, and yet each link that
 connects two components is found.  A comparison goes through the signatures in batches and ends as
@@ -37,10 +38,11 @@ WIDTH = 5
 PERCENT = 80
 #: Bands x rows of a signature, and the hashes compared at a time.
 BANDS, ROWS = 25, 5
-HASHES = 128
+HASHES = 256
 BATCH = 32
 #: Chance at which a pair of exactly the threshold may be given up before verification.
-MISS = 1e-6
+MISS = 1e-3
+BLOCK = 1024
 
 
 def signature_constants(hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +113,7 @@ def _buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             value = np.full(len(batch), band + 1, dtype=np.uint64)
             for row in range(ROWS):
                 value = mixed(value * np.uint64(31) + signs[:, band * ROWS + row])
-            yield pd.DataFrame({"key": keys, "bucket": value.astype(np.int64)})
+            yield pd.DataFrame({"key": keys, "bucket": value.astype(np.int64), "band": band})
 
 
 def _sets(width: int):
@@ -141,6 +143,41 @@ def _surviving(least: dict[int, int]):
     return work
 
 
+def _open_pairs(least: dict[int, int]):
+    """Pairs of two chunks of a bucket, of different components, that survive; of pairs met in several bands the first band's."""
+
+    def work(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.drop_duplicates("key").sort_values("key", ignore_index=True)
+        sign = np.frombuffer(b"".join(block["sign"]), dtype=np.uint32).reshape(len(block), -1)
+        keys = block["key"].to_numpy()
+        root = pd.factorize(block["root"])[0]
+        chunk = block["chunk"].to_numpy()
+        band = int(block["band"].iloc[0])
+        across = block["one"].iloc[0] != block["two"].iloc[0]
+        stages = sorted(least.items())
+        first, second = [], []
+        for low in range(0, len(block), 32):
+            rows = np.arange(low, min(low + 32, len(block)))
+            upto, wanted = stages[0]
+            same = (sign[rows, None, :upto] == sign[None, :, :upto]).sum(axis=2)
+            fit = (same >= wanted) & (root[rows, None] != root[None, :]) & (rows[:, None] < np.arange(len(block))[None, :])
+            if across:
+                fit &= chunk[rows, None] != chunk[None, :]
+            x, y = np.nonzero(fit)
+            matches, x, at = same[x, y], rows[x], upto
+            for upto, wanted in stages[1:]:
+                matches = matches + (sign[x, at:upto] == sign[y, at:upto]).sum(axis=1)
+                going, at = matches >= wanted, upto
+                x, y, matches = x[going], y[going], matches[going]
+            before = (sign[x, : band * ROWS] == sign[y, : band * ROWS]).reshape(len(x), band, ROWS).all(axis=2).any(axis=1)
+            first.append(x[~before])
+            second.append(y[~before])
+        x, y = np.concatenate(first), np.concatenate(second)
+        return pd.DataFrame({"x": keys[x], "y": keys[y]})
+
+    return work
+
+
 def _verified(percent: int):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -180,7 +217,7 @@ def near_duplicates(
     classes = staged(
         hashed.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sign").alias("sign"))
     )
-    buckets = classes.select("key", "sign").mapInPandas(_buckets, "key binary, bucket bigint")
+    buckets = classes.select("key", "sign").mapInPandas(_buckets, "key binary, bucket bigint, band int")
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader")).filter("n > 1")
     members = staged(buckets.join(crowded, "bucket"))
     met = members.select("key").distinct()
@@ -192,9 +229,11 @@ def near_duplicates(
     )
     least = least_matches(percent)
 
+    def surviving(pairs: DataFrame) -> DataFrame:
+        return _with_both(pairs, classes, "sign", "sign").mapInPandas(_surviving(least), pair)
+
     def verified(pairs: DataFrame) -> DataFrame:
-        compared = _with_both(pairs, classes, "sign", "sign").mapInPandas(_surviving(least), pair)
-        return staged(_with_both(compared, sets, "shingles", "set").mapInPandas(_verified(percent), pair))
+        return staged(_with_both(pairs, sets, "shingles", "set").mapInPandas(_verified(percent), pair))
 
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
@@ -204,7 +243,7 @@ def near_duplicates(
             members.filter("key <> leader").groupBy("key").agg(F.min("leader").alias("y")).withColumnRenamed("key", "x")
         ).distinct()
     )
-    links, done, nodes = verified(first), first, met.withColumnRenamed("key", "id")
+    links, done, nodes = verified(surviving(first)), first, met.withColumnRenamed("key", "id")
     for round_two in (True, False):
         roots = staged(connected_components(links, nodes))
         placed = members.join(roots.withColumnRenamed("id", "key"), "key")
@@ -214,11 +253,19 @@ def near_duplicates(
             leaders = placed.filter("key = leader").select("bucket", F.col("root").alias("_root"))
             met_pairs = placed.join(leaders, "bucket").filter("root <> _root").selectExpr("key as x", "leader as y")
         else:
-            one = placed.filter("key <> leader and n > 2").select("bucket", F.col("key").alias("x"), F.col("root").alias("_x"))
-            two = one.select("bucket", F.col("x").alias("y"), F.col("_x").alias("_y"))
-            met_pairs = one.join(two, "bucket").filter("x < y and _x <> _y").select("x", "y")
+            # A bucket of two has been compared.  Larger ones are cut into chunks, and every two chunks meet in one task.
+            rest = placed.filter("n > 2").join(classes.select("key", "sign"), "key").withColumn(
+                "chunks", F.ceil(F.col("n") / F.lit(BLOCK / 2)).cast("int")
+            )
+            rest = rest.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+            rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+            blocks = rest.select(
+                "bucket", "band", "key", "root", "sign", "chunk",
+                F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"),
+            )
+            met_pairs = blocks.groupBy("bucket", "one", "two").applyInPandas(_open_pairs(least), "x binary, y binary")
         pairs = staged(ordered(met_pairs).distinct().join(done, ["a", "b"], "left_anti"))
-        links = links.unionByName(verified(pairs))
+        links = links.unionByName(verified(surviving(pairs) if round_two else pairs))
         done = done.unionByName(pairs)
     roots = staged(connected_components(links, nodes)).withColumnRenamed("id", "key")
     named = classes.select("key", "doc_id").join(roots, "key")
