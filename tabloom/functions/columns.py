@@ -83,7 +83,7 @@ def safe_ratio(a: Column, b: Column, on_zero: str = "null") -> Column:
 
 
 def text_of(column: Column) -> Column:
-    """Text of any value, with a marker that no cast yields for null."""
+    """Text of any value for hashing, with a marker for null that a text could hold too."""
     return F.coalesce(column.cast("string"), F.lit("\\N"))
 
 

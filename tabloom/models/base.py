@@ -15,8 +15,6 @@ SEED = 42
 #: Rows a training partition should hold; small tables get few partitions, so that
 #: iterative fits are not dominated by scheduling.
 ROWS_PER_PARTITION = 25_000
-#: Classes a classifier is built for; their list is part of the plan.
-MAX_CLASSES = 1_000
 
 
 @dataclass

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tabloom.models.base import SEED, Fold, ModelSpec
 from tabloom.operators.density import dbscan
-from tabloom.operators.linkage import ward
+from tabloom.operators.linkage import MICRO_CLUSTERS, ward
 
 STARTS = 10
 
@@ -55,6 +55,6 @@ CLUSTERING = (
     ModelSpec("kmeans_3", "centroid", {"k": "3", "starts": "10"}, kmeans_3),
     ModelSpec("kmeans_5", "centroid", {"k": "5", "starts": "10"}, kmeans_5),
     ModelSpec("gaussian_mixture_3", "distribution", {"k": "3"}, mixture),
-    ModelSpec("ward_3", "hierarchical", {"k": "3", "linkage": "ward"}, ward_3),
+    ModelSpec("ward_3", "hierarchical", {"k": "3", "linkage": "ward", "centroids": str(MICRO_CLUSTERS)}, ward_3),
     ModelSpec("dbscan_0.5_5", "density", {"eps": "0.5", "min_points": "5"}, density),
 )

@@ -130,7 +130,7 @@ def apply_features(
         try:
             df, created = _suggested(df, name, known[name])
         except Exception as exc:  # a recipe that fails must not stop the run
-            log.append((str(name), "skip", "suggested", f"could not be created: {exc}"[:500]))
+            log.append((str(name), "skip", "suggested", f"could not be created: {exc}"))
             continue
         log += [(c, "create", "suggested", known[name]["type"]) for c in created]
 
@@ -150,5 +150,5 @@ def apply_features(
                 log.append((str(name), "skip", "custom", f"rejected: {exc}"))
                 errors.append(("preparation", "custom_formula_rejected", f"{name}: {exc}", True))
             except TypeError as exc:
-                log.append((str(name), "skip", "custom", f"could not be created: {exc}"[:500]))
+                log.append((str(name), "skip", "custom", f"could not be created: {exc}"))
     return df, log, errors

@@ -1,8 +1,8 @@
 """Ward clusters of many rows through a bounded number of weighted centroids.
 
-Up to ``limit`` distinct points the result is the exact Ward tree.  Beyond that,
-k-means on Spark first replaces the points by ``limit`` centroids with sizes, and
-only those are merged; each row takes the cluster of its nearest centroid.
+k-means on Spark replaces the points by at most ``limit`` centroids with sizes, and those
+are merged; each row takes the cluster of its nearest centroid.  Where ``limit`` is not
+less than the number of distinct points, every point is a centroid of its own.
 """
 
 from __future__ import annotations
@@ -52,18 +52,14 @@ def ward(
 ) -> DataFrame:
     """Add the Ward cluster number of each row."""
     points = merged_points(df, features)
-    found = points.limit(limit + 1).count()
-    if found <= limit:
-        rows = points.orderBy("id").collect()
-        centres, sizes = stack(r.x for r in rows), np.array([r.w for r in rows])
-    else:
-        vectors = points.select(array_to_vector("x").alias("features"), F.col("w").cast("double"))
-        model = KMeans(k=limit, seed=seed, weightCol="w", maxIter=20, tol=1e-3, initMode="random").fit(vectors)
-        weights = model.transform(vectors).groupBy("prediction").agg(F.sum("w").alias("w")).collect()
-        held = {r.prediction: r.w for r in weights}
-        kept = sorted(held)
-        centres = np.array(model.clusterCenters())[kept]
-        sizes = np.array([held[i] for i in kept])
+    vectors = points.select(array_to_vector("x").alias("features"), F.col("w").cast("double"))
+    model = KMeans(k=limit, seed=seed, weightCol="w", maxIter=20, tol=1e-3, initMode="random").fit(vectors)
+    weights = model.transform(vectors).groupBy("prediction").agg(F.sum("w").alias("w")).collect()
+    held = {r.prediction: r.w for r in weights}
+    centres = np.array(model.clusterCenters())
+    kept = sorted(held, key=lambda i: tuple(centres[i]))  # numbers follow the centroids' order, not the draw
+    sizes = np.array([held[i] for i in kept])
+    centres = centres[kept]
     if len(centres) < k:
         raise ValueError(f"{len(centres)} distinct points cannot form {k} clusters")
     numbers = ward_labels(centres, sizes, k).astype("int32")

@@ -28,12 +28,13 @@ def _class_scores(df: DataFrame, label: str, pred: str) -> DataFrame:
 
 
 def classification_metrics(
-    df: DataFrame, label: str, pred: str, score: str | None = None, positive=None
+    df: DataFrame, label: str, pred: str, score: str | None = None, positive=None, one: float | None = 1.0
 ) -> DataFrame:
     """Accuracy, F1, precision, recall and, with a ``score`` column, average precision.
 
-    Up to two labels: scores of the positive one (1 if it occurs, else the greater of
-    two).  More labels: the plain mean over labels.  0/0 counts as 0.
+    Up to two labels: scores of the positive one (``one`` if it occurs, else the greater of
+    two).  More labels: the plain mean over labels.  0/0 counts as 0.  Where numbers stand for
+    the labels, ``one`` is the number of the label 1, or None if no label is 1.
     """
     zero = F.lit(0.0)
     precision = F.coalesce(share(F.col("hits"), F.col("predicted")), zero)
@@ -41,7 +42,7 @@ def classification_metrics(
     f1 = F.coalesce(share(2 * F.col("hits"), F.col("actual") + F.col("predicted")), zero)
     per_class = _class_scores(df, label, pred).select(
         "cls", "hits", "actual", precision.alias("precision"), recall.alias("recall"), f1.alias("f1"),
-        (F.col("cls").cast("string").try_cast("double") == 1.0).alias("is_one"),
+        (F.col("cls").cast("string").try_cast("double") == F.lit(one).cast("double")).alias("is_one"),
     )
     # Two labels at most: 1 beats others, then the greater; a lone label has to be 1.
     rank = F.struct(F.coalesce(F.col("is_one"), F.lit(False)), F.col("cls"))

@@ -353,7 +353,7 @@ def preprocess(
         try:
             model.projection = fit_projection(encoded, model.columns, reduction, components)
         except Exception as exc:  # the unreduced table stays usable
-            errors.append(("preparation", "dimension_reduction_failed", f"{reduction}: {exc}"[:500], True))
+            errors.append(("preparation", "dimension_reduction_failed", f"{reduction}: {exc}", True))
         if model.projection:
             p = model.projection
             log.append(

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabloom.functions.columns import content_hash, ref, text_of
+from tabloom.functions.columns import content_hash, ref
 
 TEST_SHARE = 0.25
 SEED = 42
@@ -35,10 +35,11 @@ def split_features(df: DataFrame, target: str | None) -> tuple[list[str], str |
 
 
 def _class_key(by: str | None) -> Column:
-    return F.lit("") if by is None else text_of(ref(by))
+    """A text per class; null is the empty one, which no value's text is."""
+    return F.lit("") if by is None else F.coalesce(F.concat(F.lit("="), ref(by).cast("string")), F.lit(""))
 
 
-def _sized_hint(per_class: DataFrame, classes: int) -> DataFrame:
+def sized_hint(per_class: DataFrame, classes: int) -> DataFrame:
     """Broadcast a table of one row per class while the classes are few; else Spark decides."""
     return F.broadcast(per_class) if classes <= BROADCAST_CLASSES else per_class
 
@@ -56,7 +57,7 @@ def _last_hashes(keyed: DataFrame, wanted: list[tuple[str, int, int]], limit: in
     while digits < _DIGITS:
         digits = _DIGITS if widest <= limit else min(_DIGITS, known + _PREFIX_DIGITS)
         open_cuts = keyed.sparkSession.createDataFrame(cuts, "_class string, _cut string, _need bigint")
-        inside = keyed.join(_sized_hint(open_cuts, len(cuts)), "_class")
+        inside = keyed.join(sized_hint(open_cuts, len(cuts)), "_class")
         if known:
             inside = inside.filter(F.substring("_hash", 1, known) == F.col("_cut"))
         histogram = inside.groupBy("_class", "_need", F.substring("_hash", 1, digits).alias("_prefix")).agg(
@@ -82,7 +83,7 @@ def _copies(rows: DataFrame, count: Column, flag: bool) -> DataFrame:
     return (
         rows.filter(count > 0)
         .withColumn("_chunk", F.explode(chunks))
-        .repartition("_chunk")
+        .repartition(*map(ref, rows.columns), "_chunk")
         .withColumn("_copy", F.explode(F.sequence(F.lit(1), size)))
         .withColumn("is_test", F.lit(flag))
     )
@@ -112,7 +113,7 @@ def train_test_split(
     found = _last_hashes(keyed.select("_class", "_hash"), wanted, limit)
     last = df.sparkSession.createDataFrame(found, "_class string, _last string, _take bigint, _have bigint")
     # With few classes the split is one pass without a shuffle.
-    placed = keyed.join(_sized_hint(last, len(found)), "_class", "left")
+    placed = keyed.join(sized_hint(last, len(found)), "_class", "left")
     whole = placed.select(*map(ref, names), (F.col("_hash") <= F.col("_last")).alias("is_test"))
     if all(take == have for _, _, take, have in found):
         return whole
@@ -134,12 +135,11 @@ def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFra
     """Add the weight rows / (classes * rows of the class)."""
     counts = df.groupBy(ref(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"))
     facts = counts.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("classes")).first()
-    # The join side has one row per class; Spark broadcasts it by its measured size.
     weights = counts.select(
         "_label",
         F.try_divide(F.lit(float(facts.rows or 0)), F.lit(float(facts.classes)) * F.col("_n")).alias(name),
     )
-    joined = df.join(weights, ref(label).eqNullSafe(F.col("_label")))
+    joined = df.join(sized_hint(weights, facts.classes), ref(label).eqNullSafe(F.col("_label")))
     return joined.select(*map(ref, df.columns), name)
 
 

@@ -15,19 +15,16 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.columns import present, ref
 from tabloom.models import select_zoo
-from tabloom.models.base import MAX_CLASSES, Fold, ModelSpec, sized, vector_rows
+from tabloom.models.base import Fold, ModelSpec, sized, vector_rows
 from tabloom.operators.metrics import classification_metrics, cluster_counts, regression_metrics
 from tabloom.operators.prepare import PreparedData
 from tabloom.operators.rank import RECORD_SCHEMA
 from tabloom.operators.silhouette import silhouette
-from tabloom.operators.split import train_test_split
+from tabloom.operators.split import sized_hint, train_test_split
 from tabloom.session import ensure_checkpoint_dir, settle
 from tabloom.sources.tables import require_min_rows
 
 MAX_WORKERS = 4
-#: Rows up to which "auto" takes the exact silhouette, whose work is quadratic.
-EXACT_SILHOUETTE_ROWS = 200_000
-
 
 #: Families from the longest to the shortest fits: long ones start first, so that none is left over alone.
 FAMILIES_BY_LENGTH = ("boosting", "svm", "hierarchical", "density", "tree", "instance", "centroid", "distribution")
@@ -47,10 +44,19 @@ def _expected_length(spec: ModelSpec) -> int:
 
 
 def _classes(rows: DataFrame, target: str) -> list:
-    found = [r[0] for r in rows.select(ref(target)).distinct().limit(MAX_CLASSES + 1).collect()]
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"target {target!r} has more than {MAX_CLASSES} classes")
-    return sorted(found)
+    """All classes in order; their list has to fit the driver, as the models keep a row per class anyway."""
+    return sorted(r[0] for r in rows.select(ref(target)).distinct().collect())
+
+
+def _one(classes: list) -> float | None:
+    """The number of the class 1, None if no class is 1."""
+    for number, name in enumerate(classes):
+        try:
+            if float(name) == 1.0:
+                return float(number)
+        except (TypeError, ValueError):
+            continue
+    return None
 
 
 @contextmanager
@@ -76,8 +82,10 @@ def folds(prepared: PreparedData) -> Iterator[Fold]:
     if prepared.task == "classification":
         classes = _classes(known, target)
         split = train_test_split(known, by=target if len(classes) > 1 else None)
-        numbers = F.array(*[F.lit(c) for c in classes])
-        label = (F.array_position(numbers, ref(target)) - 1).cast("double")
+        spark, kind = known.sparkSession, known.schema[target].dataType.simpleString()
+        numbers = spark.createDataFrame([(c, float(i)) for i, c in enumerate(classes)], f"_class {kind}, _label double")
+        split = split.join(sized_hint(numbers, len(classes)), ref(target) == F.col("_class")).drop("_class")
+        label = F.col("_label")
     else:
         split = train_test_split(known)
         label = ref(target).cast("double")
@@ -101,15 +109,10 @@ def folds(prepared: PreparedData) -> Iterator[Fold]:
         test.unpersist()
 
 
-def _silhouette_method(method: str, rows: int) -> str:
-    return method if method != "auto" else ("exact" if rows <= EXACT_SILHOUETTE_ROWS else "squared")
-
-
 def _scores(task: str, predicted: DataFrame, fold: Fold, silhouette_method: str) -> dict[str, float]:
     if task == "clustering":
         counts = cluster_counts(predicted, "prediction").first()
-        method = _silhouette_method(silhouette_method, fold.n_train)
-        quality = silhouette(predicted, ["x"], "prediction", method).first()[0]
+        quality = silhouette(predicted, ["x"], "prediction", silhouette_method).first()[0]
         return {
             "n_clusters": float(counts.n_clusters), "n_noise": float(counts.n_noise),
             "silhouette": float(quality if quality is not None else "nan"),
@@ -118,12 +121,12 @@ def _scores(task: str, predicted: DataFrame, fold: Fold, silhouette_method: str)
         row = regression_metrics(predicted, "label", "prediction").first()
         return {k: float(v) for k, v in row.asDict().items() if v is not None}
     score = "score" if "score" in predicted.columns else None
-    row = classification_metrics(predicted, "label", "prediction", score, 1.0 if score else None).first()
+    row = classification_metrics(predicted, "label", "prediction", score, 1.0 if score else None, _one(fold.classes)).first()
     found = {k: float(v) for k, v in row.asDict().items() if v is not None}
     return {"pr_auc": float("nan")} | found
 
 
-def run_one(spec: ModelSpec, task: str, fold: Fold, silhouette_method: str = "auto") -> dict:
+def run_one(spec: ModelSpec, task: str, fold: Fold, silhouette_method: str = "squared") -> dict:
     """Fit, predict and score one model.  A failure becomes a record, never an exception."""
     started = time.perf_counter()
     record = {
@@ -140,11 +143,11 @@ def run_one(spec: ModelSpec, task: str, fold: Fold, silhouette_method: str = "au
             predicted.unpersist()
         record["params"] |= found
         if task == "clustering":
-            record["params"]["silhouette"] = _silhouette_method(silhouette_method, fold.n_train)
+            record["params"]["silhouette"] = silhouette_method
         record["n_train_samples"], record["n_test_samples"] = fold.n_train, fold.n_test
         record["success"] = True
     except Exception as exc:  # isolation: one model must not stop the others
-        record["error_type"], record["error_message"] = type(exc).__name__, str(exc)[:500]
+        record["error_type"], record["error_message"] = type(exc).__name__, str(exc)
     record["runtime_seconds"] = round(time.perf_counter() - started, 4)
     return record
 
@@ -154,7 +157,7 @@ def _capped(spec: ModelSpec, task: str, fold: Fold, cap: float, method: str, run
     context = fold.train.sparkSession.sparkContext
     group = f"{run}-{spec.name}"
     context.setJobGroup(group, spec.name, interruptOnCancel=True)
-    context.setLocalProperty("spark.scheduler.pool", group)
+    context.setLocalProperty("spark.scheduler.pool", f"tabloom-{spec.family}")  # a fixed set of names
     if cap <= 0:
         return run_one(spec, task, fold, method)
     done, late = threading.Event(), threading.Event()
@@ -191,13 +194,12 @@ def run_experiments(
     max_experiments: int | None = None,
     max_workers: int | None = None,
     time_cap_s: float = 0,
-    silhouette_method: str = "auto",
+    silhouette_method: str = "squared",
 ) -> DataFrame:
     """One record per model, by name.  Raises :class:`AllExperimentsFailed` if none succeeded.
 
-    ``silhouette_method`` is ``"exact"``, ``"squared"`` (linear time, squared distances, all
-    rows) or ``"auto"``, the exact one as long as its quadratic work is bearable; the
-    records' parameters name the one taken.
+    ``silhouette_method`` is ``"squared"`` (linear time, squared distances, all rows) or ``"exact"``
+    (Euclidean distances, quadratic work), the same at every size; the records' parameters name it.
     """
     task = prepared.task
     zoo = (select_zoo(task) if zoo is None else list(zoo))[:max_experiments]

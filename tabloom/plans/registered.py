@@ -6,6 +6,7 @@ Floating point results are rounded on both sides.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -452,16 +453,22 @@ def detect_task_hint_and_override(spark, folder):
 
 @query(
     "detect_target",
-    "SELECT * FROM (VALUES ('embeddings', 'label'), ('orders', 'o_orderpriority'), ('part', 'p_size')) AS t(\"table\", target_column)",
+    union_sql(
+        [
+            f"SELECT '{name}' AS \"table\", '{column}' AS target_column, count(DISTINCT {column}) AS n_values FROM {name}"
+            for name, column in (("embeddings", "label"), ("orders", "o_orderpriority"), ("part", "p_size"))
+        ]
+    ),
 )
 def detect_target(spark, folder):
-    """A known name, the last column, and a loosely written name."""
-    rows = [
-        ("embeddings", detect.detect_target(table(spark, folder, "embeddings").select("label", "vec_id"))),
-        ("orders", detect.detect_target(table(spark, folder, "orders"))),
-        ("part", detect.detect_target(table(spark, folder, "part"), "SIZE")),
-    ]
-    return spark.createDataFrame(rows, "table string, target_column string")
+    """A known name, the last column, and a loosely written name; with the values of what was found."""
+    found = None
+    for name, columns, hint in (("embeddings", ("label", "vec_id"), None), ("orders", ("*",), None), ("part", ("*",), "SIZE")):
+        df = table(spark, folder, name).select(*columns)
+        target = detect.detect_target(df, hint) if hint else detect.detect_target(df)
+        values = df.agg(F.lit(name).alias("table"), F.lit(target).alias("target_column"), F.count_distinct(target).alias("n_values"))
+        found = values if found is None else found.unionByName(values)
+    return found
 
 
 def balance_sql(column: str, source: str) -> str:
@@ -792,6 +799,22 @@ def train_test_split_sizes(spark, folder):
     return done.groupBy("l_returnflag").agg(F.count_if(F.col("is_test")).alias("test_rows"), F.count(F.lit(1)).alias("all_rows"))
 
 
+@query(
+    "train_test_split_null_class",
+    "SELECT CASE WHEN c_nationkey < 8 THEN 'null' WHEN c_nationkey < 16 THEN 'mark' ELSE 'text' END AS kind, "
+    "ceil(0.25 * count(*))::BIGINT AS test_rows, count(*) AS all_rows FROM customer GROUP BY 1",
+)
+def train_test_split_null_class(spark, folder):
+    """A class of nulls beside one whose text is the usual mark of null."""
+    nation = F.col("c_nationkey")
+    df = table(spark, folder, "customer").withColumn(
+        "c_class", F.when(nation < 8, None).when(nation < 16, F.lit("\\N")).otherwise(F.lit("x"))
+    )
+    kind = F.when(F.col("c_class").isNull(), "null").when(nation < 16, "mark").otherwise("text")
+    done = split.train_test_split(df, by="c_class")
+    return done.groupBy(kind.alias("kind")).agg(F.count_if("is_test").alias("test_rows"), F.count(F.lit(1)).alias("all_rows"))
+
+
 @query(
     "balanced_weights",
     "SELECT doc_id, quality, (SELECT count(*) FROM labels)::DOUBLE / ((SELECT count(DISTINCT quality) FROM labels) * "
@@ -927,7 +950,13 @@ def silhouette_of_columns(spark, folder):
     return rounded(silhouette(df, ["x", "y"], "k"))
 
 
-@query("silhouette_squared")
+@query(
+    "silhouette_squared",
+    silhouette_sql(
+        "power(list_distance(a.e, b.e), 2)",
+        "(SELECT vec_id AS id, label AS k, embedding::DOUBLE[] AS e FROM embeddings)",
+    ),
+)
 def silhouette_squared(spark, folder):
     return rounded(silhouette(table(spark, folder, "embeddings"), ["embedding"], "label", method="squared"))
 
@@ -1174,9 +1203,13 @@ def dbscan_suppliers(spark, folder):
 
 # ---------------------------------------------------------------- models without an SQL form
 
-def _record_rows(spark: SparkSession, record: dict) -> DataFrame:
+def _checked(record: dict) -> dict:
     if not record["success"]:
         raise RuntimeError(f"{record['model_name']}: {record['error_type']}: {record['error_message']}")
+    return record
+
+
+def _record_rows(spark: SparkSession, record: dict) -> DataFrame:
     rows = [(record["model_name"], metric, float(value)) for metric, value in sorted(record["metrics"].items())]
     return spark.createDataFrame(rows, "model_name string, metric string, value double")
 
@@ -1197,13 +1230,23 @@ def scaled_customers(spark, folder) -> PreparedData:
 
 
 def _model_query(name: str, task: str, spec, make_fold) -> None:
-    @query(name)
+    """What SQL can state of a fitted model: the rows it learned from and was scored on, and the scores that are numbers."""
+    scores = "accuracy,f1,pr_auc,precision,recall" if task == "classification" else "mae,r2,rmse"
+
+    @query(
+        name,
+        f"WITH s AS {CUSTOMER_SPLIT} SELECT '{spec.name}' AS model_name, count(CASE WHEN NOT is_test THEN 1 END) AS n_train, "
+        f"count(CASE WHEN is_test THEN 1 END) AS n_test, '{scores}' AS scores FROM s",
+    )
     def run(spark, folder):
         ensure_checkpoint_dir(spark)
         fold = make_fold(spark, folder)
         fold.train, fold.test = sized(fold.train, fold.n_train).persist(), sized(fold.test, fold.n_test).persist()
         try:
-            return _record_rows(spark, run_one(spec, task, fold))
+            record = _checked(run_one(spec, task, fold))
+            numbers = ",".join(sorted(k for k, v in record["metrics"].items() if math.isfinite(v)))
+            row = (record["model_name"], record["n_train_samples"], record["n_test_samples"], numbers)
+            return spark.createDataFrame([row], "model_name string, n_train bigint, n_test bigint, scores string")
         finally:
             fold.train.unpersist()
             fold.test.unpersist()
@@ -1218,16 +1261,50 @@ for _spec in select_zoo("regression"):
 
 
 def _cluster_query(spec) -> None:
-    @query(f"cluster_{spec.name.replace('.', '_')}")
+    """Rows clustered, and the clusters formed where their number is a parameter."""
+    wanted = f"{spec.params['k']}::DOUBLE" if "k" in spec.params else "NULL::DOUBLE"
+
+    @query(
+        f"cluster_{spec.name.replace('.', '_')}",
+        f"SELECT '{spec.name}' AS model_name, true AS success, count(*) AS n_train, {wanted} AS n_clusters FROM customer",
+    )
     def run(spark, folder):
         record = run_experiments(scaled_customers(spark, folder), zoo=[spec])
-        return record.select("model_name", F.explode("metrics").alias("metric", "value"))
+        clusters = F.col("metrics").getItem("n_clusters") if "k" in spec.params else F.lit(None).cast("double")
+        return record.select(
+            "model_name", "success", F.col("n_train_samples").cast("bigint").alias("n_train"), clusters.alias("n_clusters")
+        )
 
 
 for _spec in select_zoo("clustering"):
     _cluster_query(_spec)
 
 
+@query(
+    "experiment_scores_labels_1_2",
+    f"WITH s AS {CUSTOMER_SPLIT}, t AS (SELECT CASE WHEN c_acctbal > 5000 THEN 2 ELSE 1 END AS y, is_test FROM s), "
+    "m AS (SELECT y FROM t WHERE NOT is_test GROUP BY y ORDER BY count(*) DESC, y LIMIT 1), "
+    "c AS (SELECT avg((t.y = 1)::INTEGER) AS p1, avg((t.y = 2)::INTEGER) AS p2, max(m.y) AS m FROM t, m WHERE is_test) "
+    "SELECT 'majority_class' AS model_name, metric, round(value, 6) AS value FROM ("
+    + union_sql(
+        [
+            f"SELECT '{metric}' AS metric, ({value})::DOUBLE AS value FROM c"
+            for metric, value in (
+                ("accuracy", "CASE WHEN m = 1 THEN p1 ELSE p2 END"), ("f1", "CASE WHEN m = 1 THEN 2 * p1 / (1 + p1) ELSE 0 END"),
+                ("precision", "CASE WHEN m = 1 THEN p1 ELSE 0 END"), ("recall", "CASE WHEN m = 1 THEN 1 ELSE 0 END"), ("pr_auc", "p2"),
+            )
+        ]
+    )
+    + ")",
+)
+def experiment_scores_labels_1_2(spark, folder):
+    """Labels 1 and 2 as numbers 0 and 1: the scores are those of label 1."""
+    fold = balance_flag_fold(spark, folder)
+    fold.classes = [1, 2]
+    spec = next(s for s in select_zoo("classification") if s.name == "majority_class")
+    return rounded(_record_rows(spark, _checked(run_one(spec, "classification", fold))))
+
+
 @query("experiments_regression_ranked")
 def experiments_regression_ranked(spark, folder):
     """The whole regression zoo on part: price from size and brand."""
@@ -1244,3 +1321,31 @@ def study_of_customers(spark, folder):
     )
     result = run_pipeline(df, custom_features=({"name": "twice", "formula": "c_nationkey * 2"},))
     return result.leaderboard.drop("runtime_seconds")
+
+
+LINES_PREPARED = (
+    "WITH d AS (SELECT * FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, "
+    "l_tax, l_quantity * l_discount AS a, l_extendedprice * l_tax AS b, l_extendedprice / l_quantity AS c, l_partkey + l_suppkey AS d, "
+    "(l_returnflag = 'R')::INTEGER AS label FROM lineitem))"
+)
+
+
+@query(
+    "study_of_lineitem",
+    f"{LINES_PREPARED} SELECT model_name, ceil(0.25 * sum(n))::BIGINT >= 1 AS scored, sum(n)::BIGINT AS n_rows FROM "
+    "(SELECT label, count(*) AS n FROM d GROUP BY label), "
+    "(VALUES ('logistic_regression'), ('majority_class')) AS m(model_name) GROUP BY model_name",
+)
+def study_of_lineitem(spark, folder):
+    """A whole run over twelve numeric columns and two classes, with the two linear-time models."""
+    df = table(spark, folder, "lineitem").select(
+        *LINEITEM_NUMBERS, (F.col("l_quantity") * F.col("l_discount")).alias("a"), (F.col("l_extendedprice") * F.col("l_tax")).alias("b"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("c"), (F.col("l_partkey") + F.col("l_suppkey")).alias("d"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label"),
+    )
+    zoo = [s for s in select_zoo("classification") if s.name in ("majority_class", "logistic_regression")]
+    result = run_pipeline(df, scope={"zoo": zoo})
+    return result.records.filter("success").select(
+        "model_name", (F.col("n_test_samples") >= 1).alias("scored"),
+        (F.col("n_train_samples") + F.col("n_test_samples")).cast("bigint").alias("n_rows"),
+    )
