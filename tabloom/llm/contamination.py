@@ -122,7 +122,8 @@ def _item_windows(width: int):
                     hashes = window_hashes(template[a:b], size).astype(np.int64).tolist()
                     for k, h in enumerate(hashes):
                         rows.append((h, size, item, k, len(hashes), _slots(template, own, a + k, size)))
-            yield pd.DataFrame(rows, columns=["hash", "width", "item_id", "item_at", "item_windows", "item_slots"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["hash", "width", "item_id", "item_at", "item_windows", "item_slots"])
 
     return work
 
@@ -147,6 +148,8 @@ def _document_windows(widths: list[int], sent):
                     inside = at + width <= bounds[row + 1]
                     for k, r in zip(at[inside].tolist(), row[inside].tolist(), strict=True):
                         found.append((r + low, k - int(bounds[r]), int(hashes[k].astype(np.int64)), width, _slots(template, own, k, width)))
+                if not found:
+                    continue
                 rows = [f[0] for f in found]
                 yield pd.DataFrame(
                     {
