@@ -26,6 +26,18 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, WHITE_SPACE), lambda word: word != "")
 
 
+def hashed_sample(df: DataFrame, name: str, size: int) -> DataFrame:
+    """About ``size`` different values of a text column, by their hash; all of them if there are no more rows than that.
+
+    What is taken depends on the values and on the number of rows only.  Copies of a value are combined before
+    they are shuffled.
+    """
+    share = size / max(1, df.count())
+    number = F.xxhash64(name)
+    taken = df.select(ref(name)).filter(F.pmod(number, F.lit(1_000_000_007)) / F.lit(1_000_000_007.0) < share)
+    return taken.groupBy(number.alias("_hash")).agg(F.first(name).alias(name)).select(name)
+
+
 def packed(df: DataFrame, name: str = "_row") -> DataFrame:
     """All columns of a row as one struct, so that no column added later can clash with them."""
     return df.select(F.struct(*[ref(c) for c in df.columns]).alias(name))

@@ -3,11 +3,11 @@
 Spans are offsets in code points.  A pattern's matches and the text between them, cut at the
 same matches, give the offsets without any code per row.  Long tokens outside those spans are judged by
 the log-likelihood ratio of two first-order Markov models, one of random strings and one of ordinary words and identifiers.
-Both are trained on a sample of ``SAMPLE`` rows with the least hash of their text: random strings are
+Both are trained on a sample of about ``SAMPLE`` different texts, by their hash: random strings are
 the secrets that the patterns find there and digests in the usual alphabets, ordinary ones all other tokens.
 The models are one number per pair of characters.
 
-Defined cases: a null or empty text has no spans; equal rows are scanned each, and count each in the
+Defined cases: a null or empty text has no spans; equal rows are scanned each, and count once in the
 sample; texts of any length are scanned whole (texts above ``SAMPLE_CHARS`` are left out of the training sample only);
 an empty table gives an empty result; other columns are left alone.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref
-from tabloom.llm.common import packed
+from tabloom.llm.common import hashed_sample, packed
 
 #: The patterns, and the kinds in their order.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -92,8 +92,7 @@ def _transitions(tokens: DataFrame) -> DataFrame:
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[float]:
     """Log-likelihood ratio of each pair of characters, by 128 x the first code + the second."""
     body = F.coalesce(ref(text).cast("string"), F.lit("")).alias("_text")
-    chosen = docs.select(body).filter(F.length("_text") <= SAMPLE_CHARS).orderBy(F.xxhash64("_text")).limit(sample)
-    rows = _with_base(chosen)
+    rows = _with_base(hashed_sample(docs.select(body).filter(F.length("_text") <= SAMPLE_CHARS), "_text", sample))
     digest = "sha2(_text, 256)"
     made = F.array(
         F.expr(digest), F.upper(F.expr(digest)), F.base64(F.unhex(F.expr(digest))), F.base64(F.unhex(F.sha2(F.reverse("_text"), 256)))
