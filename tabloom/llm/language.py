@@ -125,9 +125,10 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """Fit on a share of each language's rows, by their hash, so that about ``per_language`` come to the driver."""
     rows = docs.select(ref(text).cast("string").alias("text"), ref(lang).cast("string").alias("lang"), ref(key).alias("key"))
     rows = rows.filter(~held_out(F.col("key")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count()
+    # One row per language: the model keeps as many columns, so their number is bounded by what it can hold.
+    counts = docs.sparkSession.createDataFrame(rows.groupBy("lang").count().collect(), "lang string, count bigint")
     place = F.pmod(F.xxhash64("key", "text"), F.lit(1_000_000_007)) / 1_000_000_007
-    chosen = rows.join(counts, "lang").filter(place * F.col("count") < per_language).select("lang", "text", place.alias("place"))
+    chosen = rows.join(F.broadcast(counts), "lang").filter(place * F.col("count") < per_language).select("lang", "text", place.alias("place"))
     found = sorted((r.place, r.lang, r.text) for r in chosen.collect())
     return fit([f[2] for f in found], [f[1] for f in found])
 
