@@ -4,7 +4,7 @@ A page is its leaf blocks in order.  A bidirectional LSTM sees each block's tag
 numbers and, through both directions, the whole page; it labels every block as main text or not.  Blocks of main text are
 joined by one space.
 
-It is trained on two bounded sources, both made from ``SAMPLE`` pages with the least hash: those pages, where
+It is trained on two bounded sources, both made from about ``SAMPLE`` different pages, by their hash: those pages, where
 ``article`` and ``main`` elements without their asides give the labels, and ``LAID_OUT`` layouts of the same
 sentences with menus, headers, notices, adverts, sidebars, forms and reader comments in many kinds of
 elements, whose labels are known.
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref
 from tabloom.llm.block_labeller import BlockLabeller
+from tabloom.llm.common import hashed_sample
 from tabloom.llm.html_blocks import PATH_BUCKETS, Block, blocks_of, bucket
 
 SAMPLE = 200
@@ -209,8 +210,8 @@ class _Layout:
 
 def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE, laid_out: int = LAID_OUT, seed: int = 7) -> BlockLabeller:
     body = F.coalesce(ref(html).cast("string"), F.lit("")).alias("html")
-    chosen = pages.select(body).filter(F.length("html").between(1, SAMPLE_CHARS)).orderBy(F.xxhash64("html"), "html").limit(sample)
-    own = [b[:STRETCH] for r in chosen.collect() if (b := blocks_of(r.html))]
+    chosen = hashed_sample(pages.select(body).filter(F.length("html").between(1, SAMPLE_CHARS)), "html", sample)
+    own = [b[:STRETCH] for page in sorted(r.html for r in chosen.collect()) if (b := blocks_of(page))]
     labels = [labels_by_markup(b) for b in own]
     sentences = sorted({s.strip() + "." for blocks in own for b in blocks for s in b.text.split(".") if 2 < len(s.split()) < 60})
     rng = np.random.default_rng(seed)
