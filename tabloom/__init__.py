@@ -67,7 +67,7 @@ from tabloom.operators.suggest import (
     suggest_datetime,
 )
 from tabloom.plans.experiments import AllExperimentsFailed, run_experiments, run_one
-from tabloom.plans.study import StudyResult, run_pipeline, run_report
+from tabloom.plans.study import StudyFailed, StudyResult, run_pipeline, run_report
 from tabloom.sources.tables import (
     preview,
     read_table,

@@ -12,10 +12,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabloom.functions.formula import derive
 from tabloom.models import classification, regression, select_zoo
-from tabloom.models.base import Fold, sized, vector_rows
+from tabloom.models.base import Fold, ModelSpec, sized, vector_rows
 from tabloom.operators import detect, features, metrics, prepare, profile, rank, reduce, split, suggest
 from tabloom.operators.density import dbscan
 from tabloom.operators.neighbours import mean_label, nearest, vote
@@ -23,7 +24,7 @@ from tabloom.operators.prepare import PreparedData
 from tabloom.operators.silhouette import silhouette
 from tabloom.plans.experiments import run_experiments, run_one
 from tabloom.plans.ordered import quantiles
-from tabloom.plans.study import run_pipeline
+from tabloom.plans.study import StudyFailed, run_pipeline
 from tabloom.session import ensure_checkpoint_dir
 from tabloom.sources import tables
 
@@ -200,9 +201,31 @@ def numeric_profile_with_gaps(spark, folder):
     return rounded(profile.numeric_profile(gappy_lineitem(spark, folder)), 7)
 
 
-@query("numeric_profile_sketched")
+@query(
+    "numeric_profile_sketched",
+    union_sql(
+        [
+            f"SELECT '{c}' AS \"column\", round(avg({c}::DOUBLE), 4) AS mean, round(stddev_samp({c}::DOUBLE), 4) AS std, min({c})::DOUBLE AS min, "
+            f"max({c})::DOUBLE AS max, true AS quartiles_near, true AS unique_near FROM lineitem"
+            for c in LINEITEM_NUMBERS
+        ]
+    ),
+)
 def numeric_profile_sketched(spark, folder):
-    return profile.numeric_profile(table(spark, folder, "lineitem"), exact=False)
+    """Sketched quartiles lie within a hundredth of the rows of the exact ones, distinct counts within a tenth."""
+    df = table(spark, folder, "lineitem")
+    around = "array(0.24D, 0.26D, 0.49D, 0.51D, 0.74D, 0.76D)"
+    exact = df.select(
+        F.explode(
+            F.expr("array(" + ", ".join(f"named_struct('name', '{c}', 'v', double({c}))" for c in LINEITEM_NUMBERS) + ")")
+        ).alias("c")
+    ).groupBy(F.col("c.name").alias("column")).agg(F.expr(f"percentile(c.v, {around})").alias("q"), F.count_distinct("c.v").alias("u"))
+    found = profile.numeric_profile(df, exact=False).join(exact, "column")
+    near = " and ".join(f"{name} between q[{2 * i}] and q[{2 * i + 1}]" for i, name in enumerate(("q25", "median", "q75")))
+    return found.select(
+        "column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max", F.expr(near).alias("quartiles_near"),
+        (F.abs(F.col("unique_count") - F.col("u")) <= 0.1 * F.col("u") + 1).alias("unique_near"),
+    )
 
 
 @query(
@@ -729,15 +752,33 @@ def preprocess_log(spark, folder):
     return prepare.preprocess(table(spark, folder, "customer"), "c_mktsegment").log.drop("details")
 
 
-@query("preprocess_for_clustering")
+@query(
+    "preprocess_for_clustering",
+    "SELECT count(*) AS n_rows, true AS narrower, 0.0::DOUBLE AS cross FROM (SELECT DISTINCT embedding FROM embeddings)",
+)
 def preprocess_for_clustering(spark, folder):
-    return prepare.preprocess(embedding_columns(spark, folder).drop("label"), task="clustering").df
+    """Distinct rows, fewer columns than the inputs, and components that do not overlap."""
+    inputs = embedding_columns(spark, folder).drop("label")
+    prepared = prepare.preprocess(inputs, task="clustering")
+    return _components(prepared.df, prepared.feature_cols, len(inputs.columns))
 
 
-@query("reduce_dims_svd")
+def _components(df: DataFrame, names: list[str], inputs: int) -> DataFrame:
+    """Rows, whether there are fewer components than inputs, and the greatest cosine of a component and the next."""
+    pairs = list(zip(names[1:], names[:-1], strict=True))
+    cross = F.greatest(
+        F.lit(0.0), F.lit(0.0), *[F.abs(F.sum(F.col(a) * F.col(b))) / F.sqrt(F.sum(F.col(a) ** 2) * F.sum(F.col(b) ** 2)) for a, b in pairs]
+    )
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.lit(len(names) < inputs).alias("narrower"), (F.round(cross, 5) + 0.0).alias("cross")
+    )
+
+
+@query("reduce_dims_svd", "SELECT count(*) AS n_rows, true AS narrower, 0.0::DOUBLE AS cross FROM embeddings")
 def reduce_dims_svd(spark, folder):
     df = embedding_columns(spark, folder)
-    return reduce.reduce_dims(df, [c for c in df.columns if c != "label"], "svd", 5)
+    found = reduce.reduce_dims(df, [c for c in df.columns if c != "label"], "svd", 5)
+    return _components(found, [c for c in found.columns if c != "label"], len(df.columns) - 1)
 
 
 @query(
@@ -1305,22 +1346,43 @@ def experiment_scores_labels_1_2(spark, folder):
     return rounded(_record_rows(spark, _checked(run_one(spec, "classification", fold))))
 
 
-@query("experiments_regression_ranked")
+@query(
+    "experiments_regression_ranked",
+    "SELECT r.range::INTEGER AS rank, true AS in_order, n AS n_rows FROM range(1, 8) r, (SELECT count(*) AS n FROM "
+    "(SELECT DISTINCT p_size, p_brand, p_type, p_retailprice FROM part))",
+)
 def experiments_regression_ranked(spark, folder):
-    """The whole regression zoo on part: price from size and brand."""
+    """The whole regression zoo on part, price from size and brand: every rank once, errors rising with it."""
     df = table(spark, folder, "part").select("p_size", "p_brand", "p_type", "p_retailprice")
     records = run_experiments(prepare.preprocess(df, "p_retailprice", "regression"))
-    return rank.leaderboard(records, "regression").drop("runtime_seconds")
+    board = rank.leaderboard(records, "regression").join(records.select("model_name", "n_train_samples", "n_test_samples"), "model_name")
+    # One row per model of the zoo.
+    before = F.lag("rmse").over(Window.partitionBy(F.lit(0)).orderBy("rank"))
+    return board.select(
+        "rank", F.coalesce(F.col("rmse") >= before, F.lit(True)).alias("in_order"),
+        (F.col("n_train_samples") + F.col("n_test_samples")).cast("bigint").alias("n_rows"),
+    )
 
 
-@query("study_of_customers")
+@query(
+    "study_of_customers",
+    "SELECT model_name, true AS scored, (SELECT count(*) FROM (SELECT DISTINCT c_nationkey, c_mktsegment, c_acctbal > 5000 FROM customer)) "
+    "AS n_rows FROM (VALUES " + ", ".join(f"('{s.name}')" for s in select_zoo("classification")) + ") AS m(model_name)",
+)
 def study_of_customers(spark, folder):
     """A whole run with a confirmed task: high balance from nation and segment."""
     df = table(spark, folder, "customer").select(
         "c_nationkey", "c_mktsegment", (F.col("c_acctbal") > 5000).cast("int").alias("label")
     )
-    result = run_pipeline(df, custom_features=({"name": "twice", "formula": "c_nationkey * 2"},))
-    return result.leaderboard.drop("runtime_seconds")
+    return _studied(run_pipeline(df, custom_features=({"name": "twice", "formula": "c_nationkey * 2"},)))
+
+
+def _studied(result) -> DataFrame:
+    """The models that were scored, and the rows they shared."""
+    return result.records.filter("success").select(
+        "model_name", (F.col("n_test_samples") >= 1).alias("scored"),
+        (F.col("n_train_samples") + F.col("n_test_samples")).cast("bigint").alias("n_rows"),
+    )
 
 
 LINES_PREPARED = (
@@ -1344,8 +1406,57 @@ def study_of_lineitem(spark, folder):
         (F.col("l_returnflag") == "R").cast("int").alias("label"),
     )
     zoo = [s for s in select_zoo("classification") if s.name in ("majority_class", "logistic_regression")]
-    result = run_pipeline(df, scope={"zoo": zoo})
-    return result.records.filter("success").select(
-        "model_name", (F.col("n_test_samples") >= 1).alias("scored"),
-        (F.col("n_train_samples") + F.col("n_test_samples")).cast("bigint").alias("n_rows"),
-    )
+    return _studied(run_pipeline(df, scope={"zoo": zoo}))
+
+
+@query(
+    "csv_round_trip_documents",
+    "SELECT doc_id, md5(text) AS digest, lang FROM documents",
+)
+def csv_round_trip_documents(spark, folder):
+    """Texts with line breaks and quotes, written as CSV and read again."""
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    tables.write_table(table(spark, folder, "documents").select("doc_id", "text", "lang"), path, "csv")
+    found = tables.read_table(spark, path, "csv", "doc_id bigint, text string, lang string")
+    return found.select("doc_id", F.md5("text").alias("digest"), "lang")
+
+
+@query(
+    "guards",
+    "SELECT what, outcome, (SELECT count(*) FROM orders) AS n_rows FROM (VALUES ('empty table', 'ValueError'), ('one row', 'ValueError'), "
+    "('no features', 'NoFeaturesLeft'), ('all models fail', 'AllExperimentsFailed'), ('study stops', 'StudyFailed'), "
+    "('fatal entry', 'input: ValueError'), ('features and target', '1 feature'), ('components', '2')) AS t(what, outcome)",
+)
+def guards(spark, folder):
+    """What stops a run, each tried on the orders table."""
+    orders = table(spark, folder, "orders").select("o_orderpriority", "o_totalprice")
+
+    def broken(fold):
+        raise RuntimeError("broken on purpose")
+
+    def outcome(work) -> str:
+        try:
+            work()
+        except Exception as exc:  # the error's kind is the result
+            return type(exc).__name__
+        return "none"
+
+    def fatal() -> str:
+        try:
+            run_pipeline(orders.filter("o_totalprice < 0"))
+        except StudyFailed as stopped:
+            return "; ".join(f"{r[0]}: {r[1]}" for r in stopped.errors.filter("not recoverable").collect())
+        return "none"
+
+    prepared = prepare.preprocess(orders, "o_totalprice", "regression")
+    failing = [ModelSpec("broken", "none", {}, broken)]
+    inputs, _ = split.split_features(orders, "o_totalprice")
+    found = [
+        ("empty table", outcome(lambda: tables.require_non_empty(orders.filter("o_totalprice < 0")))),
+        ("one row", outcome(lambda: tables.require_min_rows(orders.limit(1)))),
+        ("no features", outcome(lambda: prepare.preprocess(orders.select("o_totalprice"), "o_totalprice", "regression"))),
+        ("all models fail", outcome(lambda: run_experiments(prepared, failing))),
+        ("study stops", outcome(lambda: run_pipeline(orders, "o_totalprice", task_override="regression", scope={"zoo": failing}))),
+        ("fatal entry", fatal()), ("features and target", f"{len(inputs)} feature"), ("components", str(reduce.component_count(3, 10))),
+    ]
+    return spark.createDataFrame(found, "what string, outcome string").crossJoin(orders.agg(F.count(F.lit(1)).alias("n_rows")))

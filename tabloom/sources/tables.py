@@ -49,12 +49,12 @@ def _typed(df: DataFrame) -> DataFrame:
 
 
 def read_table(
-    spark: SparkSession, path: str, fmt: str = "csv", schema: str | None = None, multiline: bool = False
+    spark: SparkSession, path: str, fmt: str = "csv", schema: str | None = None, multiline: bool = True
 ) -> DataFrame:
     """Read a table.  CSV has a header row; missing-value tokens become null before types are found.
 
-    ``schema`` (DDL text) skips the typing pass.  ``multiline`` allows line breaks
-    inside quoted cells; such a file cannot be split, so it is off by default.
+    ``schema`` (DDL text) skips the typing pass.  Quoted cells may hold line breaks, so a file is
+    read by one task; ``multiline=False`` splits files that are known to hold none.
     """
     if fmt == "parquet":
         return spark.read.parquet(path)
@@ -85,7 +85,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     if fmt == "parquet":
         writer.parquet(path)
     elif fmt == "csv":
-        writer.option("header", True).option("escape", '"').csv(path)
+        writer.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     else:
         raise ValueError(f"unknown format {fmt!r}: use 'csv' or 'parquet'")
     return path

@@ -145,5 +145,5 @@ def test_whole_run_and_report(spark, tmp_path):
     kinds = {r.error_type for r in result.errors.collect()}
     assert {"column_all_missing", "custom_formula_rejected", "experiment_failure", "high_missing_values"} <= kinds
     sections = run_report(result, str(tmp_path / "report"))
-    assert len(sections) == 13
+    assert len(sections) == 18 and "clean_table" in sections
     assert spark.read.parquet(str(tmp_path / "report" / "ranking")).count() == 2
