@@ -194,6 +194,11 @@ def _parsed(length: int, buckets: int):
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, row = TaskContext.get().partitionId(), 0
         held, rows, size = [], [], 0
+
+        def flushed() -> pd.DataFrame:
+            entries, known = np.concatenate([np.zeros(0, ENTRY), *held]), np.concatenate([np.zeros(0, ROW), *rows])
+            return _sent(entries, known, length, buckets, part)
+
         for batch in batches:
             texts = _encoded(batch["text"])
             made = np.zeros(len(batch), dtype=ROW)
@@ -205,11 +210,11 @@ def _parsed(length: int, buckets: int):
                 held.append(_Text(texts[low:high]).entries(length, row + low))
                 size += len(held[-1])
                 if size > HELD:
-                    yield _sent(np.concatenate(held), np.concatenate(rows), length, buckets, part)
+                    yield flushed()
                     held, rows, size = [], [], 0
             row += len(batch)
         if held or rows:
-            yield _sent(np.concatenate([np.zeros(0, ENTRY), *held]), np.concatenate([np.zeros(0, ROW), *rows]), length, buckets, part)
+            yield flushed()
 
     return work
 
