@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import read
+from tabloom.llm.common import LOWER, UPPER, read
 from tabloom.llm.contamination import decontaminate
 from tabloom.llm.html_extraction import extract_text
 from tabloom.llm.language import identify_languages
@@ -87,4 +87,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+#: Near duplicates can be stated in SQL; the other operators are held against plain Python in tests/llm.
+NEAR_DUPLICATES_SQL = f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[ \\t-\\x0d]+'), lambda x: x <> '') AS w
+    FROM documents),
+g AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM w),
+n AS (SELECT doc_id, len(g) AS n FROM g),
+e AS (SELECT doc_id, unnest(g) AS t FROM g),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM k JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, o.b FROM r JOIN both_ways o ON r.b = o.a),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op9_near_duplicates": NEAR_DUPLICATES_SQL}
