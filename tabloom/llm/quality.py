@@ -178,9 +178,10 @@ def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
 
 
 def quality_rules(
-    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF
+    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF,
+    carry: list[str] | None = None,
 ) -> DataFrame:
-    """One row per input row: ``_row`` (the row as it was), the statistics, ``base_failed``, ``distance``, ``kept``.
+    """One row per input row: ``_row`` (the row as it was, or its ``carry`` columns), the statistics, ``base_failed``, ``distance``, ``kept``.
 
     ``distance`` is the squared robust distance, null where the fixed limits failed.
     """
@@ -191,6 +192,8 @@ def quality_rules(
     rows = with_statistics(rows, body)
     repeated = F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEATED_PERCENT) * F.col("n_words")
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | repeated)
+    if carry is not None:
+        rows = rows.withColumn("_row", F.struct(*[F.col("_row").getField(c).alias(c) for c in carry]))
     rows = staged(rows.withColumns({f"_x{i}": F.expr(sql) for i, (sql, _) in enumerate(FEATURES)}))
     rows = _grouped(rows)
     passed = rows.filter(~F.col("base_failed")).select("_group", *[f"_x{i}" for i in _K])

@@ -70,7 +70,7 @@ def op9_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text", "lang", "source")
-    found = quality_rules(docs)
+    found = quality_rules(docs, carry=["doc_id"])
     return found.select(F.col("_row.doc_id").alias("doc_id"), *STATISTICS, "base_failed", "kept", "distance")
 
 
