@@ -43,10 +43,10 @@ EVERY = 32
 #: Offsets of a window's first mark, as shares of its length, up to which entries are kept apart; beyond the last one the window stands alone.
 LEVELS = (0.32, 0.64, 0.8)
 #: Entries that a task holds before it sends them, and blocks of a core in them from which on it is spread.
-HELD = 1_000_000
+HELD = 250_000
 CROWDED = 64
 #: Bytes of text per bucket, and bytes of ranges that are sent to all tasks at most.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 SENT = 64 << 20
 
 ENTRY = np.dtype([("core", "<u8"), ("block", "<u8"), ("row", "<u4"), ("low", "<u4"), ("span", "<u2"), ("flags", "<u1")])
