@@ -10,8 +10,8 @@ Bands of a class's signature put it in buckets.  Candidates of a bucket are comp
 
 So a bucket of many near copies costs one comparison per class, and yet each link that
 connects two components is found.  A comparison goes through the signatures in batches and ends as
-soon as the posterior chance of reaching the threshold falls below ``MISS``; survivors
-are verified on their full shingle sets.
+soon as the posterior chance of reaching the threshold falls below a bound, chosen so that a pair of exactly the threshold
+is given up with a chance of at most ``MISS`` over all batches; survivors are verified on their full shingle sets.
 
 Defined cases: a null or empty text, or one without words, has no shingles and is linked with nothing; rows
 without id take part, but name a component only by the ids of others; equal rows
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,8 @@ PERCENT = 80
 BANDS, ROWS = 25, 5
 HASHES = 256
 BATCH = 32
-#: Chance at which a pair of exactly the threshold may be given up before verification.
-MISS = 1e-3
+#: Chance, over all batches, at which a pair of exactly the threshold may be given up before verification.
+MISS = 1e-6
 BLOCK = 1024
 
 
@@ -62,21 +63,38 @@ def signature(shingles: np.ndarray, factors: np.ndarray, masks: np.ndarray) -> n
     return least
 
 
+def chance_given_up(percent: int, least: dict[int, int]) -> float:
+    """The chance that a pair of exactly the threshold falls below the least matches at any number of hashes."""
+    going, lost, at = np.ones(1), 0.0, 0
+    for n, wanted in sorted(least.items()):
+        batch = np.array([comb(n - at, k) * (percent / 100) ** k * (1 - percent / 100) ** (n - at - k) for k in range(n - at + 1)])
+        going, at = np.convolve(going, batch), n
+        lost += going[:wanted].sum()
+        going[:wanted] = 0
+    return float(lost)
+
+
 def least_matches(percent: int, hashes: int = HASHES, batch: int = BATCH, miss: float = MISS) -> dict[int, int]:
     """For each number of hashes compared: the least matches at which a pair goes on.
 
-    With m of n equal, the similarity has a Beta(m + 1, n - m + 1) posterior.
+    With m of n equal, the similarity has a Beta(m + 1, n - m + 1) posterior.  The bound on its chance is
+    halved until all batches together give up a pair of exactly the threshold with at most ``miss``.
     """
     grid = (np.arange(20_000) + 0.5) / 20_000
-    found = {}
+    yes, no = np.log(grid), np.log1p(-grid)
+    chances = {}
     for n in range(batch, hashes + 1, batch):
+        chances[n] = np.zeros(n + 1)
         for m in range(n + 1):
-            log = m * np.log(grid) + (n - m) * np.log1p(-grid)
+            log = m * yes + (n - m) * no
             density = np.exp(log - log.max())
-            if density[grid >= percent / 100].sum() >= miss * density.sum():
-                found[n] = m
-                break
-    return found
+            chances[n][m] = density[grid >= percent / 100].sum() / density.sum()
+    bound = miss
+    while True:
+        least = {n: int(np.argmax(chance >= bound)) for n, chance in chances.items()}
+        if chance_given_up(percent, least) <= miss:
+            return least
+        bound /= 2
 
 
 def _lowered(texts: pd.Series) -> list[bytes]:
