@@ -10,13 +10,17 @@ from html import unescape
 import numpy as np
 
 #: Fixed values of HTML: elements without end, elements inside a line of text, elements that a new block ends,
-#: and elements whose content is no text of the page.
+#: elements that may stand in head (all others end it), and elements whose content is no text of the page.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE |= set("math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup".split())
+INLINE |= set("msubsup munder mover munderover mmultiscripts mprescripts none annotation annotation-xml".split())
 ENDS_ITSELF = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_PARAGRAPH = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SCOPE = set("article aside body div footer form header html main nav ol section table td th ul".split())
-HIDDEN = set("head noscript template svg math select button datalist object audio video canvas".split())
+IN_HEAD = set("head html base basefont bgsound link meta noframes noscript script style template title".split())
+#: The annotations of a formula are its source and not shown.
+HIDDEN = set("head noscript template svg annotation annotation-xml select button datalist object audio video canvas".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|iframe|xmp|noembed|noframes)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)/?>|<[!?/][^>]*+>",
@@ -100,8 +104,17 @@ def blocks_of(page: str) -> list[Block]:
                 return None
         return None
 
+    def end_head(tag: str) -> None:
+        """Ends an open head before what may not stand in it; noscript and template in head may hold anything but a body."""
+        if tag == "body" and (place := innermost({"head"}, {"template"})) is not None:
+            pop(place)
+        elif stack and stack[-1].tag == "head" and tag not in IN_HEAD:
+            pop(len(stack) - 1)
+
     def add(text: str) -> None:
         nonlocal path, linked, started
+        if hidden and text and not text.isspace():
+            end_head("")
         if text and not hidden:
             pieces.append(text)
             if not text.isspace():
@@ -116,6 +129,8 @@ def blocks_of(page: str) -> list[Block]:
         at = match.end()
         tag = match[3]
         if tag is None:
+            if match[1]:
+                end_head(match[1].lower())
             continue
         tag = tag.lower()
         if tag not in INLINE:
@@ -125,6 +140,7 @@ def blocks_of(page: str) -> list[Block]:
             if place is not None:
                 pop(place)
             continue
+        end_head(tag)
         if tag in ENDS_PARAGRAPH and (place := innermost({"p"}, SCOPE)) is not None:
             pop(place)
         if tag in ENDS_ITSELF and (place := innermost(ENDS_ITSELF[tag], SCOPE - {"td", "th"})) is not None:
