@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from tabloom.llm.html_blocks import NUMBERS, PATH_BUCKETS, WORD_BUCKETS, Block, features
 
 PATH_SIZE, WORD_SIZE, HIDDEN = 16, 6, 16
 INPUT = PATH_SIZE + WORD_SIZE + NUMBERS
+#: Steps whose gates are held at a time, and blocks of one numpy batch, with those past a page's end.
+STRETCH = 512
+BATCH_BLOCKS = 8192
+
+
+def batches_of(lengths: list[int], limit: int = BATCH_BLOCKS) -> Iterator[range]:
+    """Ranges of pages, whose lengths rise, of at most ``limit`` blocks when all are as long as the longest; a longer page is alone."""
+    low = 0
+    for at, length in enumerate(lengths):
+        if at > low and (at + 1 - low) * length > limit:
+            yield range(low, at)
+            low = at
+    if low < len(lengths):
+        yield range(low, len(lengths))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -30,16 +46,16 @@ class BlockLabeller:
         self.p["bias"] = np.zeros(1, dtype=np.float32)
 
     # A batch is its pages' blocks one after another with `place` (step, page) of each block.
-    def _input(self, blocks: list[Block]):
-        path, path_of, words, words_of, numbers = features(blocks)
-        counts = [np.maximum(np.bincount(o, minlength=len(blocks)), 1).astype(np.float32)[:, None] for o in (path_of, words_of)]
-        x = np.zeros((len(blocks), INPUT), dtype=np.float32)
+    def _input(self, pages: list[list[Block]]):
+        path, path_of, words, words_of, numbers = features(pages)
+        counts = [np.maximum(np.bincount(o, minlength=len(numbers)), 1).astype(np.float32)[:, None] for o in (path_of, words_of)]
+        x = np.zeros((len(numbers), INPUT), dtype=np.float32)
         for of, table, index, low, count in (
             (path_of, "path", path, 0, np.sqrt(counts[0])), (words_of, "word", words, PATH_SIZE, np.sqrt(counts[1]))
         ):
             size = self.p[table].shape[1]
             for k in range(size):
-                x[:, low + k] = np.bincount(of, weights=self.p[table][index, k], minlength=len(blocks))
+                x[:, low + k] = np.bincount(of, weights=self.p[table][index, k], minlength=len(numbers))
             x[:, low : low + size] /= count
         x[:, PATH_SIZE + WORD_SIZE :] = numbers
         return x, (path, path_of, words, words_of, np.sqrt(counts[0]), np.sqrt(counts[1]))
@@ -47,12 +63,13 @@ class BlockLabeller:
     def _walk(self, side: str, xs: np.ndarray, mask: np.ndarray, keep: bool):
         """Hidden states by step for steps x pages inputs; ``mask`` is 0 past a page's end."""
         steps, pages, _ = xs.shape
-        gates = xs.reshape(-1, INPUT) @ self.p[side + "x"] + self.p[side + "c"]
-        gates = gates.reshape(steps, pages, -1)
         h, c = (np.zeros((pages, HIDDEN), dtype=np.float32) for _ in range(2))
         out, tape = np.zeros((steps, pages, HIDDEN), dtype=np.float32), []
         for t in range(steps):
-            z = gates[t] + h @ self.p[side + "h"]
+            if t % STRETCH == 0:  # the states go on from stretch to stretch
+                gates = xs[t : t + STRETCH].reshape(-1, INPUT) @ self.p[side + "x"] + self.p[side + "c"]
+                gates = gates.reshape(-1, pages, 4 * HIDDEN)
+            z = gates[t % STRETCH] + h @ self.p[side + "h"]
             i, f, o = (_sigmoid(z[:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
             g = np.tanh(z[:, 3 * HIDDEN :])
             new = f * c + i * g
@@ -74,7 +91,7 @@ class BlockLabeller:
 
     def _forward(self, pages: list[list[Block]], keep: bool = False):
         lengths = [len(p) for p in pages]
-        x, known = self._input([b for p in pages for b in p])
+        x, known = self._input(pages)
         step, page, back = self._places(lengths)
         mask = (np.arange(max(lengths))[:, None] < np.array(lengths)[None, :]).astype(np.float32)
         hidden, tapes = [], []
@@ -129,6 +146,19 @@ class BlockLabeller:
         np.add.at(grad["word"], words, (dx[:, PATH_SIZE : PATH_SIZE + WORD_SIZE] / word_n)[words_of])
         return float(loss), grad
 
+    def _summed(self, pages: list[list[Block]], labels: list[list[int]]) -> tuple[float, dict[str, np.ndarray]]:
+        """Loss and gradients of a batch, made in parts if its pages are long."""
+        order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
+        total, loss, grad = sum(map(len, pages)), 0.0, {}
+        for part in batches_of([len(pages[k]) for k in order]):
+            some = [order[k] for k in part]
+            wanted = np.concatenate([labels[k] for k in some]).astype(np.float32)
+            one, own = self.gradients([pages[k] for k in some], wanted)
+            share = np.float32(len(wanted) / total)
+            loss += float(share) * one
+            grad = {k: share * g + grad.get(k, np.float32(0)) for k, g in own.items()}
+        return loss, grad
+
     def fit(self, pages: list[list[Block]], labels: list[list[int]], epochs: int = 10, batch: int = 32, rate: float = 0.01, seed: int = 7) -> float:
         """Adam on cross entropy with a falling rate; the loss of the last epoch."""
         rng = np.random.default_rng(seed)
@@ -141,8 +171,7 @@ class BlockLabeller:
             order = np.concatenate([sorted(order[i : i + 8 * batch], key=lambda k: len(pages[k])) for i in range(0, len(order), 8 * batch)])
             for low in rng.permutation(range(0, len(order), batch)):
                 some = order[low : low + batch]
-                wanted = np.concatenate([labels[i] for i in some]).astype(np.float32)
-                loss, grad = self.gradients([pages[i] for i in some], wanted)
+                loss, grad = self._summed([pages[i] for i in some], [labels[i] for i in some])
                 losses.append(loss)
                 moves += 1
                 for k, g in grad.items():

@@ -156,11 +156,16 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def features(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Path buckets and word buckets of all blocks, each with the block they are of, and one row of numbers per block."""
+def features(pages: list[list[Block]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Path buckets and word buckets of all blocks, each with the block they are of, and one row of numbers per block.
+
+    Places are counted within the block's own page.
+    """
+    blocks = [b for page in pages for b in page]
+    places = [(at, len(page)) for page in pages for at in range(len(page))]
     path, path_of, words, words_of = [], [], [], []
     numbers = np.zeros((len(blocks), NUMBERS), dtype=np.float32)
-    for i, block in enumerate(blocks):
+    for i, (block, (at, size)) in enumerate(zip(blocks, places, strict=True)):
         own = dict.fromkeys(block.path)
         path += own
         path_of += [i] * len(own)
@@ -170,8 +175,8 @@ def features(blocks: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
         words_of += [i] * len(hashed)
         n, chars = len(split), len(block.text)
         numbers[i] = (
-            np.log1p(n) / 5, block.linked / chars, chars / n / 10, block.text[-1] in ".!?", i / len(blocks), 1 / (1 + i),
-            1 / (len(blocks) - i), len(block.path) / 20,
+            np.log1p(n) / 5, block.linked / chars, chars / n / 10, block.text[-1] in ".!?", at / size, 1 / (1 + at),
+            1 / (size - at), len(block.path) / 20,
         )
     as_index = lambda values: np.array(values, dtype=np.int64)
     return as_index(path), as_index(path_of), as_index(words), as_index(words_of), numbers

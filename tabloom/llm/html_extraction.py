@@ -9,8 +9,8 @@ It is trained on two bounded sources, both made from about ``SAMPLE`` different
 sentences with menus, headers, notices, adverts, sidebars, forms and reader comments in many kinds of
 elements, whose labels are known.
 
-Defined cases: a null or empty page, or one without text, gives an empty text; equal rows are labelled each; pages of any
-length are read whole, in stretches of ``STRETCH`` blocks for the labeller; an empty table gives an empty result; other columns are not read.
+Defined cases: a null or empty page, or one without text, gives an empty text; equal rows are labelled each; the labeller
+reads pages of any length whole, both ways; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref
-from tabloom.llm.block_labeller import BlockLabeller
+from tabloom.llm.block_labeller import BlockLabeller, batches_of
 from tabloom.llm.common import hashed_sample
 from tabloom.llm.html_blocks import PATH_BUCKETS, Block, blocks_of, bucket
 
@@ -32,9 +32,6 @@ SAMPLE = 200
 #: Pages above this length are left out of the training sample only.
 SAMPLE_CHARS = 200_000
 LAID_OUT = 700
-#: Blocks that the labeller reads as one sequence, and blocks of one numpy batch.
-STRETCH = 512
-BATCH_BLOCKS = 8192
 
 MAIN = {bucket(n, PATH_BUCKETS) for n in ("<article", "<main")}
 ASIDE = {
@@ -211,7 +208,7 @@ class _Layout:
 def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE, laid_out: int = LAID_OUT, seed: int = 7) -> BlockLabeller:
     body = F.coalesce(ref(html).cast("string"), F.lit("")).alias("html")
     chosen = hashed_sample(pages.select(body).filter(F.length("html").between(1, SAMPLE_CHARS)), "html", sample)
-    own = [b[:STRETCH] for page in sorted(r.html for r in chosen.collect()) if (b := blocks_of(page))]
+    own = [b for page in sorted(r.html for r in chosen.collect()) if (b := blocks_of(page))]
     labels = [labels_by_markup(b) for b in own]
     sentences = sorted({s.strip() + "." for blocks in own for b in blocks for s in b.text.split(".") if 2 < len(s.split()) < 60})
     rng = np.random.default_rng(seed)
@@ -219,8 +216,8 @@ def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE, laid_out:
         text, wanted = _Layout(rng, sentences).page()
         blocks = blocks_of(text)
         if len(blocks) == len(wanted):
-            own.append(blocks[:STRETCH])
-            labels.append(wanted[:STRETCH])
+            own.append(blocks)
+            labels.append(wanted)
     model = BlockLabeller(seed)
     if own:
         model.fit(own, labels, seed=seed)
@@ -229,21 +226,12 @@ def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE, laid_out:
 
 def main_texts(model: BlockLabeller, pages: list[str]) -> list[str]:
     cut = [blocks_of(p) for p in pages]
-    parts = [(i, low) for i, blocks in enumerate(cut) for low in range(0, len(blocks), STRETCH)]
-    parts.sort(key=lambda p: len(cut[p[0]][p[1] : p[1] + STRETCH]))
-    keep: dict[tuple[int, int], np.ndarray] = {}
-    some: list[tuple[int, int]] = []
-    size = 0
-    for at, (i, low) in enumerate(parts):
-        some.append((i, low))
-        size += len(cut[i][low : low + STRETCH])
-        if size >= BATCH_BLOCKS or at == len(parts) - 1:
-            keep.update(zip(some, model.chances([cut[i][low : low + STRETCH] for i, low in some]), strict=True))
-            some, size = [], 0
-    texts = []
-    for i, blocks in enumerate(cut):
-        chances = [c for low in range(0, len(blocks), STRETCH) for c in keep[i, low]]
-        texts.append(" ".join(b.text for b, c in zip(blocks, chances, strict=True) if c >= 0.5))
+    order = sorted((i for i, blocks in enumerate(cut) if blocks), key=lambda i: len(cut[i]))
+    texts = [""] * len(cut)
+    for part in batches_of([len(cut[i]) for i in order]):
+        some = [order[k] for k in part]
+        for i, chances in zip(some, model.chances([cut[i] for i in some]), strict=True):
+            texts[i] = " ".join(b.text for b, c in zip(cut[i], chances, strict=True) if c >= 0.5)
     return texts
 
 

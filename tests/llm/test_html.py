@@ -1,8 +1,11 @@
 """Pages without optional tags, with formulas, very long ones, and tables of pages without article elements."""
 
+import numpy as np
 import pytest
 
+from tabloom.llm.common import read
 from tabloom.llm.html_blocks import blocks_of
+from tabloom.llm.html_extraction import main_texts, train
 
 
 def texts(page):
@@ -29,3 +32,44 @@ def test_text_ends_head():
 def test_formulas_are_text():
     page = "<p>Energy is <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi></mrow><annotation>E=m</annotation></semantics></math> here.</p>"
     assert texts(page) == ["Energy is E=m here."]
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    pages = read(spark, "/root/testdata/sf0.001", "pages")
+    return train(pages, sample=100, laid_out=200), [r.html for r in pages.limit(20).collect()]
+
+
+def test_labels_do_not_depend_on_the_other_pages_of_a_batch(trained):
+    model, pages = trained
+    cut = [blocks_of(p) for p in pages]
+    for alone, together in zip([model.chances([b])[0] for b in cut], model.chances(cut), strict=True):
+        np.testing.assert_allclose(alone, together, atol=1e-4)
+
+
+def test_states_go_on_over_long_pages(trained):
+    model, _ = trained
+    paragraphs = [f"<p>Sentence number {k} of a very long story about rivers.</p>" for k in range(1300)]
+    page = f"<nav><a href=x>Home</a></nav><article>{''.join(paragraphs)}</article><footer>Copyright</footer>"
+    cut = blocks_of(page)
+    model_input, _ = model._input([cut])
+    assert model_input.shape[0] == len(cut) == 1302
+    # One walk over all blocks, by a plain loop.
+    hidden = []
+    for side, x in (("f", model_input), ("b", model_input[::-1])):
+        h, c, out = np.zeros(16), np.zeros(16), []
+        for row in x:
+            z = row @ model.p[side + "x"] + model.p[side + "c"] + h @ model.p[side + "h"]
+            i, f, o = (1 / (1 + np.exp(-z[k * 16 : k * 16 + 16])) for k in range(3))
+            c = f * c + i * np.tanh(z[48:])
+            h = o * np.tanh(c)
+            out.append(h)
+        hidden.append(np.array(out if side == "f" else out[::-1]))
+    wanted = 1 / (1 + np.exp(-(np.concatenate([*hidden, model_input], axis=1) @ model.p["out"] + model.p["bias"][0])))
+    np.testing.assert_allclose(model.chances([cut])[0], wanted, atol=1e-3)
+    # Places are those on the whole page.
+    np.testing.assert_allclose(model_input[:, -4], np.arange(1302) / 1302, atol=1e-6)
+    text = main_texts(model, [page, "<p>x", page])
+    kept = "".join("1" if c >= 0.5 else "0" for c in wanted)
+    assert text[0] == text[2] == " ".join(b.text for b, k in zip(cut, kept, strict=True) if k == "1")
+    assert text[0] == " ".join(b.text for b in cut[1:-1])
