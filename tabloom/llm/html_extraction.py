@@ -4,8 +4,8 @@ A page is its leaf blocks in order.  A bidirectional LSTM sees each block's tag
 numbers and, through both directions, the whole page; it labels every block as main text or not.  Blocks of main text are
 joined by one space.
 
-It is trained on two bounded sources, both made from about ``SAMPLE`` different pages, by their hash: those pages, where
-``article`` and ``main`` elements without their asides give the labels, and ``LAID_OUT`` layouts of the same
+It is trained on two bounded sources, both made from about ``SAMPLE`` different pages, by their hash: those of the pages
+with main text by their markup, where ``article`` and ``main`` elements without their asides give the labels, and ``LAID_OUT`` layouts of the same
 sentences with menus, headers, notices, adverts, sidebars, forms and reader comments in many kinds of
 elements, whose labels are known.
 
@@ -208,9 +208,11 @@ class _Layout:
 def train(pages: DataFrame, html: str = "html", sample: int = SAMPLE, laid_out: int = LAID_OUT, seed: int = 7) -> BlockLabeller:
     body = F.coalesce(ref(html).cast("string"), F.lit("")).alias("html")
     chosen = hashed_sample(pages.select(body).filter(F.length("html").between(1, SAMPLE_CHARS)), "html", sample)
-    own = [b for page in sorted(r.html for r in chosen.collect()) if (b := blocks_of(page))]
+    sampled = [b for page in sorted(r.html for r in chosen.collect()) if (b := blocks_of(page))]
+    # A page without such elements says nothing about where its main text is; only its sentences are used.
+    own = [b for b in sampled if any(labels_by_markup(b))]
     labels = [labels_by_markup(b) for b in own]
-    sentences = sorted({s.strip() + "." for blocks in own for b in blocks for s in b.text.split(".") if 2 < len(s.split()) < 60})
+    sentences = sorted({s.strip() + "." for blocks in sampled for b in blocks for s in b.text.split(".") if 2 < len(s.split()) < 60})
     rng = np.random.default_rng(seed)
     for _ in range(laid_out if sentences else 0):
         text, wanted = _Layout(rng, sentences).page()

@@ -73,3 +73,21 @@ def test_states_go_on_over_long_pages(trained):
     kept = "".join("1" if c >= 0.5 else "0" for c in wanted)
     assert text[0] == text[2] == " ".join(b.text for b, k in zip(cut, kept, strict=True) if k == "1")
     assert text[0] == " ".join(b.text for b in cut[1:-1])
+
+
+def divs(page):
+    """The given page with its article in a plain div."""
+    return page.replace("<article>", '<div class="content">').replace("</article>", "</div>")
+
+
+def test_pages_laid_out_in_divs_teach_no_boilerplate(spark):
+    given = [r.html for r in read(spark, "/root/testdata/sf0.001", "pages").collect()]
+    assert all(page.count("<article>") == 1 for page in given)
+    wanted = [" ".join(b.text for b in blocks_of(p[p.index("<article>") : p.index("</article>")])) for p in given]
+    table = [p if n % 4 == 0 else divs(p) for n, p in enumerate(given)]
+    model = train(spark.createDataFrame([(p,) for p in table], "html string"))
+    found = main_texts(model, table)
+    assert sum(f == w for f, w in zip(found, wanted, strict=True)) >= 0.9 * len(wanted)
+    # No page has an article: all is learnt from the layouts.
+    found = main_texts(train(spark.createDataFrame([(divs(p),) for p in given], "html string")), [divs(p) for p in given])
+    assert sum(f == w for f, w in zip(found, wanted, strict=True)) >= 0.9 * len(wanted)
