@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import LOWER, UPPER, read
 from tabloom.llm.contamination import decontaminate
+from tabloom.llm.hard_negatives import hard_negatives
 from tabloom.llm.html_extraction import extract_text
 from tabloom.llm.language import identify_languages
 from tabloom.llm.licenses import license_scan
@@ -74,6 +75,17 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("_row.doc_id").alias("doc_id"), *STATISTICS, "base_failed", "kept", "distance")
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    table = read(spark, folder, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    rows = table.select(
+        F.col("vec_id").alias("id"),
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.when(finite, F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))).alias("vector"),
+    )
+    return hard_negatives(rows, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
@@ -85,9 +97,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
-#: Near duplicates can be stated in SQL; the other operators are held against plain Python in tests/llm.
+#: What can be stated in SQL; the other operators are held against plain Python in tests/llm.
 NEAR_DUPLICATES_SQL = f"""
 WITH RECURSIVE w AS (
     SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[ \\t-\\x0d]+'), lambda x: x <> '') AS w
@@ -105,4 +118,26 @@ c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
 SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op9_near_duplicates": NEAR_DUPLICATES_SQL}
+HARD_NEGATIVES_SQL = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (
+    SELECT anchor_id, other AS positive_id, score AS positive_score,
+           row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) AS n
+    FROM s WHERE same),
+r AS (
+    SELECT p.anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score,
+           row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND n <= 5
+    WHERE 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
+"""
+
+ORACLES: dict[str, str] = {"op9_near_duplicates": NEAR_DUPLICATES_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL}
