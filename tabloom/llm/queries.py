@@ -12,6 +12,7 @@ from tabloom.llm.contamination import decontaminate
 from tabloom.llm.hard_negatives import hard_negatives
 from tabloom.llm.html_extraction import extract_text
 from tabloom.llm.language import identify_languages
+from tabloom.llm.lexical_search import lexical_search
 from tabloom.llm.licenses import license_scan
 from tabloom.llm.near_duplicates import near_duplicates
 from tabloom.llm.packing import pack_documents
@@ -86,6 +87,10 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives(rows, F.col("id") % 100 == 0)
 
 
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_license_scan": op2_license_scan,
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
     "op11_hard_negatives": op11_hard_negatives,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: What can be stated in SQL; the other operators are held against plain Python in tests/llm.
@@ -140,4 +146,27 @@ r AS (
 SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
 """
 
-ORACLES: dict[str, str] = {"op9_near_duplicates": NEAR_DUPLICATES_SQL, "op11_hard_negatives": HARD_NEGATIVES_SQL}
+LEXICAL_SEARCH_SQL = f"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+q AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS t FROM benchmark),
+g AS (SELECT count(*)::BIGINT AS nn, sum(len(w))::BIGINT AS ll FROM d WHERE len(w) > 0),
+f AS (SELECT doc_id, t, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n
+      FROM (SELECT doc_id, unnest(w) AS t, len(w) AS n FROM d) GROUP BY doc_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM f, g GROUP BY t),
+s AS (
+    SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // ll))))::BIGINT AS score
+    FROM q JOIN w USING (t) JOIN f USING (t), g GROUP BY item_id, doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+      FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+ORACLES: dict[str, str] = {
+    "op9_near_duplicates": NEAR_DUPLICATES_SQL,
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
+    "op13_lexical_search": LEXICAL_SEARCH_SQL,
+}
