@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import LOWER, UPPER, read
 from tabloom.llm.contamination import decontaminate
+from tabloom.llm.fixed_blocks import remove_repeated_words
 from tabloom.llm.hard_negatives import hard_negatives
 from tabloom.llm.html_extraction import extract_text
 from tabloom.llm.language import identify_languages
@@ -87,6 +88,10 @@ def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return hard_negatives(rows, F.col("id") % 100 == 0)
 
 
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeated_words(read(spark, folder, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
@@ -103,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_quality_rules": op10_quality_rules,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_lexical_search": op13_lexical_search,
 }
 
@@ -146,6 +152,22 @@ r AS (
 SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
 """
 
+SUBSTRING_DEDUP_SQL = """
+WITH d AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t-\\x0d]+'), lambda x: x <> '') AS w FROM documents),
+g AS (
+    SELECT doc_id, unnest(range(1, len(w) - 11)) AS s,
+           unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))) AS t
+    FROM d WHERE len(w) >= 13),
+h AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY t) AS least FROM g) WHERE least < doc_id),
+c AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS i FROM h),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT p.doc_id, p.i, p.word FROM p LEFT JOIN c ON c.doc_id = p.doc_id AND c.i = p.i WHERE c.i IS NULL),
+j AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS kept FROM k GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN j ON j.doc_id = d.doc_id
+"""
+
 LEXICAL_SEARCH_SQL = f"""
 WITH d AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
@@ -168,5 +190,6 @@ SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 ORACLES: dict[str, str] = {
     "op9_near_duplicates": NEAR_DUPLICATES_SQL,
     "op11_hard_negatives": HARD_NEGATIVES_SQL,
+    "op12_substring_dedup": SUBSTRING_DEDUP_SQL,
     "op13_lexical_search": LEXICAL_SEARCH_SQL,
 }
