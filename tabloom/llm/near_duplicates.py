@@ -5,8 +5,9 @@ Bands of a class's signature put it in buckets.  Candidates of a bucket are comp
 
 1. each class with the least of all bucket leaders it meets,
 2. each class with the leaders of its buckets that it is not yet connected with,
-3. all classes of a bucket that are still in different components and not compared yet, in blocks of at most ``BLOCK``
-   signatures, which hand on only the pairs that survive the pruning.
+3. in buckets that still hold several components, all classes outside the leader's component with all classes, in blocks of a bounded
+   number of classes and shingles.  A block has its classes' shingle sets, verifies inside the task and hands on only links
+   that join two of its components: less than one per class.
 
 So a bucket of many near copies costs one comparison per class, and yet each link that
 connects two components is found.  A comparison goes through the signatures in batches and ends as
@@ -43,7 +44,8 @@ HASHES = 256
 BATCH = 32
 #: Chance, over all batches, at which a pair of exactly the threshold may be given up before verification.
 MISS = 1e-6
-BLOCK = 1024
+#: Classes and shingles of a block.
+BLOCK, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def signature_constants(hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray]:
@@ -161,37 +163,69 @@ def _surviving(least: dict[int, int]):
     return work
 
 
-def _open_pairs(least: dict[int, int]):
-    """Pairs of two chunks of a bucket, of different components, that survive; of pairs met in several bands the first band's."""
+class _Sets:
+    """Shingle sets of a block, with shingles numbered from 0."""
+
+    def __init__(self, sets: pd.Series):
+        parts = [np.frombuffer(s, dtype=np.uint64) for s in sets]
+        self.sizes = np.array([len(p) for p in parts], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        known, self.numbers = np.unique(np.concatenate(parts), return_inverse=True)
+        self.mark = np.zeros(len(known), dtype=bool)
+
+    def linked(self, x: int, others: np.ndarray, percent: int) -> np.ndarray:
+        """Those of ``others`` whose set reaches the threshold with that of ``x``."""
+        own = self.numbers[self.starts[x] : self.starts[x] + self.sizes[x]]
+        self.mark[own] = True
+        sizes = self.sizes[others]
+        begins = np.cumsum(sizes) - sizes
+        at = np.arange(sizes.sum()) + np.repeat(self.starts[others] - begins, sizes)
+        common = np.add.reduceat(self.mark[self.numbers[at]], begins, dtype=np.int64)
+        self.mark[own] = False
+        return others[100 * common >= percent * (self.sizes[x] + sizes - common)]
+
+
+def _spanning(least: dict[int, int], percent: int):
+    """Verified links of two chunks of a bucket that join components; pairs met in several bands are left to the first band."""
 
     def work(block: pd.DataFrame) -> pd.DataFrame:
         block = block.drop_duplicates("key").sort_values("key", ignore_index=True)
         sign = np.frombuffer(b"".join(block["sign"]), dtype=np.uint32).reshape(len(block), -1)
-        keys = block["key"].to_numpy()
-        root = pd.factorize(block["root"])[0]
-        chunk = block["chunk"].to_numpy()
+        sets = _Sets(block["shingles"])
+        component = pd.factorize(block["root"])[0]
+        chunk, stray = block["chunk"].to_numpy(), block["stray"].to_numpy(dtype=bool)
         band = int(block["band"].iloc[0])
         across = block["one"].iloc[0] != block["two"].iloc[0]
         stages = sorted(least.items())
+        number = np.arange(len(block))
         first, second = [], []
         for low in range(0, len(block), 32):
-            rows = np.arange(low, min(low + 32, len(block)))
-            upto, wanted = stages[0]
-            same = (sign[rows, None, :upto] == sign[None, :, :upto]).sum(axis=2)
-            fit = (same >= wanted) & (root[rows, None] != root[None, :]) & (rows[:, None] < np.arange(len(block))[None, :])
+            rows = number[low : low + 32]
+            fit = (component[rows, None] != component[None, :]) & (rows[:, None] < number[None, :]) & (stray[rows, None] | stray[None, :])
             if across:
                 fit &= chunk[rows, None] != chunk[None, :]
-            x, y = np.nonzero(fit)
+            if not fit.any():
+                continue
+            upto, wanted = stages[0]
+            same = (sign[rows, None, :upto] == sign[None, :, :upto]).sum(axis=2)
+            x, y = np.nonzero(fit & (same >= wanted))
             matches, x, at = same[x, y], rows[x], upto
             for upto, wanted in stages[1:]:
                 matches = matches + (sign[x, at:upto] == sign[y, at:upto]).sum(axis=1)
                 going, at = matches >= wanted, upto
                 x, y, matches = x[going], y[going], matches[going]
             before = (sign[x, : band * ROWS] == sign[y, : band * ROWS]).reshape(len(x), band, ROWS).all(axis=2).any(axis=1)
-            first.append(x[~before])
-            second.append(y[~before])
-        x, y = np.concatenate(first), np.concatenate(second)
-        return pd.DataFrame({"x": keys[x], "y": keys[y]})
+            x, y = x[~before], y[~before]
+            for one in np.unique(x).tolist():
+                others = y[x == one]
+                others = others[component[others] != component[one]]
+                for other in sets.linked(one, others, percent).tolist() if len(others) else ():
+                    if component[one] != component[other]:
+                        component[component == component[other]] = component[one]
+                        first.append(one)
+                        second.append(other)
+        keys = block["key"].to_numpy()
+        return pd.DataFrame({"a": keys[first], "b": keys[second]})
 
     return work
 
@@ -233,7 +267,7 @@ def near_duplicates(
         )
     )
     classes = staged(
-        hashed.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sign").alias("sign"))
+        hashed.filter("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n_shingles"))
     )
     buckets = classes.select("key", "sign").mapInPandas(_buckets, "key binary, bucket bigint, band int")
     crowded = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("leader")).filter("n > 1")
@@ -261,30 +295,38 @@ def near_duplicates(
             members.filter("key <> leader").groupBy("key").agg(F.min("leader").alias("y")).withColumnRenamed("key", "x")
         ).distinct()
     )
-    links, done, nodes = verified(surviving(first)), first, met.withColumnRenamed("key", "id")
-    for round_two in (True, False):
+    links, nodes = verified(surviving(first)), met.withColumnRenamed("key", "id")
+
+    def open_members() -> DataFrame:
+        """Members of buckets of several components, with the component of their bucket's leader."""
         roots = staged(connected_components(links, nodes))
         placed = members.join(roots.withColumnRenamed("id", "key"), "key")
-        open_buckets = placed.groupBy("bucket").agg(F.min("root").alias("_low"), F.max("root").alias("_high"))
-        placed = staged(placed.join(open_buckets.filter("_low <> _high").select("bucket"), "bucket"))
-        if round_two:
-            leaders = placed.filter("key = leader").select("bucket", F.col("root").alias("_root"))
-            met_pairs = placed.join(leaders, "bucket").filter("root <> _root").selectExpr("key as x", "leader as y")
-        else:
-            # A bucket of two has been compared.  Larger ones are cut into chunks, and every two chunks meet in one task.
-            rest = placed.filter("n > 2").join(classes.select("key", "sign"), "key").withColumn(
-                "chunks", F.ceil(F.col("n") / F.lit(BLOCK / 2)).cast("int")
-            )
-            rest = rest.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-            rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-            blocks = rest.select(
-                "bucket", "band", "key", "root", "sign", "chunk",
-                F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"),
-            )
-            met_pairs = blocks.groupBy("bucket", "one", "two").applyInPandas(_open_pairs(least), "x binary, y binary")
-        pairs = staged(ordered(met_pairs).distinct().join(done, ["a", "b"], "left_anti"))
-        links = links.unionByName(verified(surviving(pairs) if round_two else pairs))
-        done = done.unionByName(pairs)
+        buckets = placed.groupBy("bucket").agg(
+            F.min("root").alias("_low"), F.max("root").alias("_high"), F.max(F.when(F.col("key") == F.col("leader"), F.col("root"))).alias("home")
+        )
+        return staged(placed.join(buckets.filter("_low <> _high").select("bucket", "home"), "bucket"))
+
+    met_pairs = open_members().filter("root <> home").selectExpr("key as x", "leader as y")
+    links = links.unionByName(verified(surviving(staged(ordered(met_pairs).distinct().join(first, ["a", "b"], "left_anti")))))
+
+    # A bucket of two has been compared.  Of larger ones the classes outside the leader's component and those within are cut into
+    # chunks; every chunk of the former meets every chunk in one task.
+    rest = open_members().filter("n > 2").withColumn("stray", F.col("root") != F.col("home"))
+    rest = rest.join(classes.select("key", "sign", "n_shingles"), "key")
+    parts = rest.groupBy("bucket").agg(
+        *[
+            F.greatest(F.ceil(F.sum(own) * 2 / F.lit(BLOCK)), F.ceil(F.sum(own * F.col("n_shingles")) * 2 / F.lit(BLOCK_SHINGLES))).cast("int").alias(name)
+            for name, own in (("strays", F.col("stray").cast("bigint")), ("homes", (~F.col("stray")).cast("bigint")))
+        ]
+    )
+    rest = rest.join(parts, "bucket").withColumn("_hash", F.xxhash64("key"))
+    rest = rest.withColumn("chunk", F.expr("cast(if(stray, pmod(_hash, strays), strays + pmod(_hash, homes)) as int)"))
+    rest = rest.withColumn("other", F.explode(F.expr("sequence(0, if(stray, strays + homes, strays) - 1)")))
+    blocks = rest.join(sets, "key").select(
+        "bucket", "band", "key", "root", "stray", "sign", "shingles", "chunk",
+        F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"),
+    )
+    links = links.unionByName(staged(blocks.groupBy("bucket", "one", "two").applyInPandas(_spanning(least, percent), pair)))
     roots = staged(connected_components(links, nodes)).withColumnRenamed("id", "key")
     named = classes.select("key", "doc_id").join(roots, "key")
     names = named.groupBy("root").agg(F.min("doc_id").alias("_least"))
