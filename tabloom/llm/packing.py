@@ -91,15 +91,18 @@ def _tokenized(definition: str, capacity: int, end: int):
         for batch in batches:
             for low in range(0, len(batch), 1000):
                 rows = batch.iloc[low : low + 1000]
-                found = []
-                for key, text in zip(rows["doc_id"], rows["text"], strict=True):
-                    ids = cache.ids(text) + mark
-                    total = len(ids) // 4
-                    for start in range(0, total, capacity):
-                        piece = ids[4 * start : 4 * (start + capacity)]
-                        found.append((key, start, len(piece) // 4, zlib.crc32(piece), total))
-                yield pd.DataFrame(found, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype(
-                    {"doc_id": "Int64"}
+                of, start, length, crc, total = [], [], [], [], []
+                for at, ids in enumerate(cache.batch(rows["text"].tolist())):
+                    ids += mark
+                    for begin in range(0, len(ids), 4 * capacity):
+                        piece = ids[begin : begin + 4 * capacity]
+                        of.append(at)
+                        start.append(begin // 4)
+                        length.append(len(piece) // 4)
+                        crc.append(zlib.crc32(piece))
+                        total.append(len(ids) // 4)
+                yield pd.DataFrame(
+                    {"doc_id": rows["doc_id"].array[of], "start": start, "length": length, "ids_crc32": crc, "doc_tokens": total}
                 )
 
     return cut
