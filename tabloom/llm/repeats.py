@@ -16,7 +16,7 @@ Tasks resolve what repeats within them before anything is shuffled, send one ent
 with many blocks over buckets; a bucket is some megabytes at every size.  Between rounds only
 ranges are kept; texts are read again and joined with them, by broadcast up to ``SENT`` bytes of ranges.
 
-Hashes have 64 bits.  Defined cases: a null or empty text has no bytes; a text shorter than the length has nothing to remove;
+Entries are compared by two hashes of 64 bits.  Defined cases: a null or empty text has no bytes; a text shorter than the length has nothing to remove;
 equal rows are repeats of each other; no match crosses two rows; an empty table gives an empty result; other columns are not read.
 A single text has to fit in a task's memory.
 """
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref
-from tabloom.llm.shingles import _power_tables, chunks, mixed
+from tabloom.llm.shingles import CHUNK, _power_tables, mixed
 from tabloom.session import staged
 
 LENGTH = 200
@@ -120,6 +120,7 @@ class _Text:
         text = np.searchsorted(self.ends, at, side="right")
         part = np.zeros(len(at), dtype=ENTRY)
         part["core"] = self.hashes(at, at + length) ^ np.uint64(0xA5A5A5A5A5A5A5A5)
+        part["block"] = self.hashes(at + length // 2, at + length)
         part["row"], part["low"] = text + first_row, at - self.starts[text]
         return part
 
@@ -190,60 +191,72 @@ def _encoded(texts: pd.Series) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass") for t in texts]
 
 
-def _parsed(length: int, buckets: int):
+def _encoded_chunks(texts: pd.Series, limit: int) -> Iterator[tuple[int, list[bytes]]]:
+    """The texts as bytes, about ``limit`` bytes at a time, with the place of each first one."""
+    low, size, held = 0, 0, []
+    for at, text in enumerate(texts):
+        data = text.encode("utf-8", "surrogatepass")
+        if held and size + len(data) > limit:
+            yield low, held
+            low, size, held = at, 0, []
+        held.append(data)
+        size += len(data)
+    if held:
+        yield low, held
+
+
+def _known_rows(batch: pd.DataFrame, first: int) -> np.ndarray:
+    rows = np.zeros(len(batch), dtype=ROW)
+    rows["row"] = np.arange(first, first + len(batch))
+    rows["none"] = batch["doc_id"].isna().to_numpy()
+    rows["doc_id"], rows["mark"] = batch["doc_id"].fillna(0).to_numpy(dtype=np.int64), batch["mark"].to_numpy()
+    return rows
+
+
+def _sending(length: int, buckets: int, entries_of):
+    """Send entries in groups of some ``HELD``; ``entries_of`` gives those of some texts piece by piece."""
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, row = TaskContext.get().partitionId(), 0
         held, rows, size = [], [], 0
-
-        def flushed() -> pd.DataFrame:
-            entries, known = np.concatenate([np.zeros(0, ENTRY), *held]), np.concatenate([np.zeros(0, ROW), *rows])
-            return _sent(entries, known, length, buckets, part)
-
         for batch in batches:
-            texts = _encoded(batch["text"])
-            made = np.zeros(len(batch), dtype=ROW)
-            made["row"] = np.arange(row, row + len(batch))
-            made["none"] = batch["doc_id"].isna().to_numpy()
-            made["doc_id"], made["mark"] = batch["doc_id"].fillna(0).to_numpy(dtype=np.int64), batch["mark"].to_numpy()
-            rows.append(made)
-            for low, high in chunks(texts):
-                held.append(_Text(texts[low:high]).entries(length, row + low))
-                size += len(held[-1])
-                if size > HELD:
-                    yield flushed()
-                    held, rows, size = [], [], 0
+            rows.append(_known_rows(batch, row))
+            for low, texts in _encoded_chunks(batch["text"], CHUNK):
+                for entries in entries_of(batch, low, texts, row + low):
+                    held.append(entries)
+                    size += len(entries)
+                    if size > HELD:
+                        yield _sent(np.concatenate(held), np.concatenate([np.zeros(0, ROW), *rows]), length, buckets, part)
+                        held, rows, size = [], [], 0
             row += len(batch)
         if held or rows:
-            yield flushed()
+            yield _sent(np.concatenate([np.zeros(0, ENTRY), *held]), np.concatenate([np.zeros(0, ROW), *rows]), length, buckets, part)
 
     return work
 
 
+def _parsed(length: int, buckets: int):
+    def entries(batch: pd.DataFrame, low: int, texts: list[bytes], row: int) -> Iterator[np.ndarray]:
+        yield _Text(texts).entries(length, row)
+
+    return _sending(length, buckets, entries)
+
+
 def _windows(length: int, buckets: int):
     """Entries of the single windows of a text's edges."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, row = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            texts = _encoded(batch["text"])
-            rows = np.zeros(len(batch), dtype=ROW)
-            rows["row"] = np.arange(row, row + len(batch))
-            rows["none"] = batch["doc_id"].isna().to_numpy()
-            rows["doc_id"], rows["mark"] = batch["doc_id"].fillna(0).to_numpy(dtype=np.int64), batch["mark"].to_numpy()
-            held = [np.zeros(0, ENTRY)]
-            for low, high in chunks(texts):
-                some, at = _Text(texts[low:high]), []
-                for k in range(low, high):
-                    edges = np.asarray(batch["edges"].iloc[k], dtype=np.int64)
-                    first, last = edges >> 32, edges & 0xFFFFFFFF
-                    sizes = last - first + 1
-                    offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    at.append(some.starts[k - low] + np.repeat(first, sizes) + offset)
-                held.append(some.windows(np.unique(np.concatenate(at)), length, row + low))
-            yield _sent(np.concatenate(held), rows, length, buckets, part)
-            row += len(batch)
-
-    return work
+    def entries(batch: pd.DataFrame, low: int, texts: list[bytes], row: int) -> Iterator[np.ndarray]:
+        some = _Text(texts)
+        for k in range(len(texts)):
+            edges = np.asarray(batch["edges"].iloc[low + k], dtype=np.int64)
+            first, last = edges >> 32, edges & 0xFFFFFFFF
+            sizes = last - first + 1
+            offset = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.unique(some.starts[k] + np.repeat(first, sizes) + offset)
+            for begin in range(0, len(at), HELD):
+                yield some.windows(at[begin : begin + HELD], length, row)
+
+    return _sending(length, buckets, entries)
 
 
 def _resolved(length: int):
