@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref
+from tabloom.session import ensure_checkpoint_dir
 
 #: The white space that separates words, and the two alphabets of ASCII folding.
 WHITE_SPACE = r"[ \t-\x0d]+"
@@ -45,3 +48,12 @@ def packed(df: DataFrame, name: str = "_row") -> DataFrame:
 
 def unpacked(df: DataFrame, columns: list[str], name: str = "_row") -> DataFrame:
     return df.select(*[F.col(name).getField(c).alias(c) for c in columns])
+
+
+def bucketed(rows: DataFrame, buckets: int, *columns: str) -> DataFrame:
+    """The rows, written once as a table in buckets of some columns, so that joins and groups by them need no further shuffle."""
+    spark = rows.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    rows.repartition(buckets, *columns).write.format("parquet").bucketBy(buckets, *columns).option("path", path).saveAsTable(name)
+    return spark.table(name)

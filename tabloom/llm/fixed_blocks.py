@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -37,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref
-from tabloom.llm.common import whole_text
+from tabloom.llm.common import bucketed, whole_text
 from tabloom.llm.shingles import mixed, window_hashes, word_hashes
-from tabloom.session import ensure_checkpoint_dir, staged
+from tabloom.session import staged
 
 WINDOW = 13
 #: Bytes of text of a chunk, and for which there is one bucket of entries.
@@ -241,15 +240,6 @@ def _removed(window: int):
     return work
 
 
-def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
-    """The rows, written as a table in buckets of their chunk, so that grouping by it needs no shuffle."""
-    spark = rows.sparkSession
-    name = f"chunks_{uuid.uuid4().hex}"
-    path = f"{ensure_checkpoint_dir(spark)}/{name}"
-    rows.repartition(buckets, "chunk").write.format("parquet").bucketBy(buckets, "chunk").option("path", path).saveAsTable(name)
-    return spark.table(name)
-
-
 def remove_repeated_words(docs: DataFrame, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_words``, ``n_removed``, ``kept_sha256``."""
     block = (window + 1) // 2
@@ -259,7 +249,7 @@ def remove_repeated_words(docs: DataFrame, window: int = WINDOW, text: str = "te
     rows = docs.select(ref(key).cast("long").alias("doc_id"), body.alias("text")).withColumn(
         "chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks))
     )
-    table = _bucketed(rows, min(chunks, TABLE_BUCKETS))
+    table = bucketed(rows, min(chunks, TABLE_BUCKETS), "chunk")
     probes = table.groupBy("chunk").applyInPandas(_sent_probes(block, buckets), PACKED)
     hits = staged(probes.groupBy("bucket").applyInPandas(_hit, PACKED))
     around = table.groupBy("chunk").cogroup(hits.groupBy("chunk")).applyInPandas(_sent_windows(window, block, buckets), PACKED)

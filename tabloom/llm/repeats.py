@@ -13,8 +13,8 @@ round one by one; all other windows occur once.  Windows without a mark in reach
 the first round.  So the work per byte is one entry for ``EVERY`` bytes, and windows only at the ends of repeats.
 
 Tasks resolve what repeats within them before anything is shuffled, send one entry of each kind, and spread a core
-with many blocks over buckets; a bucket is some megabytes at every size.  Between rounds only
-ranges are kept; texts are read again and joined with them, by broadcast up to ``SENT`` bytes of ranges.
+with many blocks over buckets; a bucket is some megabytes at every size.  Texts are written once as a table in buckets of
+their row's id and hash; between rounds only ranges are kept, and joining them with the texts shuffles no text.
 
 Entries are compared by two hashes of 64 bits.  Defined cases: a null or empty text has no bytes; a text shorter than the length has nothing to remove;
 equal rows are repeats of each other; no match crosses two rows; an empty table gives an empty result; other columns are not read.
@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref
+from tabloom.llm.common import bucketed, whole_text
 from tabloom.llm.shingles import CHUNK, _power_tables, mixed
 from tabloom.session import staged
 
@@ -45,9 +46,8 @@ LEVELS = (0.32, 0.64, 0.8)
 #: Entries that a task holds before it sends them, and blocks of a core in them from which on it is spread.
 HELD = 250_000
 CROWDED = 64
-#: Bytes of text per bucket, and bytes of ranges that are sent to all tasks at most.
-BUCKET_BYTES = 8 << 20
-SENT = 64 << 20
+#: Bytes of text per bucket of entries and per bucket of the table of texts, and the most buckets of the latter.
+BUCKET_BYTES, TABLE_BYTES, TABLE_BUCKETS = 8 << 20, 16 << 20, 4096
 
 ENTRY = np.dtype([("core", "<u8"), ("block", "<u8"), ("row", "<u4"), ("low", "<u4"), ("span", "<u2"), ("flags", "<u1")])
 MANY, SPREAD, MARKER = 1, 2, 4
@@ -320,35 +320,31 @@ def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def _with_texts(rows: DataFrame, ranges: DataFrame, column: str, how: str) -> DataFrame:
-    """Join texts with their ranges; these are sent to all tasks if they are small, else both sides are shuffled."""
-    ranges = staged(ranges)
-    bytes_of = ranges.select(F.sum(F.size(column) * 8 + 48)).first()[0] or 0
-    ranges = ranges.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), column)
-    side = F.broadcast(ranges) if bytes_of <= SENT else ranges
-    return rows.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), how)
-
-
 def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per input row: ``doc_id``, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``."""
-    body = F.coalesce(ref(text).cast("string"), F.lit(""))
-    rows = docs.select(ref(key).cast("long").alias("doc_id"), body.alias("text")).withColumn("mark", F.xxhash64("text"))
+    body = whole_text(text)
+    number = ref(key).cast("long")
     total = docs.select(F.sum(F.octet_length(body))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
+    # A row is named by its id, 0 where there is none, and a hash of its text and of whether it has an id.
+    rows = bucketed(
+        docs.select(number.alias("doc_id"), body.alias("text"), F.coalesce(number, F.lit(0)).alias("name"), F.xxhash64(number.isNull(), body).alias("mark")),
+        min(max(1, math.ceil(total / TABLE_BYTES)), TABLE_BUCKETS), "name", "mark",
+    )
 
     def resolved(packed: DataFrame) -> DataFrame:
         return staged(packed.groupBy("bucket").applyInPandas(_resolved(length), RESOLVED))
 
-    first = resolved(rows.mapInPandas(_parsed(length, buckets), PACKED))
+    first = resolved(rows.select("doc_id", "text", "mark").mapInPandas(_parsed(length, buckets), PACKED))
 
     def of_rows(found: DataFrame, kind: int, name: str) -> DataFrame:
-        known = found.filter(F.col("kind") == ROWS).select("number", "doc_id", "mark")
+        known = found.filter(F.col("kind") == ROWS).select("number", F.coalesce("doc_id", F.lit(0)).alias("name"), "mark")
         ranges = found.filter(F.col("kind") == kind).select("number", ((F.col("low") * F.lit(1 << 32)) + F.col("high")).alias("_range"))
-        return ranges.join(known, "number").groupBy("doc_id", "mark").agg(F.collect_set("_range").alias(name))
+        return ranges.join(known, "number").groupBy("name", "mark").agg(F.collect_set("_range").alias(name))
 
-    edges = _with_texts(rows, of_rows(first, EDGES, "edges"), "edges", "inner").select("doc_id", "mark", "text", "edges")
+    edges = rows.join(of_rows(first, EDGES, "edges"), ["name", "mark"]).select("doc_id", "mark", "text", "edges")
     second = resolved(edges.mapInPandas(_windows(length, buckets), PACKED))
     both = of_rows(first, RANGES, "ranges").unionByName(of_rows(second, RANGES, "ranges"))
-    ranges = both.groupBy("doc_id", "mark").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    joined = _with_texts(rows, ranges, "ranges", "left").select("doc_id", "text", "ranges")
+    ranges = both.groupBy("name", "mark").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    joined = rows.join(ranges, ["name", "mark"], "left").select("doc_id", "text", "ranges")
     return joined.mapInPandas(_removed, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
