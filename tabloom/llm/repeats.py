@@ -13,8 +13,8 @@ round one by one; all other windows occur once.  Windows without a mark in reach
 the first round.  So the work per byte is one entry for ``EVERY`` bytes, and windows only at the ends of repeats.
 
 Tasks resolve what repeats within them before anything is shuffled, send one entry of each kind, and spread a core
-with many blocks over buckets; a bucket is some megabytes at every size.  Texts are written once as a table in buckets of
-their row's id and hash; between rounds only ranges are kept, and joining them with the texts shuffles no text.
+with many blocks over buckets; a bucket is some megabytes at every size.  Between rounds only
+ranges are kept; texts are read again and joined with them by their row's id and hash.
 
 Entries are compared by two hashes of 64 bits.  Defined cases: a null or empty text has no bytes; a text shorter than the length has nothing to remove;
 equal rows are repeats of each other; no match crosses two rows; an empty table gives an empty result; other columns are not read.
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import ref
-from tabloom.llm.common import bucketed, whole_text
+from tabloom.llm.common import whole_text
 from tabloom.llm.shingles import CHUNK, _power_tables, mixed
 from tabloom.session import staged
 
@@ -46,8 +46,8 @@ LEVELS = (0.32, 0.64, 0.8)
 #: Entries that a task holds before it sends them, and blocks of a core in them from which on it is spread.
 HELD = 250_000
 CROWDED = 64
-#: Bytes of text per bucket of entries and per bucket of the table of texts, and the most buckets of the latter.
-BUCKET_BYTES, TABLE_BYTES, TABLE_BUCKETS = 8 << 20, 16 << 20, 4096
+#: Bytes of text per bucket of entries.
+BUCKET_BYTES = 8 << 20
 
 ENTRY = np.dtype([("core", "<u8"), ("block", "<u8"), ("row", "<u4"), ("low", "<u4"), ("span", "<u2"), ("flags", "<u1")])
 MANY, SPREAD, MARKER = 1, 2, 4
@@ -327,9 +327,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     total = docs.select(F.sum(F.octet_length(body))).first()[0] or 0
     buckets = max(1, math.ceil(total / BUCKET_BYTES))
     # A row is named by its id, 0 where there is none, and a hash of its text and of whether it has an id.
-    rows = bucketed(
-        docs.select(number.alias("doc_id"), body.alias("text"), F.coalesce(number, F.lit(0)).alias("name"), F.xxhash64(number.isNull(), body).alias("mark")),
-        min(max(1, math.ceil(total / TABLE_BYTES)), TABLE_BUCKETS), "name", "mark",
+    rows = docs.select(
+        number.alias("doc_id"), body.alias("text"), F.coalesce(number, F.lit(0)).alias("name"), F.xxhash64(number.isNull(), body).alias("mark")
     )
 
     def resolved(packed: DataFrame) -> DataFrame:
