@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.columns import double_sql, literal_rows, present_sql, quoted, text_sql
 from tabloom.functions.roles import column_roles
-from tabloom.plans.ordered import by_family, fits_directly, quantiles, value_facts
+from tabloom.plans.ordered import by_family, value_facts
 
 HIGH_MISSING_PCT = 50.0
 
@@ -160,13 +160,9 @@ def numeric_profile(df: DataFrame, names: list[str] | None = None, exact: bool =
     found = dict(zip(names, row, strict=True))
     if exact:
         counts = {n: f.n for n, f in found.items()}
-        if fits_directly(counts):
-            facts_of = value_facts(df, names, _FRACTIONS, counts)
-            quartiles = {n: q for n, (q, _) in facts_of.items()}
-            distinct = {n: u for n, (_, u) in facts_of.items()}
-        else:
-            quartiles = quantiles(df, names, _FRACTIONS, counts)
-            distinct = distinct_counts(df, names)
+        facts_of = value_facts(df, names, _FRACTIONS, counts)
+        quartiles = {n: q for n, (q, _) in facts_of.items()}
+        distinct = {n: u for n, (_, u) in facts_of.items()}
     else:
         quartiles = {n: f.quartiles or [None] * 3 for n, f in found.items()}
         distinct = {n: f.u for n, f in found.items()}

@@ -1,6 +1,7 @@
 """Order-based facts without ever sorting a table in one task.
 
-``order_statistics`` finds exact quantiles by narrowing value brackets with
+``value_facts`` takes exact quantiles and distinct counts of all columns from one
+histogram of their values in order.  ``order_statistics`` finds exact quantiles by narrowing value brackets with
 map-side-combined aggregates.  ``running_sums`` adds cumulative sums over a
 global order with a range partitioning and one offset per partition.
 """
@@ -16,10 +17,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabloom.functions.columns import as_double, is_fractional, is_integral, present_sql
-from tabloom.session import settle
+from tabloom.session import settle, staged
 
-#: Cells (rows x columns) up to which each column is sorted in a task of its own.
-DIRECT_CELLS = 8_000_000
 #: Rows up to which a bracket or a running sum is finished in one task.
 SINGLE_TASK_ROWS = 200_000
 
@@ -127,42 +126,48 @@ def order_statistics(
     return {key: r.value for key, r in ranks.items()}
 
 
-def fits_directly(counts: dict[str, int], direct_cells: int = DIRECT_CELLS) -> bool:
-    """Whether the distinct values of all columns may meet in a few tasks."""
-    return sum(counts.values()) <= direct_cells
-
-
 def value_facts(
     df: DataFrame, names: list[str], fractions: list[float], counts: dict[str, int]
 ) -> dict[str, tuple[list[float | None], int]]:
-    """(quantiles, distinct values) per numeric column, from its values in order.
+    """(quantiles, distinct values) per numeric column, from the histogram of its values.
 
-    Only for tables that :func:`fits_directly`: a column is sorted in one task.
+    The different values of all columns are counted, partial counts first, and put in one order by
+    range partitioning.  The driver sees one count per column and partition; the
+    partitions that hold a sought rank then add up their own counts.
     """
     result: dict[str, tuple[list[float | None], int]] = {n: ([None] * len(fractions), 0) for n in names}
     for family, members in by_family(df, [n for n in names if counts[n]]).items():
         slim = df.selectExpr(*[f"cast({present_sql(df, n)} as {family}) as `{i}`" for i, n in enumerate(members)])
-        order = Window.partitionBy("slot").orderBy("value")
-        ranked = (
-            slim.unpivot([], slim.columns, "slot", "value")
-            .filter("value is not null")
-            .select("slot", "value", F.row_number().over(order).alias("place"), F.lag("value").over(order).alias("before"))
+        counted = (
+            slim.unpivot([], slim.columns, "slot", "value").filter("value is not null")
+            .groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+        )
+        placed = staged(counted.repartitionByRange("slot", "value").withColumn("part", F.spark_partition_id()))
+        parts = placed.groupBy("slot", "part").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct")).collect()
+        sought, distinct = [], dict.fromkeys(members, 0)
+        for slot, name in enumerate(members):
+            ranks = sorted({f((counts[name] - 1) * q) for q in fractions for f in (math.floor, math.ceil)})
+            at = 0
+            for row in sorted((r for r in parts if int(r.slot) == slot), key=lambda r: r.part):
+                distinct[name] += row.distinct
+                sought += [(slot, row.part, rank, rank - at) for rank in ranks if at <= rank < at + row.n]
+                at += row.n
+        # At most two ranks for each column and fraction are looked for, in their partitions.
+        held = placed.filter(" or ".join(f"(slot = {slot} and part = {part})" for slot, part in sorted({x[:2] for x in sought})))
+        upto = F.sum("n").over(Window.partitionBy("slot", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+        ranks_of = "array(" + ", ".join(f"named_struct('s', {s}, 'p', {p}, 'k', {k}L, 'w', {w}L)" for s, p, k, w in sought) + ")"
+        values = held.withColumn("upto", upto).select(
+            "slot", F.col("value").cast("double").alias("value"),
+            F.expr(f"filter({ranks_of}, r -> r.s = slot and r.p = part and r.w < upto and r.w >= upto - n).k").alias("ranks"),
         )
-        # Where each quantile lies in each column: 1-based places on either side of it.
-        spots = [[(counts[n] - 1) * q for n in members] for q in fractions]
-
-        def value_at(places: list[int]) -> Column:
-            wanted = f"array({', '.join(str(p + 1) for p in places)})[cast(slot as int)]"
-            return F.expr(f"max(if(place = {wanted}, cast(value as double), null))")
-
-        sides = [value_at([f(s) for s in spot]) for spot in spots for f in (math.floor, math.ceil)]
-        fresh = F.col("before").isNull() | (F.col("before") != F.col("value"))
-        for row in ranked.groupBy("slot").agg(F.count_if(fresh), *sides).collect():
-            index, values = int(row[0]), []
-            for k, spot in enumerate(spots):
-                low, high = row[2 + 2 * k], row[3 + 2 * k]
-                values.append(low + (high - low) * (spot[index] - math.floor(spot[index])))
-            result[members[index]] = (values, row[1])
+        found = {(int(r.slot), k): r.value for r in values.filter("size(ranks) > 0").collect() for k in r.ranks}
+        for slot, name in enumerate(members):
+            quantiles_of = []
+            for q in fractions:
+                place = (counts[name] - 1) * q
+                low, high = found[slot, math.floor(place)], found[slot, math.ceil(place)]
+                quantiles_of.append(low + (high - low) * (place - math.floor(place)) if low != high else low)
+            result[name] = (quantiles_of, distinct[name])
     return result
 
 
@@ -182,25 +187,21 @@ def by_family(df: DataFrame, names: list[str]) -> dict[str, list[str]]:
 
 
 def quantiles(
-    df: DataFrame,
-    names: list[str],
-    fractions: list[float],
-    counts: dict[str, int],
-    direct_cells: int = DIRECT_CELLS,
-    limit: int = SINGLE_TASK_ROWS,
+    df: DataFrame, names: list[str], fractions: list[float], counts: dict[str, int]
 ) -> dict[str, list[float | None]]:
     """Exact linearly interpolated quantiles per numeric column; null where no value is present.
 
-    ``counts`` holds the present values per column, which the caller has from an
-    earlier pass.  Small tables are sorted, one task per column.
+    ``counts`` holds the present values per column, which the caller has from an earlier pass.
     """
+    return {n: q for n, (q, _) in value_facts(df, names, fractions, counts).items()}
+
+
+def narrowed_quantiles(
+    df: DataFrame, names: list[str], fractions: list[float], counts: dict[str, int], limit: int = SINGLE_TASK_ROWS
+) -> dict[str, list[float | None]]:
+    """As :func:`quantiles`, by narrowing brackets: shuffles no values, but reads the table several times."""
     filled = [n for n in names if counts[n] > 0]
     result: dict[str, list[float | None]] = {n: [None] * len(fractions) for n in names}
-    if not filled:
-        return result
-    if fits_directly(counts, direct_cells):
-        return result | {n: q for n, (q, _) in value_facts(df, filled, fractions, counts).items()}
-
     sizes = [counts[n] for n in filled]
     places = {
         (slot, q): (size - 1) * q for slot, size in enumerate(sizes) for q in fractions
@@ -208,7 +209,7 @@ def quantiles(
     wanted = sorted(
         {(slot, k) for (slot, _), p in places.items() for k in (math.floor(p), math.ceil(p))}
     )
-    found = order_statistics(df, [as_double(df, n) for n in filled], wanted, sizes, limit)
+    found = order_statistics(df, [as_double(df, n) for n in filled], wanted, sizes, limit) if filled else {}
     for slot, name in enumerate(filled):
         values = []
         for q in fractions:

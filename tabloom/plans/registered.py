@@ -23,7 +23,7 @@ from tabloom.operators.neighbours import mean_label, nearest, vote
 from tabloom.operators.prepare import PreparedData
 from tabloom.operators.silhouette import silhouette
 from tabloom.plans.experiments import run_experiments, run_one
-from tabloom.plans.ordered import quantiles
+from tabloom.plans.ordered import narrowed_quantiles, quantiles
 from tabloom.plans.study import StudyFailed, run_pipeline
 from tabloom.session import ensure_checkpoint_dir
 from tabloom.sources import tables
@@ -214,13 +214,11 @@ def numeric_profile_with_gaps(spark, folder):
 def numeric_profile_sketched(spark, folder):
     """Sketched quartiles lie within a hundredth of the rows of the exact ones, distinct counts within a tenth."""
     df = table(spark, folder, "lineitem")
-    around = "array(0.24D, 0.26D, 0.49D, 0.51D, 0.74D, 0.76D)"
-    exact = df.select(
-        F.explode(
-            F.expr("array(" + ", ".join(f"named_struct('name', '{c}', 'v', double({c}))" for c in LINEITEM_NUMBERS) + ")")
-        ).alias("c")
-    ).groupBy(F.col("c.name").alias("column")).agg(F.expr(f"percentile(c.v, {around})").alias("q"), F.count_distinct("c.v").alias("u"))
-    found = profile.numeric_profile(df, exact=False).join(exact, "column")
+    exact = profile.numeric_profile(df).select("column", F.col("unique_count").alias("u"))
+    _, counts = prepare.present_counts(df, list(LINEITEM_NUMBERS))
+    around = quantiles(df, list(LINEITEM_NUMBERS), [0.24, 0.26, 0.49, 0.51, 0.74, 0.76], counts)
+    bounds = spark.createDataFrame(list(around.items()), "column string, q array<double>")
+    found = profile.numeric_profile(df, exact=False).join(exact, "column").join(bounds, "column")
     near = " and ".join(f"{name} between q[{2 * i}] and q[{2 * i + 1}]" for i, name in enumerate(("q25", "median", "q75")))
     return found.select(
         "column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max", F.expr(near).alias("quartiles_near"),
@@ -239,10 +237,10 @@ def numeric_profile_sketched(spark, folder):
     ),
 )
 def quantiles_by_narrowing(spark, folder):
-    """The path tables take that are too large for the built-in percentile."""
+    """Quantiles without a shuffle of values."""
     df = gappy_lineitem(spark, folder)
     _, counts = prepare.present_counts(df, list(LINEITEM_NUMBERS))
-    found = quantiles(df, list(LINEITEM_NUMBERS), [0.1, 0.5, 0.99], counts, direct_cells=0, limit=1_000)
+    found = narrowed_quantiles(df, list(LINEITEM_NUMBERS), [0.1, 0.5, 0.99], counts, limit=1_000)
     rows = [(name, *values) for name, values in found.items()]
     return rounded(spark.createDataFrame(rows, "column string, q10 double, q50 double, q99 double"))
 

@@ -20,7 +20,7 @@ def test_narrowing_equals_sorting(spark):
     df, values = table(spark)
     names, fractions = ["a", "ties", "half"], [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
     counts = {n: len(values) for n in names}
-    found = ordered.quantiles(df, names, fractions, counts, direct_cells=0, limit=50)
+    found = ordered.narrowed_quantiles(df, names, fractions, counts, limit=50)
     small = ordered.quantiles(df, names, fractions, counts)
     for i, name in enumerate(names):
         expected = np.quantile(values[:, i], fractions)
