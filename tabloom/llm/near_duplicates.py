@@ -190,7 +190,8 @@ def _spanning(least: dict[int, int], percent: int):
 
     def work(block: pd.DataFrame) -> pd.DataFrame:
         block = block.drop_duplicates("key").sort_values("key", ignore_index=True)
-        sign = np.frombuffer(b"".join(block["sign"]), dtype=np.uint32).reshape(len(block), -1)
+        constants = signature_constants()
+        sign = np.array([signature(np.frombuffer(x, dtype=np.uint64), *constants) for x in block["shingles"]])
         sets = _Sets(block["shingles"])
         component = pd.factorize(block["root"])[0]
         chunk, stray = block["chunk"].to_numpy(), block["stray"].to_numpy(dtype=bool)
@@ -311,8 +312,13 @@ def near_duplicates(
 
     # A bucket of two has been compared.  Of larger ones the classes outside the leader's component and those within are cut into
     # chunks; every chunk of the former meets every chunk in one task.
+    # Of buckets that hold the same classes, the one of the first band is taken.
     rest = open_members().filter("n > 2").withColumn("stray", F.col("root") != F.col("home"))
-    rest = rest.join(classes.select("key", "sign", "n_shingles"), "key")
+    alike = rest.groupBy("bucket").agg(
+        F.min("band").alias("band"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")
+    )
+    chosen = alike.groupBy("n", "x", "y").agg(F.min(F.struct("band", "bucket")).alias("one")).select("one.bucket")
+    rest = rest.join(chosen, "bucket").join(classes.select("key", "n_shingles"), "key")
     parts = rest.groupBy("bucket").agg(
         *[
             F.greatest(F.ceil(F.sum(own) * 2 / F.lit(BLOCK)), F.ceil(F.sum(own * F.col("n_shingles")) * 2 / F.lit(BLOCK_SHINGLES))).cast("int").alias(name)
@@ -323,7 +329,7 @@ def near_duplicates(
     rest = rest.withColumn("chunk", F.expr("cast(if(stray, pmod(_hash, strays), strays + pmod(_hash, homes)) as int)"))
     rest = rest.withColumn("other", F.explode(F.expr("sequence(0, if(stray, strays + homes, strays) - 1)")))
     blocks = rest.join(sets, "key").select(
-        "bucket", "band", "key", "root", "stray", "sign", "shingles", "chunk",
+        "bucket", "band", "key", "root", "stray", "shingles", "chunk",
         F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"),
     )
     links = links.unionByName(staged(blocks.groupBy("bucket", "one", "two").applyInPandas(_spanning(least, percent), pair)))
