@@ -1,7 +1,8 @@
-"""Truncated SVD and PCA over feature columns.
+"""Truncated SVD and PCA over feature columns or one sparse vector column.
 
-The (columns x columns) Gram matrix comes from per-partition products; its
-eigenvectors, a small dense problem of bounded width, are found on the driver.
+The Gram matrix of narrow tables is summed inside the JVM as packed triangles, in a tree, and its eigenvectors are
+found on the driver.  Beyond ``GRAM_COLUMNS`` columns the SVD multiplies the rows with vectors instead (Lanczos), so
+that no matrix of (columns x columns) is ever built; PCA keeps to the covariance matrix, which Spark limits to 65,535 columns.
 Projecting is one Arrow-batched matrix product per batch.
 """
 
@@ -12,13 +13,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabloom.functions.columns import ref
-from tabloom.operators.gram import means, pair_sums
+from tabloom.functions.columns import double_sql, number_sql, ref
+from tabloom.operators.gram import means
 
 DEFAULT_COMPONENTS = 50
+#: Columns up to which the Gram matrix is built: 64 MB as a packed triangle.
+GRAM_COLUMNS = 4_000
 
 
 @dataclass
@@ -61,34 +69,64 @@ def component_count(features: int, rows: int, wanted: int | None = None) -> int
     return max(1, min(wanted, features - 1, rows - 1))
 
 
-def fit_projection(
-    df: DataFrame, names: list[str], method: str = "svd", components: int | None = None
-) -> Projection | None:
-    """Fit on complete numeric columns; None if there are too few columns or rows."""
+def _completed(axes: np.ndarray, keep: int) -> np.ndarray:
+    """The orthonormal axes, filled up to ``keep`` by those unit vectors that lie farthest outside their span."""
+    while axes.shape[1] < keep:
+        k = int(np.argmax(1.0 - (axes**2).sum(axis=1)))
+        extra = -axes @ axes[k]
+        extra[k] += 1.0
+        extra -= axes @ (axes.T @ extra)
+        axes = np.column_stack([axes, extra / np.linalg.norm(extra)])
+    return axes
+
+
+def fit_axes(
+    vectors: DataFrame, width: int, method: str = "svd", components: int | None = None, gram_columns: int = GRAM_COLUMNS
+) -> tuple[np.ndarray, np.ndarray, float] | None:
+    """(centre, axes, share of variance kept) of a table whose only column is a vector, dense or sparse, of ``width`` numbers."""
     if method not in ("svd", "pca"):
         raise ValueError(f"unknown method {method!r}: use 'svd', 'pca' or 'off'")
-    if len(names) < 2:
+    if width < 2:
         return None
-    centre = np.array(means(df, names))
-    cells = pair_sums(df, names, list(centre)).select("i", "j", "n", "sxy").collect()
-    rows = int(max((c.n for c in cells), default=0))
-    keep = component_count(len(names), rows, components)
+    name = vectors.columns[0]
+    facts = vectors.select(Summarizer.metrics("count", "mean", "variance").summary(ref(name)).alias("s")).first().s
+    rows = int(facts["count"])
+    keep = component_count(width, rows, components)
     if keep is None:
         return None
-    centred = np.zeros((len(names), len(names)))
-    for c in cells:
-        centred[c.i, c.j] = c.sxy
-    if method == "svd":  # the uncentred Gram matrix follows from the centred one
-        matrix, shift = centred + rows * np.outer(centre, centre), np.zeros(len(names))
+    mean, total = facts["mean"].toArray(), float(facts["variance"].toArray().sum()) * (rows - 1)
+    if total + rows * float(mean @ mean) == 0.0:
+        return np.zeros(width), _completed(np.zeros((width, 0)), keep), 0.0
+    matrix = RowMatrix(MLUtils.convertVectorColumnsFromML(vectors, name), rows, width)
+    if method == "svd" and width > gram_columns:
+        found = matrix.computeSVD(keep)
+        axes, squares = found.V.toArray(), found.s.toArray() ** 2
+    elif method == "svd":
+        squares, axes = np.linalg.eigh(matrix.computeGramianMatrix().toArray())
     else:
-        matrix, shift = centred, centre
-    values, vectors = np.linalg.eigh(matrix)
-    axes = vectors[:, np.argsort(values)[::-1][:keep]]
+        squares, axes = np.linalg.eigh(matrix.computeCovariance().toArray() * (rows - 1))
+    order = np.argsort(squares)[::-1][:keep]
+    axes, squares = axes[:, order], squares[order]
+    # Square sums about zero become those about the mean.
+    kept = float(np.maximum(squares, 0.0).sum()) - (rows * float(((mean @ axes) ** 2).sum()) if method == "svd" else 0.0)
+    axes = _completed(axes, keep)
     # Signs are arbitrary; make each axis's largest entry positive so that runs agree.
     axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(keep)] < 0, -1.0, 1.0)
-    total = float(np.trace(centred))
-    kept = float(np.trace(axes.T @ centred @ axes))
-    return Projection(names, shift, axes, kept / total if total > 0 else 0.0)
+    centre = mean if method == "pca" else np.zeros(width)
+    return centre, axes, kept / total if total > 0 else 0.0
+
+
+def fit_projection(
+    df: DataFrame, names: list[str], method: str = "svd", components: int | None = None
+) -> Projection | None:
+    """Fit on numeric columns, a gap counting as the column's mean; None if there are too few columns or rows."""
+    if method not in ("svd", "pca"):
+        raise ValueError(f"unknown method {method!r}: use 'svd', 'pca' or 'off'")
+    if len(names) < 2:
+        return None
+    filled = [f"coalesce({double_sql(df, n)}, {number_sql(m)})" for n, m in zip(names, means(df, names), strict=True)]
+    fit = fit_axes(df.select(array_to_vector(F.expr(f"array({', '.join(filled)})")).alias("x")), len(names), method, components)
+    return Projection(names, *fit) if fit else None
 
 
 def reduce_dims(

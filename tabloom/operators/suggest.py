@@ -87,10 +87,6 @@ def correlations(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     sums = pair_sums(df, names, means(df, names))
-    # The mirrored cell holds the sums of the other column over the same rows.
-    mirrored = sums.select(
-        F.col("j").alias("i"), F.col("i").alias("j"), F.col("sx").alias("sy"), F.col("sxx").alias("syy")
-    )
     spread_x = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), F.col("n"))
     spread_y = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), F.col("n"))
     joint = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), F.col("n"))
@@ -98,9 +94,7 @@ def correlations(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     flat = (spread_x <= 1e-12 * F.col("sxx")) | (spread_y <= 1e-12 * F.col("syy"))
     labels = F.expr(f"array({', '.join(map(text_sql, names))})")
     return (
-        sums.filter("i < j")
-        .join(mirrored, ["i", "j"])
-        .select(
+        sums.select(
             F.get(labels, F.col("i")).alias("col_a"),
             F.get(labels, F.col("j")).alias("col_b"),
             F.when(~flat, F.try_divide(joint, F.sqrt(spread_x * spread_y))).alias("r"),
