@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.functions.columns import quoted
+from tabloom.functions.columns import quoted, ref
 
 SEED = 42
 #: Rows a training partition should hold; small tables get few partitions, so that
@@ -48,11 +49,18 @@ class ModelSpec:
 
 
 def vector_rows(df: DataFrame, features: list[str], *others: str) -> DataFrame:
-    """Features as array ``x`` and vector ``features``, with further columns kept."""
+    """Features as array ``x`` and vector ``features``, with further columns kept; one vector column is taken as it is, without ``x``."""
+    if len(features) == 1 and isinstance(df.schema[features[0]].dataType, VectorUDT):
+        return df.select(*others, ref(features[0]).alias("features"))
     x = F.expr(f"array({', '.join(f'double({quoted(f)})' for f in features)})")
     return df.select(*others, x.alias("x")).withColumn("features", array_to_vector("x"))
 
 
+def with_array(rows: DataFrame) -> DataFrame:
+    """``x`` from sparse ``features``, worked out only where a model asks for it, so that dense rows are never stored."""
+    return rows if "x" in rows.columns else rows.withColumn("x", vector_to_array("features"))
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """Spread over no more partitions than the row count is worth."""
     wanted = max(1, -(-rows // ROWS_PER_PARTITION))

@@ -26,14 +26,15 @@ from tabloom.functions.columns import (
 from tabloom.functions.roles import column_roles
 from tabloom.operators.profile import duplicate_count, value_counts
 from tabloom.operators.reduce import Projection, fit_projection
+from tabloom.operators.sparse import SparseModel, level_table
 from tabloom.plans.ordered import quantiles
 from tabloom.session import staged
 
 # Fixed values of the drop rule for free text and identifiers.
 MANY_LEVELS = 20
 MANY_LEVELS_SHARE = 0.4
-#: One-hot columns a wide table may get; their names live in the plan.
-MAX_LEVEL_COLUMNS = 10_000
+#: One-hot columns whose names may live in the plan; with more levels, the features are one sparse vector column.
+PLAN_COLUMNS = 2_000
 LOG_SCHEMA = "column string, operation string, details string"
 ERROR_SCHEMA = "phase string, error_type string, message string, recoverable boolean"
 
@@ -80,6 +81,10 @@ class PrepModel:
     def feature_cols(self) -> list[str]:
         return self.projection.names if self.projection else self.columns
 
+    @property
+    def feature_count(self) -> int:
+        return len(self.feature_cols)
+
     def _encoded(self, df: DataFrame) -> list[str]:
         scaled = [
             f"(coalesce({double_sql(df, f.name)}, {number_sql(f.median)}) - {number_sql(f.mean)}) / {number_sql(f.scale)}"
@@ -111,7 +116,7 @@ class PreparedData:
     df: DataFrame
     feature_cols: list[str]
     log: DataFrame
-    model: PrepModel
+    model: PrepModel | SparseModel
     target: str | None
     task: str
     errors: list[tuple[str, str, str, bool]]
@@ -237,13 +242,8 @@ def standard_scale(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def levels_of(df: DataFrame, counts: dict[str, int]) -> dict[str, tuple[str, ...]]:
-    """Sorted distinct values per column, whose known ``counts`` are checked before they are fetched."""
+    """Sorted distinct values per column that has any by ``counts``; each one becomes a column of the plan."""
     total = sum(counts.values())
-    if total > MAX_LEVEL_COLUMNS:
-        raise ValueError(
-            f"one-hot encoding {sorted(counts)} needs {total} columns, more than {MAX_LEVEL_COLUMNS}; "
-            "bin these columns (bin_categorical) or leave them out"
-        )
     found: dict[str, list[str]] = {n: [] for n in counts}
     if total:
         names = list(counts)
@@ -253,7 +253,10 @@ def levels_of(df: DataFrame, counts: dict[str, int]) -> dict[str, tuple[str, ...
 
 
 def one_hot(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Replace each column by one 0/1 column per sorted level, ``<col>_<level>``; null has no level."""
+    """Replace each column by one 0/1 column per sorted level, ``<col>_<level>``; null has no level.
+
+    Every level is a column, so this is for few levels; :func:`preprocess` turns to sparse vectors for many.
+    """
     cols = column_roles(df)[1] if cols is None else cols
     levels = levels_of(df, {n: facts[0] for n, facts in _level_facts(df, cols).items()})
     kept = [quoted(n) for n in df.columns if n not in set(cols)]
@@ -291,9 +294,11 @@ def _numeric_fits(df: DataFrame, cols: list[str], rows: int, exact: bool) -> lis
 
 
 def fit_preparation(
-    df: DataFrame, target: str | None = None, exact: bool = True
-) -> tuple[PrepModel, list[tuple[str, str, str]], list[tuple[str, str, str, bool]]]:
+    df: DataFrame, target: str | None = None, exact: bool = True, encoding: str = "auto"
+) -> tuple[PrepModel | SparseModel, list[tuple[str, str, str]], list[tuple[str, str, str, bool]]]:
     """Fit on ``df``; returns the model, log rows and error rows."""
+    if encoding not in ("auto", "columns", "vector"):
+        raise ValueError(f"unknown encoding {encoding!r}: use 'auto', 'columns' or 'vector'")
     log: list[tuple[str, str, str]] = []
     errors: list[tuple[str, str, str, bool]] = []
     numeric, categorical = column_roles(df, exclude=[target] if target else [])
@@ -318,11 +323,15 @@ def fit_preparation(
     for fit in fits:
         gap(fit.name, fit.missing, "median")
         log.append((fit.name, "scale", "zero mean, unit variance"))
+    for name, (count, _, missing) in facts.items():
+        gap(name, missing, "most frequent value")
+        log.append((name, "onehot_encode", f"{count} levels"))
+    total = sum(f[0] for f in facts.values())
+    if encoding == "vector" or (encoding == "auto" and total > PLAN_COLUMNS):
+        coded = [CategoricalFit(n, f[1], (), f[2]) for n, f in facts.items()]
+        return SparseModel(fits, coded, target, level_table(df, list(facts), len(fits)), len(fits) + total), log, errors
     levels = levels_of(df, {n: f[0] for n, f in facts.items()})
     coded = [CategoricalFit(n, f[1], levels[n], f[2]) for n, f in facts.items()]
-    for fit in coded:
-        gap(fit.name, fit.missing, "most frequent value")
-        log.append((fit.name, "onehot_encode", f"{len(fit.levels)} levels"))
     return PrepModel(fits, coded, target), log, errors
 
 
@@ -335,9 +344,13 @@ def preprocess(
     components: int | None = None,
     exact: bool = True,
     dedupe: bool = True,
+    encoding: str = "auto",
 ) -> PreparedData:
     """Deduplicate, drop, impute, scale, encode, and for clustering reduce.
 
+    ``encoding`` is ``"columns"`` (one column per level), ``"vector"`` (one sparse vector column ``features``), or
+    ``"auto"``: columns as long as all levels are few enough for the plan.  Both hold the same numbers in the same order.
+
     Fitted on the whole table unless ``fit_on`` names other rows.  The target
     column travels with its features and is never changed.
     """
@@ -346,19 +359,18 @@ def preprocess(
         df, removed = without_duplicates(df)
         if removed:
             log.append(("dataset", "deduplication", f"{removed} duplicate rows"))
-    model, steps, errors = fit_preparation(df if fit_on is None else fit_on, target, exact)
+    model, steps, errors = fit_preparation(df if fit_on is None else fit_on, target, exact, encoding)
     log += steps
     if task == "clustering" and reduction not in ("off", "none"):
-        encoded = model.encode(df if fit_on is None else fit_on).select(*map(ref, model.columns))
-        try:
-            model.projection = fit_projection(encoded, model.columns, reduction, components)
-        except Exception as exc:  # the unreduced table stays usable
-            errors.append(("preparation", "dimension_reduction_failed", f"{reduction}: {exc}", True))
-        if model.projection:
-            p = model.projection
+        fitted = df if fit_on is None else fit_on
+        if isinstance(model, SparseModel):
+            width, p = model.width, model.fit_projection(fitted, reduction, components)
+        else:
+            width, encoded = len(model.columns), model.encode(fitted).select(*map(ref, model.columns))
+            p = model.projection = fit_projection(encoded, model.columns, reduction, components)
+        if p:
             log.append(
-                ("features", "dimension_reduction",
-                 f"{len(model.columns)} to {len(p.names)} by {reduction}, {p.explained:.1%} of variance")
+                ("features", "dimension_reduction", f"{width} to {len(p.names)} by {reduction}, {p.explained:.1%} of variance")
             )
     if target in df.columns:
         gaps = df.filter(present(df, target).isNull()).count()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions.columns import present, ref
 from tabloom.models import select_zoo
-from tabloom.models.base import Fold, ModelSpec, sized, vector_rows
+from tabloom.models.base import Fold, ModelSpec, sized, vector_rows, with_array
 from tabloom.operators.metrics import classification_metrics, cluster_counts, regression_metrics
 from tabloom.operators.prepare import PreparedData
 from tabloom.operators.rank import RECORD_SCHEMA
@@ -72,7 +72,8 @@ def folds(prepared: PreparedData) -> Iterator[Fold]:
         n = rows.count()
         rows = sized(rows, n).persist()
         try:
-            yield Fold(rows, rows, n, 0, len(features))
+            full = with_array(rows)
+            yield Fold(full, full, n, 0, prepared.model.feature_count)
         finally:
             rows.unpersist()
         return
@@ -103,7 +104,9 @@ def folds(prepared: PreparedData) -> Iterator[Fold]:
         for r in train.groupBy("label").count().collect():
             class_rows[int(r.label)] = r["count"]
     try:
-        yield Fold(train, test, n_train, n_test, len(features), classes, class_rows)
+        yield Fold(
+            with_array(train), with_array(test), n_train, n_test, prepared.model.feature_count, classes, class_rows
+        )
     finally:
         train.unpersist()
         test.unpersist()

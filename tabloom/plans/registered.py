@@ -742,6 +742,35 @@ def preprocess(spark, folder):
     return rounded(prepare.preprocess(df, "l_linestatus").df)
 
 
+ORDER_LINES = (
+    "(SELECT DISTINCT l_orderkey::VARCHAR AS k, l_returnflag AS f, CASE WHEN l_linenumber > 1 THEN l_quantity END AS q, "
+    "l_orderkey * 10 + l_linenumber AS t FROM lineitem)"
+)
+
+
+@query(
+    "encode_many_levels",
+    f"WITH d AS {ORDER_LINES}, lk AS (SELECT k, row_number() OVER (ORDER BY k) AS at, count(*) OVER () AS n FROM (SELECT DISTINCT k FROM d)), "
+    "lf AS (SELECT f, row_number() OVER (ORDER BY f) AS at FROM (SELECT DISTINCT f FROM d)) "
+    f"SELECT t, (1 + lk.n + (SELECT count(*) FROM lf))::BIGINT AS width, {scaled_sql('q', 'd')} AS q, lk.at::BIGINT AS at_k, "
+    "(lk.n + lf.at)::BIGINT AS at_f FROM d JOIN lk USING (k) JOIN lf USING (f)",
+)
+def encode_many_levels(spark, folder):
+    """Every order a level: size of the sparse vectors, the scaled number, and the two positions that are set."""
+    df = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("k"), F.col("l_returnflag").alias("f"),
+        F.when(F.col("l_linenumber") > 1, F.col("l_quantity")).alias("q"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("t"),
+    )
+    prepared = prepare.preprocess(df, "t", "regression", encoding="vector")
+    rows = prepared.df.select("t", F.unwrap_udt("features").alias("v"))
+    return rounded(
+        rows.selectExpr(
+            "t", "bigint(v.size) as width", "v.values[0] as q", "bigint(v.indices[1]) as at_k", "bigint(v.indices[2]) as at_f"
+        )
+    )
+
+
 @query(
     "preprocess_log",
     "SELECT * FROM (VALUES ('c_name', 'drop'), ('c_custkey', 'scale'), ('c_nationkey', 'scale'), ('c_acctbal', 'scale')) AS t(\"column\", operation)",

@@ -3,7 +3,9 @@ import pytest
 
 from tabloom import impute_mode, one_hot, preprocess, reduce_dims, standard_scale
 from tabloom.operators.prepare import NoFeaturesLeft
-from tabloom.operators.reduce import component_count
+from tabloom.operators.gram import pair_sums
+from tabloom.operators.prepare import PLAN_COLUMNS
+from tabloom.operators.reduce import component_count, fit_axes
 
 
 def operations(prepared):
@@ -108,3 +110,81 @@ def test_component_count_rule():
     assert component_count(100, 5) == 4
     assert component_count(10, 100, 3) == 3
     assert component_count(1, 100) is None and component_count(10, 1) is None
+
+
+def mixed(spark):
+    rows = [(float(i % 7), f"v{i % 5}" if i % 6 else None, i % 3 == 0, i) for i in range(40)]
+    return spark.createDataFrame(rows, "a double, s string, b boolean, t int")
+
+
+def test_sparse_rows_hold_the_numbers_of_the_columns(spark):
+    df = mixed(spark)
+    dense, sparse = preprocess(df, "t", "regression", encoding="columns"), preprocess(df, "t", "regression", encoding="vector")
+    assert sparse.feature_cols == ["features"] and sparse.model.width == len(dense.feature_cols)
+    assert [r.feature for r in sparse.model.feature_table().orderBy("at").collect()] == dense.feature_cols
+    expected = {r.t: [r[c] for c in dense.feature_cols] for r in dense.df.collect()}
+    found = {r.t: r.features.toArray().tolist() for r in sparse.df.collect()}
+    assert found == expected
+    fresh = spark.createDataFrame([(None, "never seen", None)], "a double, s string, b boolean")
+    assert sparse.model.transform(fresh).first().features.toArray().tolist() == list(dense.model.transform(fresh).first())
+
+
+@pytest.mark.parametrize("method", ["svd", "pca"])
+def test_sparse_components_equal_those_of_columns(spark, method):
+    df = mixed(spark)
+    # Clustering keeps the target beside the components, so that rows can be told apart.
+    parts = [
+        preprocess(df, "t", "clustering", reduction=method, components=3, encoding=how) for how in ("columns", "vector")
+    ]
+    dense, sparse = ({r.t: [r.pc_1, r.pc_2, r.pc_3] for r in p.df.collect()} for p in parts)
+    assert dense.keys() == sparse.keys()
+    for t, scores in dense.items():
+        assert sparse[t] == pytest.approx(scores, abs=1e-8)
+
+
+def test_many_levels_become_one_sparse_column(spark):
+    levels = 10_500
+    df = spark.range(3 * levels).selectExpr(f"concat('k', id % {levels}) as s", "double(id) as x", "id % 2 as t")
+    prepared = preprocess(df, "t")
+    assert levels > PLAN_COLUMNS and prepared.feature_cols == ["features"] and prepared.model.width == levels + 1
+    first = prepared.df.first().features
+    assert len(first.indices) == 2 and first.size == levels + 1
+    used = prepared.model.feature_table()
+    assert (used.count(), used.select("at").distinct().count(), used.agg({"at": "max"}).first()[0]) == (levels + 1, levels + 1, levels)
+
+
+def test_wide_svd_by_lanczos_and_missing_rank(spark):
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    df, values = wide(spark, 40, 12)
+    vectors = df.select(array_to_vector(F.array(*df.columns)).alias("v"))
+    _, axes, kept = fit_axes(vectors, 12, "svd", 3)
+    _, lanczos, same = fit_axes(vectors, 12, "svd", 3, gram_columns=4)
+    assert lanczos == pytest.approx(axes, abs=1e-6) and same == pytest.approx(kept)
+    flat = spark.createDataFrame([(1.0, 2.0, 0.0, 0.0)] * 6, "a double, b double, c double, d double")
+    _, axes, _ = fit_axes(flat.select(array_to_vector(F.array(*flat.columns)).alias("v")), 4, "svd", 3, gram_columns=2)
+    assert axes.T @ axes == pytest.approx(np.eye(3), abs=1e-9)
+
+
+def test_pair_sums_by_stripes_equal_plain_sums(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(50, 5))
+    values[rng.random(values.shape) < 0.2] = np.nan
+    df = spark.createDataFrame([tuple(r) for r in values.tolist()], ", ".join(f"f{i} double" for i in range(5))).repartition(3)
+    found = {(r.i, r.j): r for r in pair_sums(df, df.columns, [0.0] * 5, cells=10).collect()}
+    assert len(found) == 10
+    for (i, j), r in found.items():
+        x, y = values[~np.isnan(values[:, i]) & ~np.isnan(values[:, j])][:, [i, j]].T
+        assert (r.n, r.sx, r.sy, r.sxx, r.syy, r.sxy) == pytest.approx((len(x), x.sum(), y.sum(), x @ x, y @ y, x @ y))
+
+
+def test_models_take_sparse_rows(spark):
+    from tabloom import run_experiments, select_zoo
+
+    df = spark.range(120).selectExpr("concat('k', id % 8) as s", "double(id % 11) as x", "int(id % 8 < 4) as t")
+    prepared = preprocess(df, "t", encoding="vector", dedupe=False)
+    names = {"majority_class", "logistic_regression", "nearest_neighbours_5"}
+    zoo = [m for m in select_zoo("classification") if m.name in names]
+    found = {r.model_name: r for r in run_experiments(prepared, zoo).collect()}
+    assert len(found) == 3 and all(r.success for r in found.values()), found
