@@ -41,6 +41,36 @@ PLACEHOLDER = "[SECRET]"
 _CODES = 128
 
 
+def _with(name: str, value: str, body: str) -> str:
+    """SQL of ``body`` where ``name`` stands for ``value``, which is worked out once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _running(values: str, merge: str) -> str:
+    """SQL of the running results of an integer array; ``merge`` joins ``a`` and ``b``.
+
+    An array that grows inside ``aggregate`` is copied with every entry, so it only grows within blocks of the cube root
+    of its size: a million entries take some hundred million copied numbers, not five hundred thousand million.
+    """
+    start = "cast(null as int)"
+    joined = f"coalesce({_with('b', 'get(v, i)', _with('a', 'r.at', merge))}, get(v, i))"
+    inside = "sequence(j * w, least(size(v), (j + 1) * w) - 1)"
+    total = f"aggregate({inside}, named_struct('at', {start}), (r, i) -> named_struct('at', {joined}), r -> r.at)"
+    totals = f"transform(sequence(0, int((size(v) - 1) div w)), j -> {total})"
+    grown = "cast(array() as array<int>)"
+    before = (
+        f"aggregate({totals}, named_struct('at', {start}, 'out', {grown}), (r, t) -> named_struct('at',"
+        f" coalesce({_with('b', 't', _with('a', 'r.at', merge))}, t), 'out', array_append(r.out, r.at)), r -> r.out)"
+    )
+    block = (
+        f"aggregate({inside}, named_struct('at', p, 'out', {grown}), (r, i) -> named_struct('at', {joined},"
+        f" 'out', array_append(r.out, {joined})), r -> r.out)"
+    )
+    blocks = f"flatten(transform({before}, (p, j) -> {block}))"
+    whole = _with("w", "greatest(1, int(cbrt(size(v))))", blocks)
+    return _with("v", values, f"if(size(v) = 0, {grown}, {whole})")
+
+
 def _located(rows: DataFrame, name: str, kind: int, pattern: str, gate: Column, group: int = 0) -> DataFrame:
     """Add the array of (start, kind, end, token) of a pattern's matches; ``token`` is the match's group."""
     rows = rows.withColumn("_gate", gate & F.col("_text").rlike(pattern))
@@ -51,16 +81,30 @@ def _located(rows: DataFrame, name: str, kind: int, pattern: str, gate: Column,
             "_inner": F.when(F.col("_gate"), F.regexp_extract_all("_text", F.lit(pattern), F.lit(group))),
         }
     )
-    start = "a.at + length(get(_between, i))"
-    end = f"{start} + length(get(_match, i))"
-    walk = (
-        "aggregate(sequence(0, size(_match) - 1), named_struct('at', 0, 'spans',"
-        " cast(array() as array<struct<start: int, kind: int, end: int, token: string>>)),"
-        f" (a, i) -> named_struct('at', {end}, 'spans', array_append(a.spans, named_struct('start', {start}, 'kind', {kind},"
-        f" 'end', {end}, 'token', get(_inner, i)))), a -> a.spans)"
+    matches = "filter(arrays_zip(_between, _match, _inner), m -> m._match is not null)"
+    steps = "transform(z, m -> length(m._between) + length(m._match))"
+    spans = (
+        "transform(z, (m, i) -> named_struct('start', get(ends, i) - length(m._match), 'kind', "
+        f"{kind}, 'end', get(ends, i), 'token', m._inner))"
     )
+    found = _with("z", matches, _with("ends", _running(steps, "a + b"), spans))
     none = "cast(array() as array<struct<start: int, kind: int, end: int, token: string>>)"
-    return rows.withColumn(name, F.expr(f"if(size(_match) > 0, {walk}, {none})")).drop("_gate", "_between", "_match", "_inner")
+    return rows.withColumn(name, F.expr(f"if(size(_match) > 0, {found}, {none})")).drop("_gate", "_between", "_match", "_inner")
+
+
+def _free(tokens: str, spans: str) -> str:
+    """SQL of the tokens that overlap none of the spans, which are in the order of their starts.
+
+    A token overlaps a span if, of the spans that start before its end, the one that reaches farthest ends after its
+    start; one running maximum over all starts and ends in order tells that.
+    """
+    events = (
+        f"array_sort(concat(transform({tokens}, t -> named_struct('at', t.end, 'base', 0, 'reach', 0, 'token', t)),"
+        f" transform({spans}, x -> named_struct('at', x.start, 'base', 1, 'reach', x.end, 'token', x))))"
+    )
+    clear = "filter(e, (v, i) -> v.base = 0 and get(reach, i) <= v.token.start)"
+    body = _with("reach", _running("transform(e, v -> v.reach)", "greatest(a, b)"), f"transform({clear}, v -> v.token)")
+    return _with("e", events, body)
 
 
 def _with_base(rows: DataFrame) -> DataFrame:
@@ -134,9 +178,8 @@ def secret_scan(docs: DataFrame, text: str = "text", ratios: list[float] | None
         "aggregate(split(t.token, ''), named_struct('last', -1, 'sum', 0D), (a, c) -> named_struct('last', ascii(c), 'sum',"
         f" a.sum + if(a.last < 0, 0D, get({table}, a.last * {_CODES} + ascii(c)))), a -> a.sum)"
     )
-    free = "not exists(_base, x -> x.start < t.end and t.start < x.end)"
     judged = (
-        f"filter(transform(filter(_tokens, t -> {free}), t -> named_struct('t', t, 'ratio', {ratio})),"
+        f"filter(transform({_free('_tokens', '_base')}, t -> named_struct('t', t, 'ratio', {ratio})),"
         f" j -> j.ratio >= {LEAST_RATIO}D and j.ratio >= {LEAST_MEAN}D * length(j.t.token))"
     )
     rows = rows.withColumn("_random", F.expr(f"transform({judged}, j -> j.t)"))
