@@ -44,8 +44,7 @@ def test_planted_random_strings_and_identifiers(spark):
     letters = string.ascii_letters + string.digits
     random_strings = ["".join(rng.choice(letters) for _ in range(rng.randrange(24, 41))) for _ in range(100)]
     names = ["_".join(rng.choice(words) for _ in range(4)) for _ in range(50)] + ["/".join(rng.choice(words) for _ in range(4)) for _ in range(50)]
-    train = [(i, " ".join(rng.choice(prose).split() * 3 + rng.sample(words, 8))) for i in range(200)]
-    ratios = secrets.train(spark.createDataFrame(train, "doc_id int, text string"))
+    ratios = secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     text = " ".join(f"see {a} and {b} here" for a, b in zip(random_strings, names, strict=True))
     spans = secrets.secret_scan(spark.createDataFrame([(1, text)], "doc_id int, text string"), ratios=ratios).first().spans
     assert all(text[s.start : s.end] == s.token for s in spans)
