@@ -4,10 +4,11 @@ The statistics of a text are made by built-in functions only.  Rows that pass th
 fixed limits are put in groups of one language and source; small groups are merged
 per language, and small languages into one.  For each group the location and scatter
 of transformed statistics are estimated by the minimum covariance determinant: from
-medians and quartiles on, concentration steps re-estimate both from the share of
-rows with the smallest Mahalanobis distances.  A row far from its group is rejected.
+three deterministic starts, concentration steps re-estimate both from the share of
+rows with the smallest Mahalanobis distances until no determinant falls any more, and each group keeps
+the start with the least determinant.  A row far from its group is rejected.
 
-One concentration step is one aggregate: rows are counted and summed per group and
+One concentration step is one aggregate for all starts: rows are counted and summed per group and
 narrow band of distance, and the bands up to the wanted share are added up.  A
 group of any size is combined before the shuffle; no group meets in one task.
 
@@ -43,7 +44,8 @@ FEATURES = (
     ("sqrt(try_divide(n_stutters, n_words))", 0.12),
 )
 SUPPORT = 0.75
-STEPS = 3
+#: Fall of a log-determinant below which a start has settled.  It cannot fall for ever, as the least spreads bound it.
+SETTLED = 1e-3
 MIN_GROUP = 200
 #: Squared distance beyond which a row is rejected, in units where its median is that of chi-square.
 CUTOFF = 30.0
@@ -119,15 +121,42 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return named.join(staged(keys), ["_lang", "_source"]).drop("_lang", "_source")
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians, and variances by the distance of the quartiles, without covariances."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three starts a group: medians with quartile spreads and no covariances, plain moments, and medians with the
+    correlations of values pressed together by the hyperbolic tangent."""
     quartiles = [f"percentile_approx(_x{i}, array(0.25D, 0.5D, 0.75D), 1000) as q{i}" for i in _K]
-    found = rows.groupBy("_group").agg(*[F.expr(q) for q in quartiles])
-    return found.select(
-        "_group",
-        *[F.expr(f"q{i}[1] as m{i}") for i in _K],
-        *[F.expr(f"power((q{i}[2] - q{i}[0]) / 1.349, 2) as c{i}{j}" if i == j else f"0D as c{i}{j}") for i, j in _PAIRS],
+    middle = staged(
+        rows.groupBy("_group").agg(*[F.expr(q) for q in quartiles]).selectExpr(
+            "_group",
+            *[f"q{i}[1] as a{i}" for i in _K],
+            *[f"sqrt(power((q{i}[2] - q{i}[0]) / 1.349, 2) + {FEATURES[i][1] ** 2}D) as b{i}" for i in _K],
+        )
     )
+    pressed = rows.join(middle, "_group").withColumns({f"_y{i}": F.expr(f"tanh((_x{i} - a{i}) / b{i})") for i in _K})
+    sums = [F.sum(f"_{v}{i}").alias(f"s{v}{i}") for v in "xy" for i in _K]
+    sums += [F.sum(F.expr(f"_{v}{i} * _{v}{j}")).alias(f"p{v}{i}{j}") for v in "xy" for i, j in _PAIRS]
+    facts = pressed.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), *sums).join(middle, "_group")
+
+    def moment(v: str, i: int, j: int) -> str:
+        return f"(p{v}{i}{j} / n - (s{v}{i} / n) * (s{v}{j} / n))"
+
+    def pressed_scatter(i: int, j: int) -> str:
+        root = f"sqrt(greatest({moment('y', i, i)}, 0D) * greatest({moment('y', j, j)}, 0D))"
+        return f"b{i} * b{j} * " + ("1D" if i == j else f"coalesce(try_divide({moment('y', i, j)}, {root}), 0D)")
+
+    kinds = (
+        (lambda i: f"a{i}", lambda i, j: f"b{i} * b{i}" if i == j else "0D"),
+        (lambda i: f"sx{i} / n", lambda i, j: moment("x", i, j)),
+        (lambda i: f"a{i}", pressed_scatter),
+    )
+    facts = staged(facts)
+    found = [
+        facts.selectExpr(
+            "_group", f"{k} as _start", *[f"{mean(i)} as m{i}" for i in _K], *[f"{scatter(i, j)} as c{i}{j}" for i, j in _PAIRS]
+        )
+        for k, (mean, scatter) in enumerate(kinds)
+    ]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def _factored(estimates: DataFrame) -> DataFrame:
@@ -139,12 +168,12 @@ def _factored(estimates: DataFrame) -> DataFrame:
             # The added spread keeps the exact value positive; rounding must not push it below.
             step = f"sqrt(greatest({rest}, 1e-12D))" if i == j else f"({rest}) / l{j}{j}"
             estimates = estimates.withColumn(f"l{i}{j}", F.expr(step))
-    return estimates
+    return staged(estimates.withColumn("_log_det", F.expr("2D * (" + " + ".join(f"ln(l{i}{i})" for i in _K) + ")")))
 
 
 def _distances(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
-    """Add the squared Mahalanobis distance to the row's group, by forward substitution."""
-    joined = rows.join(staged(_factored(estimates)), "_group", how)
+    """Add the squared Mahalanobis distance to each estimate of the row's group, by forward substitution."""
+    joined = rows.join(estimates, "_group", how)
     for i in _K:
         rest = f"_x{i} - m{i}" + "".join(f" - l{i}{j} * z{j}" for j in range(i))
         joined = joined.withColumn(f"z{i}", F.expr(f"({rest}) / l{i}{i}"))
@@ -152,13 +181,16 @@ def _distances(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> Dat
 
 
 def _by_band(rows: DataFrame, *sums: Column) -> DataFrame:
-    """Sums per group and band of distance, with the rows of nearer bands and of the group."""
+    """Sums per group, start and band of distance, with the rows of nearer bands and of the group.
+
+    The sums are written before the window, which would else have all partial sums of a group sent to one task.
+    """
     band = F.floor(F.lit(float(BANDS_PER_OCTAVE)) * F.log2(F.col("_d") + F.lit(1e-3)))
-    counted = rows.groupBy("_group", band.alias("_band")).agg(F.count(F.lit(1)).alias("_n"), *sums)
+    counted = staged(rows.groupBy("_group", "_start", band.alias("_band")).agg(F.count(F.lit(1)).alias("_n"), *sums))
     # A group has at most a few hundred bands, whatever its rows.
     return counted.selectExpr(
-        "*", "sum(_n) over (partition by _group order by _band) - _n as _nearer",
-        "sum(_n) over (partition by _group) as _all",
+        "*", "sum(_n) over (partition by _group, _start order by _band) - _n as _nearer",
+        "sum(_n) over (partition by _group, _start) as _all",
     )
 
 
@@ -167,16 +199,34 @@ def _concentrated(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     sums = [F.sum(f"_x{i}").alias(f"s{i}") for i in _K]
     sums += [F.sum(F.expr(f"_x{i} * _x{j}")).alias(f"p{i}{j}") for i, j in _PAIRS]
     bands = _by_band(_distances(rows, estimates), *sums).filter(F.col("_nearer") < SUPPORT * F.col("_all"))
-    total = bands.groupBy("_group").agg(
+    total = bands.groupBy("_group", "_start").agg(
         F.sum("_n").alias("n"), *[F.sum(c).alias(c) for c in bands.columns if c[0] in "sp"]
     )
-    return total.select(
-        "_group",
-        *[F.expr(f"s{i} / n as m{i}") for i in _K],
-        *[F.expr(f"p{i}{j} / n - (s{i} / n) * (s{j} / n) as c{i}{j}") for i, j in _PAIRS],
+    return _factored(
+        total.select(
+            "_group", "_start",
+            *[F.expr(f"s{i} / n as m{i}") for i in _K],
+            *[F.expr(f"p{i}{j} / n - (s{i} / n) * (s{j} / n) as c{i}{j}") for i, j in _PAIRS],
+        )
     )
 
 
+def _least_determinant(rows: DataFrame) -> DataFrame:
+    """The estimate of least determinant of each group, after concentration of every start until it has settled."""
+    least = _concentrated(rows, _factored(_starts(rows)))
+    fell = float("inf")
+    while fell > SETTLED:
+        before = least.select("_group", "_start", F.struct(*least.columns).alias("_before"))
+        both = _concentrated(rows, least).join(before, ["_group", "_start"])
+        fall = F.col("_before._log_det") - F.col("_log_det")
+        now = F.struct(*least.columns)
+        chosen = staged(both.select(fall.alias("_fall"), F.when(fall > 0, now).otherwise(F.col("_before")).alias("_kept")))
+        fell = chosen.agg(F.max("_fall")).first()[0] or 0.0
+        least = chosen.select("_kept.*")
+    best = least.groupBy("_group").agg(F.min(F.struct("_log_det", *[c for c in least.columns if c not in ("_group", "_log_det")])).alias("_best"))
+    return staged(best.select("_group", "_best.*"))
+
+
 def quality_rules(
     docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF,
     carry: list[str] | None = None,
@@ -198,10 +248,7 @@ def quality_rules(
     rows = _grouped(rows)
     passed = rows.filter(~F.col("base_failed")).select("_group", *[f"_x{i}" for i in _K])
     passed = staged(passed)
-    estimates = _start(passed)
-    for _ in range(STEPS):
-        estimates = _concentrated(passed, estimates)
-    estimates = staged(estimates)
+    estimates = _least_determinant(passed)
     bands = _by_band(_distances(passed, estimates)).filter(F.col("_nearer") < F.col("_all") / 2)
     middle = bands.groupBy("_group").agg(
         F.expr(f"greatest(power(2D, (max(_band) + 1) / {float(BANDS_PER_OCTAVE)}D) / {CHI_SQUARE_MEDIAN}D, 1D)").alias("_unit")
