@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tabloom.operators import density
 from tabloom.operators.density import connected_components, dbscan
 from tabloom.operators.linkage import ward, ward_labels
 from tabloom.operators.neighbours import mean_label, nearest, vote
@@ -89,6 +90,58 @@ def test_dbscan_all_noise_and_one_point(spark):
     assert {r.cluster for r in dbscan(same, f).collect()} == {0}
 
 
+@pytest.mark.parametrize("shape", ["rings", "lattice", "far"])
+def test_dbscan_of_close_calls(spark, shape):
+    """Cells whose boxes meet while their points do not, distances of exactly eps, values beyond cell numbers."""
+    if shape == "rings":
+        turn = np.linspace(0, 2 * np.pi, 90, endpoint=False)
+        x = np.vstack([r * np.column_stack([np.cos(turn), np.sin(turn)]) for r in (0.6, 1.06, 1.6)])
+        eps = 0.47
+    elif shape == "lattice":
+        x = np.stack(np.meshgrid(np.arange(7.0), np.arange(7.0), np.arange(3.0)), -1).reshape(-1, 3) / 2
+        x = np.vstack([x, x[:40] + 8])
+        eps = 0.5
+    else:
+        x = np.array([[1e19 + 4096.0 * i, 0.0] for i in range(8)] + [[0.1 * i, 1.0] for i in range(9)])
+        eps = 4096.0
+    df, f = points(spark, x)
+    rows = dbscan(df, f, eps=eps, min_points=3, block=32).orderBy("id").collect()
+    assert [r.cluster for r in rows] == brute_dbscan(x, eps, 3).tolist()
+
+
+def compared(spark, monkeypatch, x, block):
+    """How many distances the groups of a run hold, and its labels."""
+    groups = []
+    real = density._in_chunks
+
+    def counted(home, visiting, keys, block, work, schema):
+        groups.append((home, visiting, keys))
+        return real(home, visiting, keys, block, work, schema)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(density, "_in_chunks", counted)
+        df, f = points(spark, x)
+        labels = [r.cluster for r in dbscan(df, f, block=block).orderBy("id").collect()]
+    total = 0
+    for home, visiting, keys in groups:
+        sizes = [s.groupBy(*keys).count().withColumnRenamed("count", n) for s, n in ((home, "m"), (visiting, "n"))]
+        total += sizes[0].join(sizes[1], keys).agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0
+    return total, labels
+
+
+def test_dbscan_of_a_dense_cell_is_linear(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    around = np.vstack([rng.uniform(-3, 3, (40, 2)), rng.normal(2, 0.2, (30, 2))])
+    work = []
+    for n in (400, 1_600):
+        x = np.vstack([around, rng.uniform(0.01, 0.3, (n, 2))])  # one cell of distinct points
+        done, labels = compared(spark, monkeypatch, x, block=64)
+        assert labels == brute_dbscan(x, 0.5, 5).tolist()
+        work.append(done)
+    assert work[1] < 4.2 * work[0]
+    assert work[1] < 1_600 * len(around) * 2
+
+
 def test_components_of_a_long_chain(spark):
     nodes = spark.range(201)
     chain = spark.range(99).selectExpr("(id * 37) % 100 as a", "((id * 37) % 100 + 1) % 101 as b").union(
