@@ -51,6 +51,9 @@ MIN_GROUP = 200
 CUTOFF = 30.0
 CHI_SQUARE_MEDIAN = 5.34812  # of as many degrees of freedom as features
 BANDS_PER_OCTAVE = 16
+#: Group facts up to this size as text are broadcast to the rows; larger ones meet them by group and salt.
+BROADCAST_BYTES = 32 << 20
+SALTS = 64
 
 _K = range(len(FEATURES))
 _PAIRS = list(combinations_with_replacement(_K, 2))
@@ -106,6 +109,19 @@ def with_statistics(rows: DataFrame, text: Column) -> DataFrame:
     ).drop("_text", "_words", "_lines", "_windows", "_sorted", "_at")
 
 
+def _spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join rows with the facts of their group, so that no group's rows meet in one task.
+
+    Facts whose size, as text, is within ``BROADCAST_BYTES`` are broadcast; beyond it they are repeated for each salt, and rows are
+    shuffled by group and salt.  A shuffle by group alone would also serve the next sums, which would then not be pre-aggregated.
+    """
+    size = facts.agg(F.sum(F.octet_length(F.to_json(F.struct(*facts.columns))))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(facts), keys, how)
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return rows.join(repeated, [*keys, "_salt"], how)
+
+
 def _grouped(rows: DataFrame) -> DataFrame:
     """Add the group: (language, source), or language alone, or neither, by the rows that passed."""
     named = rows.withColumns({"_lang": F.struct(F.col("_lang")), "_source": F.struct(F.col("_source"))})
@@ -118,7 +134,7 @@ def _grouped(rows: DataFrame) -> DataFrame:
         .when(F.col("_rest") >= MIN_GROUP, F.to_json(F.struct("_lang")))
         .otherwise(F.lit("")).alias("_group"),
     )
-    return named.join(staged(keys), ["_lang", "_source"]).drop("_lang", "_source")
+    return _spread_join(named, staged(keys), ["_lang", "_source"]).drop("_lang", "_source")
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -132,7 +148,7 @@ def _starts(rows: DataFrame) -> DataFrame:
             *[f"sqrt(power((q{i}[2] - q{i}[0]) / 1.349, 2) + {FEATURES[i][1] ** 2}D) as b{i}" for i in _K],
         )
     )
-    pressed = rows.join(middle, "_group").withColumns({f"_y{i}": F.expr(f"tanh((_x{i} - a{i}) / b{i})") for i in _K})
+    pressed = _spread_join(rows, middle, ["_group"]).withColumns({f"_y{i}": F.expr(f"tanh((_x{i} - a{i}) / b{i})") for i in _K})
     sums = [F.sum(f"_{v}{i}").alias(f"s{v}{i}") for v in "xy" for i in _K]
     sums += [F.sum(F.expr(f"_{v}{i} * _{v}{j}")).alias(f"p{v}{i}{j}") for v in "xy" for i, j in _PAIRS]
     facts = pressed.groupBy("_group").agg(F.count(F.lit(1)).alias("n"), *sums).join(middle, "_group")
@@ -173,7 +189,7 @@ def _factored(estimates: DataFrame) -> DataFrame:
 
 def _distances(rows: DataFrame, estimates: DataFrame, how: str = "inner") -> DataFrame:
     """Add the squared Mahalanobis distance to each estimate of the row's group, by forward substitution."""
-    joined = rows.join(estimates, "_group", how)
+    joined = _spread_join(rows, estimates, ["_group"], how)
     for i in _K:
         rest = f"_x{i} - m{i}" + "".join(f" - l{i}{j} * z{j}" for j in range(i))
         joined = joined.withColumn(f"z{i}", F.expr(f"({rest}) / l{i}{i}"))
@@ -244,16 +260,18 @@ def quality_rules(
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | repeated)
     if carry is not None:
         rows = rows.withColumn("_row", F.struct(*[F.col("_row").getField(c).alias(c) for c in carry]))
+    # Salts are written with the rows, so that a task that runs again deals them alike.
+    rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     rows = staged(rows.withColumns({f"_x{i}": F.expr(sql) for i, (sql, _) in enumerate(FEATURES)}))
     rows = _grouped(rows)
-    passed = rows.filter(~F.col("base_failed")).select("_group", *[f"_x{i}" for i in _K])
+    passed = rows.filter(~F.col("base_failed")).select("_group", "_salt", *[f"_x{i}" for i in _K])
     passed = staged(passed)
     estimates = _least_determinant(passed)
     bands = _by_band(_distances(passed, estimates)).filter(F.col("_nearer") < F.col("_all") / 2)
     middle = bands.groupBy("_group").agg(
         F.expr(f"greatest(power(2D, (max(_band) + 1) / {float(BANDS_PER_OCTAVE)}D) / {CHI_SQUARE_MEDIAN}D, 1D)").alias("_unit")
     )
-    judged = _distances(rows, estimates.join(middle, "_group"), "left")
+    judged = _distances(rows, staged(estimates.join(middle, "_group")), "left")
     distance = F.when(~F.col("base_failed"), F.col("_d") / F.col("_unit"))
     return judged.select(
         "_row", *STATISTICS, "base_failed", distance.alias("distance"),

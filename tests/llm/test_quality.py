@@ -2,6 +2,9 @@
 
 import numpy as np
 
+import pytest
+from pyspark.sql import functions as F
+
 from tabloom.llm import quality
 
 
@@ -47,3 +50,21 @@ def test_least_determinant_equals_many_random_starts(spark):
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "_group string, " + ", ".join(f"_x{i} double" for i in range(len(quality.FEATURES))))
     assert quality._least_determinant(empty).count() == 0
+
+
+def test_groups_beyond_a_broadcast(spark, monkeypatch):
+    """Joining by group and salt gives what a broadcast gives, with a group of most rows, null keys and repeated rows."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", "source")
+    docs = docs.unionByName(docs.withColumn("lang", F.lit(None).cast("string"))).unionByName(docs.withColumn("source", F.lit("hot")))
+
+    def verdicts():
+        rows = quality.quality_rules(docs, carry=["doc_id", "lang", "source"]).select("_row.*", "n_words", "base_failed", "distance", "kept")
+        return sorted(rows.collect(), key=lambda r: (r.doc_id, str(r.lang), str(r.source), r.distance or 0.0))
+
+    sent = verdicts()
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", -1)
+    salted = verdicts()
+    assert len(sent) == len(salted) == docs.count()
+    for one, two in zip(sent, salted, strict=True):
+        assert one[:5] == two[:5] and one.kept == two.kept
+        assert one.distance == pytest.approx(two.distance, rel=1e-6) if one.distance is not None else two.distance is None
