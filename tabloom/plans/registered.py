@@ -24,7 +24,7 @@ from tabloom.operators.prepare import PreparedData
 from tabloom.operators.silhouette import silhouette
 from tabloom.plans.experiments import run_experiments, run_one
 from tabloom.plans.ordered import narrowed_quantiles, quantiles
-from tabloom.plans.study import StudyFailed, run_pipeline
+from tabloom.plans.study import StudyFailed, run_pipeline, run_report
 from tabloom.session import ensure_checkpoint_dir
 from tabloom.sources import tables
 
@@ -1436,6 +1436,38 @@ def study_of_lineitem(spark, folder):
     return _studied(run_pipeline(df, scope={"zoo": zoo}))
 
 
+@query(
+    "report_sections",
+    "WITH c AS (SELECT c_nationkey, c_mktsegment, c_acctbal > 5000 AS label FROM customer) "
+    "SELECT 'clean_table' AS section, count(*) AS n_rows FROM (SELECT DISTINCT * FROM c) "
+    "UNION ALL SELECT 'class_balance', count(DISTINCT label) FROM c "
+    "UNION ALL SELECT 'rows of records', 2 * count(*) FROM (SELECT DISTINCT * FROM c) "
+    "UNION ALL SELECT section, n FROM (VALUES ('table_profile', 1), ('column_profile', 3), ('detection', 1), ('records', 2), ('ranking', 2), "
+    "('leaderboard', 2), ('best_model', 1), ('failures', 0), ('missing_cells', 1), ('run_summary', 1), ('best_record', 1)) AS t(section, n)",
+)
+def report_sections(spark, folder):
+    """The tables that a report writes, read again: rows of each section, and the rows its two models shared."""
+    df = table(spark, folder, "customer").select(
+        "c_nationkey", "c_mktsegment", (F.col("c_acctbal") > 5000).cast("int").alias("label")
+    )
+    zoo = [s for s in select_zoo("classification") if s.name in ("majority_class", "logistic_regression")]
+    path = f"{ensure_checkpoint_dir(spark)}/report-{uuid.uuid4().hex}"
+    written = run_report(run_pipeline(df, scope={"zoo": zoo}), path)
+    counted = (
+        "clean_table", "class_balance", "table_profile", "column_profile", "detection", "records", "ranking", "leaderboard",
+        "best_model", "failures", "missing_cells", "run_summary", "best_record",
+    )
+    parts = [
+        spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("section"), F.count(F.lit(1)).alias("n_rows"))
+        for name in counted if name in written
+    ]
+    shared = F.coalesce(F.sum(F.col("n_train_samples") + F.col("n_test_samples")), F.lit(0)).cast("bigint")
+    found = spark.read.parquet(f"{path}/records").agg(F.lit("rows of records").alias("section"), shared.alias("n_rows"))
+    for part in parts:
+        found = found.unionByName(part)
+    return found
+
+
 @query(
     "csv_round_trip_documents",
     "SELECT doc_id, md5(text) AS digest, lang FROM documents",
