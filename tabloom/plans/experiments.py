@@ -26,6 +26,9 @@ from tabloom.sources.tables import require_min_rows
 
 MAX_WORKERS = 4
 
+#: What a record holds before its model has run, by column type.
+EMPTY = {"string": lambda: None, "map": dict, "boolean": bool, "double": float, "bigint": int}
+
 #: Families from the longest to the shortest fits: long ones start first, so that none is left over alone.
 FAMILIES_BY_LENGTH = ("boosting", "svm", "hierarchical", "density", "tree", "instance", "centroid", "distribution")
 
@@ -132,11 +135,10 @@ def _scores(task: str, predicted: DataFrame, fold: Fold, silhouette_method: str)
 def run_one(spec: ModelSpec, task: str, fold: Fold, silhouette_method: str = "squared") -> dict:
     """Fit, predict and score one model.  A failure becomes a record, never an exception."""
     started = time.perf_counter()
-    record = {
-        "model_id": spec.name, "model_name": spec.name, "family": spec.family, "params": dict(spec.params),
-        "task_type": task, "success": False, "error_type": None, "error_message": None, "metrics": {},
-        "runtime_seconds": 0.0, "n_train_samples": 0, "n_test_samples": 0,
-    }
+    fields = [part.split() for part in RECORD_SCHEMA.split(", ")]
+    record = {name: EMPTY[kind.split("<")[0]]() for name, kind in fields}
+    record |= {name: spec.name for name in ("model_id", "model_name")}
+    record |= {"family": spec.family, "task_type": task, "params": dict(spec.params)}
     try:
         predicted, found = spec.run(fold)
         predicted = predicted.persist()
