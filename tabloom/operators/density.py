@@ -155,8 +155,9 @@ def _cell_links(eps: float):
             gap = np.maximum(high[one, j] - other_low[two, j], other_high[two, j] - low[one, j])
             farthest += gap * gap
         sure = farthest <= limit
-        extremes = np.stack([stack(e) for e in home["extremes"]])
-        other_extremes = np.stack([stack(e) for e in visiting["extremes"]])
+        # The points of a cell come as one flat list: Arrow crashes on the nested lists of an empty side.
+        extremes = stack(home["extremes"]).reshape(len(ids), -1, low.shape[1])
+        other_extremes = stack(visiting["extremes"]).reshape(len(other_ids), -1, low.shape[1])
         for r, s in combinations(range(extremes.shape[1]), range(other_extremes.shape[1])):
             left = np.flatnonzero(~sure)
             apart = np.zeros(len(left))
@@ -255,7 +256,7 @@ def _linked_cores(core: DataFrame, grid: list[tuple[int, float]], eps: float, bl
     ends = ["min_by(x, id)", *[f"{end}_by(x, x[{i}])" for i, _ in grid for end in ("min", "max")]]
     cells = settle(
         core.groupBy("cell", "alone").agg(
-            F.min("id").alias("id"), *_box(core), F.expr(f"array({', '.join(ends)})").alias("extremes")
+            F.min("id").alias("id"), *_box(core), F.expr(f"flatten(array({', '.join(ends)}))").alias("extremes")
         )
     )
     nodes = cells.select("id")

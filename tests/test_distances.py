@@ -142,6 +142,14 @@ def test_dbscan_of_a_dense_cell_is_linear(spark, monkeypatch):
     assert work[1] < 1_600 * len(around) * 2
 
 
+def test_dbscan_of_copied_rows_over_many_cells(spark):
+    """Every cell is dense and most groups of cells have an empty side."""
+    rng = np.random.default_rng(11)
+    x = np.repeat(np.column_stack([rng.integers(0, 25, 1_000) * 0.139, rng.uniform(-1.7, 1.7, 1_000)]), 5, axis=0)
+    df, f = points(spark, x)
+    assert {r.cluster for r in dbscan(df, f).select("cluster").distinct().collect()} == {0}
+
+
 def test_components_of_a_long_chain(spark):
     nodes = spark.range(201)
     chain = spark.range(99).selectExpr("(id * 37) % 100 as a", "((id * 37) % 100 + 1) % 101 as b").union(
