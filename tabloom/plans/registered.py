@@ -1292,9 +1292,9 @@ def balance_flag_fold(spark, folder) -> Fold:
 
 
 def scaled_customers(spark, folder) -> PreparedData:
-    """Nation and balance of the customers, prepared for clustering without reduction."""
+    """Nation and balance of all customers, prepared for clustering without reduction; customers with equal values all stay."""
     df = table(spark, folder, "customer").select("c_nationkey", "c_acctbal")
-    return prepare.preprocess(df, task="clustering", reduction="off")
+    return prepare.preprocess(df, task="clustering", reduction="off", dedupe=False)
 
 
 def _model_query(name: str, task: str, spec, make_fold) -> None:

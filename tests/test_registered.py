@@ -5,9 +5,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_queries import cells
+from tabloom.plans.registered import scaled_customers
 
 FOLDER = "/root/testdata/sf0.001"
 #: Whole fits of the zoo, which test_experiments covers, and text operators; check_queries.py runs them all.
@@ -32,5 +34,11 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(cells(r.asDict()) for r in ours.collect()) == sorted(map(cells, theirs))
 
 
+def test_customers_with_equal_values_are_all_clustered(spark, tmp_path):
+    df = spark.read.parquet(f"{FOLDER}/customer.parquet")
+    df.unionByName(df.withColumn("c_custkey", F.col("c_custkey") + 1_000_000)).write.parquet(f"{tmp_path}/customer.parquet")
+    assert scaled_customers(spark, str(tmp_path)).df.count() == 2 * df.count()
+
+
 def test_entry(spark):
     assert entry(spark).count() == 11
