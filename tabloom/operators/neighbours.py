@@ -1,6 +1,7 @@
 """Exact k nearest neighbours of one table's points among another's.
 
-Training points are merged (copies become weights) and assigned to the nearest
+Equal queries are asked once.  Training points are merged (copies become weights), of one
+place only the k smallest labels can count and stay, and they are assigned to the nearest
 of a bounded set of pivots.  The pivots bound each query's k-th distance, and the
 triangle inequality leaves only cells that can hold a neighbour.  Large cells
 are cut into chunks, so a task sees at most one chunk of each side, and only the
@@ -21,6 +22,7 @@ from pyspark.sql.window import Window
 
 from tabloom.functions.columns import ref
 from tabloom.operators.points import BLOCK, chunk_of, merged_points, point, squared_distances, stack
+from tabloom.session import settle
 
 MAX_PIVOTS = 2_048
 _HITS = "qid bigint, d2 double, label double, w bigint"
@@ -117,11 +119,14 @@ def nearest(
     ``qid`` must be a unique bigint column of ``queries``.  Equal distances go to the
     smaller label.
     """
-    points = (
-        merged_points(train, features, ref(label).cast("double")).withColumnRenamed("k0", "label")
-    )
+    merged = merged_points(train, features, ref(label).cast("double")).withColumnRenamed("k0", "label")
+    # Equal distances go to the smaller label, so of one place only its first k rows by label can be among the k nearest.
+    place = Window.partitionBy("x").orderBy("label")
+    points = settle(merged.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= k).drop("_n"))
     total = points.count()
-    asked = queries.select(ref(qid).alias("qid"), point(queries, features).alias("x"))
+    every = queries.select(ref(qid).alias("qid"), point(queries, features).alias("_point"))
+    # Equal queries have equal neighbours: each place is asked once, by a number of its own.
+    asked = merged_points(queries, features).select(F.col("id").alias("qid"), "x")
     # Pivots: the points with the smallest hashes, a sample that is the same every time.
     wanted = max(1, min(max_pivots, math.isqrt(total))) if total > block else 1
     pivots = stack(
@@ -169,12 +174,14 @@ def nearest(
     )
     order = Window.partitionBy("qid").orderBy("d2", "label")
     upto = order.rowsBetween(Window.unboundedPreceding, -1)
-    return (
+    found = (
         hits.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k)
         .withColumn("_before", F.coalesce(F.sum("w").over(upto), F.lit(0)))
         .filter(F.col("_before") < k)
         .select("qid", "d2", "label", F.least("w", F.lit(k) - F.col("_before")).alias("take"))
     )
+    placed = found.join(asked, "qid").drop("qid")
+    return every.join(placed, F.col("_point") == F.col("x")).select("qid", "d2", "label", "take")
 
 
 def vote(neighbours: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.operators import density
+from tabloom.operators import density, neighbours
 from tabloom.operators.density import connected_components, dbscan
 from tabloom.operators.linkage import ward, ward_labels
 from tabloom.operators.neighbours import mean_label, nearest, vote
@@ -43,6 +43,28 @@ def test_nearest_equals_brute_force(spark, block, copies):
         assert means[i] == pytest.approx(best.mean())
 
 
+def test_nearest_meets_each_place_once(spark, monkeypatch):
+    """Many labels at few places, asked for by many equal queries."""
+    rng = np.random.default_rng(5)
+    train = np.arange(4.0)[rng.integers(0, 4, 300)][:, None]
+    labels = rng.permutation(300)
+    asked = np.arange(4.0)[rng.integers(0, 4, 200)][:, None] + 0.1
+    met = {}
+    for step in ("_with_cell", "_candidates"):
+        def counted(rows, *rest, step=step, real=getattr(neighbours, step)):
+            met[step] = rows.count()
+            return real(rows, *rest)
+
+        monkeypatch.setattr(neighbours, step, counted)
+    t, f = points(spark, train, labels)
+    q, _ = points(spark, asked)
+    means = {r.qid: r.prediction for r in mean_label(nearest(t, "e0", q, "id", f, k=5, block=8)).collect()}
+    assert met == {"_with_cell": 4 * 5, "_candidates": 4}
+    d = distances(asked, train)
+    for i in range(len(asked)):
+        assert means[i] == pytest.approx(labels[np.lexsort((labels, (d[i] ** 2).round(12)))[:5]].mean())
+
+
 def test_nearest_with_fewer_rows_than_neighbours(spark):
     t, f = points(spark, np.array([[0.0], [1.0]]), np.array([4, 8]))
     q, _ = points(spark, np.array([[0.2]]))
