@@ -29,6 +29,8 @@ EPS = 0.5
 MIN_POINTS = 5
 GRID_FEATURES = 3
 NOISE = -1
+#: Links that a task of a component round reads at least, where there are as many.
+LINKS_PER_TASK = 25_000
 
 
 def _grid(points: DataFrame, reach: float, total: int, block: int) -> list[tuple[int, float]]:
@@ -190,34 +192,44 @@ def _any_close(eps: float):
     return test
 
 
+def _tasks_for(links: int) -> int:
+    return max(1, -(-links // LINKS_PER_TASK))
+
+
 def connected_components(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, root): the least id each node is linked to, directly or not.
 
     Alternates two contractions (Kiveris et al., "Connected Components in MapReduce and
     Beyond", 2014): larger neighbours are moved to the least neighbour, then smaller
     ones; the links become stars after few rounds.  Each round is written, so the
-    lineage stays short and survives lost executors.
+    lineage stays short and survives lost executors, and read by no more tasks than
+    its links are worth: a round shuffles several times, and every task writes a block
+    for each partition.
     """
     pairs = settle(
         links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct()
     )
+    tasks = _tasks_for(pairs.count())
+    pairs = pairs.coalesce(tasks)
     state = None
     while True:
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             pairs.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = large.coalesce(tasks).distinct().coalesce(tasks)
         small_least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        joined = large.join(small_least, "hi")
+        joined = large.join(small_least, "hi").coalesce(tasks)
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).unionByName(
             joined.select("hi", F.col("m").alias("lo"))
         )
-        pairs = settle(small.filter("hi <> lo").distinct())
+        pairs = settle(small.filter("hi <> lo").distinct().coalesce(tasks))
         mark = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if mark == state:
             break
-        state = mark
+        state, tasks = mark, _tasks_for(mark[0])
+        pairs = pairs.coalesce(tasks)
     return nodes.join(pairs.select(F.col("hi").alias("id"), F.col("lo").alias("root")), "id", "left").select(
         "id", F.coalesce("root", "id").alias("root")
     )

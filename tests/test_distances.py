@@ -182,6 +182,23 @@ def test_components_of_a_long_chain(spark):
     assert len(roots) == 201
 
 
+def test_few_links_are_read_by_one_task(spark, monkeypatch):
+    """A small table is not dealt over all shuffle partitions round after round."""
+    written = []
+    monkeypatch.setattr(density, "settle", lambda df, real=density.settle: written.append(real(df)) or written[-1])
+    changed = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in changed}
+    for name, value in changed.items():
+        spark.conf.set(name, value)
+    try:
+        links = spark.range(20).selectExpr("id as a", "id + 1 as b")
+        assert {r.root for r in connected_components(links, spark.range(21)).collect()} == {0}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(written) > 2 and {df.rdd.getNumPartitions() for df in written[1:]} == {1}
+
+
 def brute_silhouette(x, labels):
     d = distances(x, x)
     scores = []
