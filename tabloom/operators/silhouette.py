@@ -1,8 +1,8 @@
 """Silhouette score with Euclidean distances.
 
 The exact score needs every distance.  Points are cut into blocks, each pair of
-blocks is one group of bounded size, and a group hands on only the distance sums
-per point and cluster, never the pairs.  Work grows with the square of the
+blocks is one group of bounded size, worked off in tiles of ``block`` points a side, and
+a group hands on only the distance sums per point and cluster, never the pairs.  Work grows with the square of the
 distinct points; ``method="squared"`` is the linear alternative with squared
 distances.
 """
@@ -21,32 +21,66 @@ from pyspark.sql import functions as F
 from tabloom.functions.columns import ref, share
 from tabloom.operators.points import BLOCK, chunk_of, merged_points, point, renewed, squared_distances, stack
 
+#: Blocks that are enough to keep a cluster busy, and the points and distance sums that a block may hold beyond them.
+MOST_BLOCKS = 32
+LARGEST_BLOCK = 8_192
+SUMS_OF_BLOCK = 4_000_000
+#: Up to so many features differences are as fast; below this share of the squared lengths they are needed.
+FEW_FEATURES = 8
+CLOSE = 1e-5
+
 _SUMS = "id bigint, cluster bigint, total double"
 
 
-def _sums_to(ids: np.ndarray, distances: np.ndarray, clusters: np.ndarray, weights: np.ndarray) -> list[pd.DataFrame]:
-    """Weighted distance sums of each row's point to every cluster among the columns."""
-    found = []
-    for cluster in np.unique(clusters):
-        held = clusters == cluster
-        found.append(
-            pd.DataFrame({"id": ids, "cluster": cluster, "total": distances[:, held] @ weights[held]})
-        )
-    return found
+def _sums(ids: pd.Series, totals: np.ndarray, names: np.ndarray, there: np.ndarray) -> pd.DataFrame:
+    """One row per point and cluster that is ``there`` on the other side."""
+    held = np.unique(there)
+    return pd.DataFrame(
+        {"id": np.repeat(ids.to_numpy(), len(held)), "cluster": np.tile(names[held], len(ids)), "total": totals[:, held].ravel()}
+    )
 
 
-def _block_pair(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    if left.empty or right.empty:
-        return pd.DataFrame({"id": [], "cluster": [], "total": []})
-    distances = np.sqrt(squared_distances(stack(left["x"]), stack(right["x"])))
-    sides = _sums_to(
-        left["id"].to_numpy(), distances, right["cluster"].to_numpy(), right["w"].to_numpy(dtype=float)
-    )
-    if key[0] != key[1]:  # a block with itself already holds both directions
-        sides += _sums_to(
-            right["id"].to_numpy(), distances.T, left["cluster"].to_numpy(), left["w"].to_numpy(dtype=float)
-        )
-    return pd.concat(sides)
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances: by matrix product, but by differences where the product's cancellation would show."""
+    if a.shape[1] <= FEW_FEATURES:
+        return np.sqrt(squared_distances(a, b))
+    sizes = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :]
+    square = sizes - 2.0 * (a @ b.T)
+    i, j = np.nonzero(~(square > CLOSE * sizes))
+    if len(i) > 4 * len(a):
+        return np.sqrt(squared_distances(a, b))
+    square[i, j] = ((a[i] - b[j]) ** 2).sum(1)
+    return np.sqrt(square)
+
+
+def _block_pair(tile: int):
+    """Weighted distance sums of each point to every cluster of the other block, by matrices of ``tile`` points a side."""
+    def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"id": [], "cluster": [], "total": []})
+        names, at = np.unique(np.concatenate([left["cluster"], right["cluster"]]), return_inverse=True)
+        points, own, weights, totals = [], [], [], []
+        for side, place in ((left, at[: len(left)]), (right, at[len(left):])):
+            weight = np.zeros((len(side), len(names)))
+            weight[np.arange(len(side)), place] = side["w"]
+            points.append(stack(side["x"]))
+            own.append(place)
+            weights.append(weight)
+            totals.append(np.zeros((len(side), len(names))))
+        both = key[0] != key[1]  # a block with itself already holds both directions
+        for i in range(0, len(left), tile):
+            for j in range(0, len(right), tile):
+                a, b = slice(i, i + tile), slice(j, j + tile)
+                distances = _distances(points[0][a], points[1][b])
+                totals[0][a] += distances @ weights[1][b]
+                if both:
+                    totals[1][b] += distances.T @ weights[0][a]
+        sides = [_sums(left["id"], totals[0], names, own[1])]
+        if both:
+            sides.append(_sums(right["id"], totals[1], names, own[0]))
+        return pd.concat(sides)
+
+    return work
 
 
 def silhouette(
@@ -69,12 +103,15 @@ def silhouette(
         raise ValueError(f"unknown method {method!r}: use 'exact' or 'squared'")
 
     points = merged_points(df, features, ref(label).cast("bigint")).withColumnRenamed("k0", "cluster")
-    blocks = max(1, math.ceil(points.count() / block))
+    n = points.count()
+    # A point is sent to every block, so blocks become no more than MOST_BLOCKS until they are as large as a task can hold.
+    largest = max(block, min(LARGEST_BLOCK, SUMS_OF_BLOCK // max(1, sizes.count())))
+    blocks = max(1, min(math.ceil(n / block), max(MOST_BLOCKS, math.ceil(n / largest))))
     placed = points.withColumn("b", chunk_of(F.col("id"), F.lit(blocks)))
     # A point meets the blocks from its own one on as left side, those up to it as right side.
     left = placed.withColumns({"i": F.col("b"), "j": F.explode(F.sequence(F.col("b"), F.lit(blocks - 1)))})
     right = placed.withColumns({"j": F.col("b"), "i": F.explode(F.sequence(F.lit(0), F.col("b")))})
-    sums = left.groupBy("i", "j").cogroup(renewed(right).groupBy("i", "j")).applyInPandas(_block_pair, _SUMS)
+    sums = left.groupBy("i", "j").cogroup(renewed(right).groupBy("i", "j")).applyInPandas(_block_pair(block), _SUMS)
     totals = sums.groupBy("id", "cluster").agg(F.sum("total").alias("total"))
 
     own = points.select("id", "w", F.col("cluster").alias("own"))

@@ -5,9 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import density, neighbours
+from tabloom.operators import silhouette as silhouettes
 from tabloom.operators.density import connected_components, dbscan
 from tabloom.operators.linkage import ward, ward_labels
 from tabloom.operators.neighbours import mean_label, nearest, vote
+from tabloom.operators.points import chunk_of
 from tabloom.operators.silhouette import silhouette
 
 
@@ -225,6 +227,22 @@ def test_silhouette_equals_brute_force(spark, block):
     assert found == pytest.approx(brute_silhouette(x, labels))
 
 
+def test_silhouette_of_many_features_in_few_blocks(spark, monkeypatch):
+    """Blocks larger than a tile, copies in two clusters, and values far from zero."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(90, 12)) + rng.integers(0, 3, 90)[:, None] * 2
+    x[:20] = x[0]
+    x[30:60] += 1e7
+    labels = rng.integers(0, 3, 90)
+    df, f = points(spark, x, labels)
+    blocks = []
+    monkeypatch.setattr(silhouettes, "MOST_BLOCKS", 2, raising=False)
+    monkeypatch.setattr(silhouettes, "chunk_of", lambda key, n: blocks.append(str(n)) or chunk_of(key, n))
+    found = silhouette(df, f, "e0", block=16).first()[0]
+    assert found == pytest.approx(brute_silhouette(x, labels), abs=1e-9)
+    assert blocks == [str(F.lit(2))]
+
+
 def test_silhouette_needs_two_clusters_and_fewer_than_rows(spark):
     df, f = points(spark, np.arange(6.0).reshape(3, 2), np.array([0, 0, -1]))
     assert np.isnan(silhouette(df, f, "e0").first()[0])
