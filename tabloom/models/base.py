@@ -14,7 +14,7 @@ from tabloom.functions.columns import quoted, ref
 
 SEED = 42
 #: Rows a training partition should hold; small tables get few partitions, so that
-#: iterative fits are not dominated by scheduling.
+#: iterative fits are not dominated by scheduling, and large ones enough for every core.
 ROWS_PER_PARTITION = 25_000
 
 
@@ -62,6 +62,6 @@ def with_array(rows: DataFrame) -> DataFrame:
 
 
 def sized(df: DataFrame, rows: int) -> DataFrame:
-    """Spread over no more partitions than the row count is worth."""
+    """Spread over as many partitions as the row count is worth, however few files the rows come from."""
     wanted = max(1, -(-rows // ROWS_PER_PARTITION))
-    return df.coalesce(wanted)
+    return df.repartition(wanted) if wanted > 1 else df.coalesce(1)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabloom import AllExperimentsFailed, preprocess, run_experiments, run_pipeline, run_report, select_zoo
-from tabloom.models.base import ModelSpec
+from tabloom.models.base import ModelSpec, sized
 
 
 def classified(spark, n=240, classes=2, kind="int"):
@@ -147,3 +147,9 @@ def test_whole_run_and_report(spark, tmp_path):
     sections = run_report(result, str(tmp_path / "report"))
     assert len(sections) == 18 and "clean_table" in sections
     assert spark.read.parquet(str(tmp_path / "report" / "ranking")).count() == 2
+
+
+def test_rows_of_one_file_are_spread_for_training(spark):
+    rows = sized(spark.range(0, 60_000, 1, 1), 60_000)
+    held = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) == 3 and max(held) <= 25_000
