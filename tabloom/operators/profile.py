@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from tabloom.functions.columns import double_sql, literal_rows, present_sql, quoted, text_sql
 from tabloom.functions.roles import column_roles
 from tabloom.plans.ordered import by_family, value_facts
+from tabloom.session import staged
 
 HIGH_MISSING_PCT = 50.0
+#: Hashes of repeated rows up to which their table, eight bytes each, is broadcast.
+BROADCAST_HASHES = 1_000_000
 
 
 def table_profile(df: DataFrame) -> DataFrame:
@@ -26,18 +29,22 @@ def table_profile(df: DataFrame) -> DataFrame:
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: rows beyond the first copy of each full row, nulls being equal.
 
-    Rows are counted by a 64-bit hash first.  Only rows whose hash occurs more than
-    once are compared in full, so mostly distinct tables shuffle eight bytes a row.
+    Rows are counted by a 64-bit hash first, and the hashes that occur more than once are written.  Only rows
+    with such a hash are compared in full, so mostly distinct tables shuffle a hash a row; which way the second
+    step goes is decided by the number of these hashes, not by an estimate.  Beyond ``BROADCAST_HASHES`` all rows
+    are grouped, equal ones combined before the shuffle.
     """
     names = [f"c{i}" for i in range(len(df.columns))]
     plain = df.toDF(*names)
     hashed = plain.withColumn("_h", F.xxhash64(*names))
-    repeated = (
+    repeated = staged(
         hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h")
     )
-    copies = (
-        hashed.join(repeated, "_h", "left_semi").groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    )
+    known = repeated.count()
+    if not known:
+        return literal_rows(df.sparkSession, [(0,)], "duplicate_count bigint")
+    held = hashed.join(F.broadcast(repeated), "_h", "left_semi") if known <= BROADCAST_HASHES else plain
+    copies = held.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_count"))
 
 

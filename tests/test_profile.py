@@ -81,3 +81,18 @@ def test_awkward_column_names(spark):
     df = spark.createDataFrame([(1.0, "x"), (2.0, "y")], "`a.b` double, `c ``d` string")
     _, columns = profile(df)
     assert by_column(columns)["a.b"]["mean"] == 1.5
+
+
+def test_duplicates_do_not_shuffle_whole_rows_whatever_the_estimates(spark, monkeypatch):
+    df = spark.range(2_000).selectExpr("id % 1990 as k", "cast(id % 1990 as string) as v")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = duplicate_count(df)
+        assert "SortMergeJoin" not in few._jdf.queryExecution().toString()
+        assert few.first()[0] == 10
+        assert "Exchange" not in duplicate_count(df.distinct())._jdf.queryExecution().toString()
+        monkeypatch.setattr("tabloom.operators.profile.BROADCAST_HASHES", 3)
+        assert duplicate_count(df).first()[0] == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
