@@ -16,6 +16,9 @@ SEED = 42
 #: Rows a training partition should hold; small tables get few partitions, so that
 #: iterative fits are not dominated by scheduling, and large ones enough for every core.
 ROWS_PER_PARTITION = 25_000
+#: Once every core has several partitions, narrow rows fill them up to this, since an iteration costs a task a partition.
+MAX_ROWS_PER_PARTITION, VALUES_PER_PARTITION = 100_000, 2_000_000
+PARTITIONS_PER_CORE = 4
 
 
 @dataclass
@@ -57,11 +60,18 @@ def vector_rows(df: DataFrame, features: list[str], *others: str) -> DataFrame:
 
 
 def with_array(rows: DataFrame) -> DataFrame:
-    """``x`` from sparse ``features``, worked out only where a model asks for it, so that dense rows are never stored."""
+    """``x`` from ``features``, worked out only where a model asks for it, so that rows are stored once and sparse ones never dense."""
     return rows if "x" in rows.columns else rows.withColumn("x", vector_to_array("features"))
 
 
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """Spread over as many partitions as the row count is worth, however few files the rows come from."""
+def sized(df: DataFrame, rows: int, width: int = VALUES_PER_PARTITION) -> DataFrame:
+    """Spread over as many partitions as the row count is worth, however few files the rows come from.
+
+    ``width`` is the number of features of a row; without it rows count as wide.
+    """
     wanted = max(1, -(-rows // ROWS_PER_PARTITION))
+    enough = PARTITIONS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    if wanted > enough:
+        fitting = max(ROWS_PER_PARTITION, min(MAX_ROWS_PER_PARTITION, VALUES_PER_PARTITION // max(1, width)))
+        wanted = max(enough, -(-rows // fitting))
     return df.repartition(wanted) if wanted > 1 else df.coalesce(1)

@@ -268,8 +268,10 @@ def one_hot(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.selectExpr(*kept, *flags)
 
 
-def _numeric_fits(df: DataFrame, cols: list[str], rows: int, exact: bool) -> list[NumericFit]:
-    """Median, and the moments the column has once its gaps hold the median.
+def _numeric_fits(
+    df: DataFrame, cols: list[str], rows: int, exact: bool, known: dict[str, float] | None = None
+) -> list[NumericFit]:
+    """Median, if not ``known``, and the moments the column has once its gaps hold the median.
 
     Both follow from the moments of the present values, so imputing needs no second pass.
     """
@@ -282,7 +284,8 @@ def _numeric_fits(df: DataFrame, cols: list[str], rows: int, exact: bool) -> lis
         ]
     ).first()
     stats = dict(zip(cols, moments, strict=True))
-    medians = _medians(df, cols, {n: s.n for n, s in stats.items()}, exact)
+    medians = dict(known or {})
+    medians |= _medians(df, [n for n in cols if n not in medians], {n: s.n for n, s in stats.items()}, exact)
     fits = []
     for n, s in stats.items():
         gaps, median = rows - s.n, medians[n]
@@ -294,9 +297,9 @@ def _numeric_fits(df: DataFrame, cols: list[str], rows: int, exact: bool) -> lis
 
 
 def fit_preparation(
-    df: DataFrame, target: str | None = None, exact: bool = True, encoding: str = "auto"
+    df: DataFrame, target: str | None = None, exact: bool = True, encoding: str = "auto", medians: dict[str, float] | None = None
 ) -> tuple[PrepModel | SparseModel, list[tuple[str, str, str]], list[tuple[str, str, str, bool]]]:
-    """Fit on ``df``; returns the model, log rows and error rows."""
+    """Fit on ``df``; returns the model, log rows and error rows.  ``medians`` are those known of the very same rows."""
     if encoding not in ("auto", "columns", "vector"):
         raise ValueError(f"unknown encoding {encoding!r}: use 'auto', 'columns' or 'vector'")
     log: list[tuple[str, str, str]] = []
@@ -319,7 +322,7 @@ def fit_preparation(
         if missing:
             log.append((name, "impute", f"{missing} missing values ({100 * missing / rows:.1f}%) by {what}"))
 
-    fits = _numeric_fits(df, numeric, rows, exact)
+    fits = _numeric_fits(df, numeric, rows, exact, medians)
     for fit in fits:
         gap(fit.name, fit.missing, "median")
         log.append((fit.name, "scale", "zero mean, unit variance"))
@@ -345,6 +348,7 @@ def preprocess(
     exact: bool = True,
     dedupe: bool = True,
     encoding: str = "auto",
+    medians: dict[str, float] | None = None,
 ) -> PreparedData:
     """Deduplicate, drop, impute, scale, encode, and for clustering reduce.
 
@@ -352,14 +356,15 @@ def preprocess(
     ``"auto"``: columns as long as all levels are few enough for the plan.  Both hold the same numbers in the same order.
 
     Fitted on the whole table unless ``fit_on`` names other rows.  The target
-    column travels with its features and is never changed.
+    column travels with its features and is never changed.  ``medians`` holds those
+    a caller knows of the rows that are fitted, so that they are not worked out again.
     """
     log: list[tuple[str, str, str]] = []
     if dedupe:
         df, removed = without_duplicates(df)
         if removed:
             log.append(("dataset", "deduplication", f"{removed} duplicate rows"))
-    model, steps, errors = fit_preparation(df if fit_on is None else fit_on, target, exact, encoding)
+    model, steps, errors = fit_preparation(df if fit_on is None else fit_on, target, exact, encoding, medians)
     log += steps
     if task == "clustering" and reduction not in ("off", "none"):
         fitted = df if fit_on is None else fit_on

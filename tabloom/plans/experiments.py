@@ -68,15 +68,15 @@ def folds(prepared: PreparedData) -> Iterator[Fold]:
 
     Row ids and the split must be the same for every model, hence the written copy.
     """
-    features, target = prepared.feature_cols, prepared.target
+    features, target, width = prepared.feature_cols, prepared.target, prepared.model.feature_count
     if target is None:
-        rows = vector_rows(prepared.df, features).withColumn("id", F.monotonically_increasing_id())
+        rows = vector_rows(prepared.df, features).drop("x").withColumn("id", F.monotonically_increasing_id())
         rows = settle(rows)
         n = rows.count()
-        rows = sized(rows, n).persist()
+        rows = sized(rows, n, width).persist()
         try:
             full = with_array(rows)
-            yield Fold(full, full, n, 0, prepared.model.feature_count)
+            yield Fold(full, full, n, 0, width)
         finally:
             rows.unpersist()
         return
@@ -94,21 +94,21 @@ def folds(prepared: PreparedData) -> Iterator[Fold]:
         split = train_test_split(known)
         label = ref(target).cast("double")
     rows = settle(
-        vector_rows(split.withColumn("_label", label), features, F.col("_label").alias("label"), "is_test")
+        vector_rows(split.withColumn("_label", label), features, F.col("_label").alias("label"), "is_test").drop("x")
         .withColumn("id", F.monotonically_increasing_id())
     )
     sizes = rows.groupBy("is_test").count().collect()
     n = {r.is_test: r["count"] for r in sizes}
     n_train, n_test = n.get(False, 0), n.get(True, 0)
-    train = sized(rows.filter(~F.col("is_test")).drop("is_test"), n_train).persist()
-    test = sized(rows.filter("is_test").drop("is_test"), n_test).persist()
+    train = sized(rows.filter(~F.col("is_test")).drop("is_test"), n_train, width).persist()
+    test = sized(rows.filter("is_test").drop("is_test"), n_test, width).persist()
     class_rows = [0] * len(classes)
     if classes:
         for r in train.groupBy("label").count().collect():
             class_rows[int(r.label)] = r["count"]
     try:
         yield Fold(
-            with_array(train), with_array(test), n_train, n_test, prepared.model.feature_count, classes, class_rows
+            with_array(train), with_array(test), n_train, n_test, width, classes, class_rows
         )
     finally:
         train.unpersist()

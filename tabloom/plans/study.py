@@ -102,9 +102,9 @@ def _run(
     spark = df.sparkSession
     stage[0] = "profile"
     table, columns = profile(df, exact)
+    facts = columns.select("column", "missing_pct", "high_missing", "median").collect()
     errors += [
-        ("profile", "high_missing_values", f"{r.column}: {r.missing_pct}% missing", True)
-        for r in columns.filter("high_missing").select("column", "missing_pct").collect()
+        ("profile", "high_missing_values", f"{r.column}: {r.missing_pct}% missing", True) for r in facts if r.high_missing
     ]
     suggestions = feature_suggestions(df)
     stage[0] = "detection"
@@ -115,9 +115,11 @@ def _run(
     stage[0] = "preparation"
     unique, removed = without_duplicates(df, table.first().duplicate_count)
     made, feature_log, feature_errors = apply_features(unique, suggestions, features, custom_features)
+    # The exact medians of the profile are those of the rows to prepare, if these are the table itself.
+    medians = {r.column: r.median for r in facts if r.median is not None} if exact and made is df else None
     prepared = preprocess(
         made, found.target_column, found.task_type, reduction=reduction, components=components,
-        exact=exact, dedupe=False,
+        exact=exact, dedupe=False, medians=medians,
     )
     # The clean table is a result of its own, and every model reads it.
     prepared.df = staged(prepared.df)

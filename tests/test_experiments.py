@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tabloom import AllExperimentsFailed, preprocess, run_experiments, run_pipeline, run_report, select_zoo
 from tabloom.models.base import ModelSpec, sized
+from tabloom.plans.experiments import folds
 
 
 def classified(spark, n=240, classes=2, kind="int"):
@@ -153,3 +154,32 @@ def test_rows_of_one_file_are_spread_for_training(spark):
     rows = sized(spark.range(0, 60_000, 1, 1), 60_000)
     held = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert len(held) == 3 and max(held) <= 25_000
+
+
+def test_partitions_grow_with_narrow_rows_once_every_core_has_some(spark):
+    rows = spark.range(0, 4_000_000, 1, 1)
+    assert sized(rows, 4_000_000, 12).rdd.getNumPartitions() == 40
+    assert sized(rows, 4_000_000, 80).rdd.getNumPartitions() == 160
+    assert sized(rows, 4_000_000).rdd.getNumPartitions() == 160
+
+
+def test_rows_in_memory_hold_their_features_once(spark):
+    with folds(preprocess(classified(spark), "target")) as fold:
+        plan = fold.train._jdf.queryExecution().optimizedPlan().toString()
+        stored = next(line for line in plan.splitlines() if "InMemoryRelation" in line)
+        assert "features#" in stored and "x#" not in stored
+        row = fold.train.first()
+        assert row.x == list(row.features) and len(row.x) == 4
+
+
+def test_medians_of_the_profile_are_not_worked_out_again(spark, monkeypatch):
+    df = classified(spark).withColumn("a", F.when(F.col("b") < 1, F.col("a")))
+    expected = preprocess(df, "target").model.numeric
+
+    def again(*args):
+        raise AssertionError("the medians are known")
+
+    monkeypatch.setattr("tabloom.operators.prepare.quantiles", again)
+    zoo = [s for s in select_zoo("classification") if s.name == "majority_class"]
+    found = run_pipeline(df, "target", scope={"zoo": zoo}).prepared.model.numeric
+    assert found == expected
