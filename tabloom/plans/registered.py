@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tabloom.functions.columns import double_sql, literal_rows, number_sql
 from tabloom.functions.formula import derive
 from tabloom.models import classification, regression, select_zoo
 from tabloom.models.base import Fold, ModelSpec, sized, vector_rows
@@ -23,7 +24,7 @@ from tabloom.operators.neighbours import mean_label, nearest, vote
 from tabloom.operators.prepare import PreparedData
 from tabloom.operators.silhouette import silhouette
 from tabloom.plans.experiments import run_experiments, run_one
-from tabloom.plans.ordered import narrowed_quantiles, quantiles
+from tabloom.plans.ordered import narrowed_quantiles
 from tabloom.plans.study import StudyFailed, run_pipeline, run_report
 from tabloom.session import ensure_checkpoint_dir
 from tabloom.sources import tables
@@ -214,14 +215,37 @@ def numeric_profile_with_gaps(spark, folder):
 def numeric_profile_sketched(spark, folder):
     """Sketched quartiles lie within a hundredth of the rows of the exact ones, distinct counts within a tenth."""
     df = table(spark, folder, "lineitem")
-    exact = profile.numeric_profile(df).select("column", F.col("unique_count").alias("u"))
-    _, counts = prepare.present_counts(df, list(LINEITEM_NUMBERS))
-    around = quantiles(df, list(LINEITEM_NUMBERS), [0.24, 0.26, 0.49, 0.51, 0.74, 0.76], counts)
-    bounds = spark.createDataFrame(list(around.items()), "column string, q array<double>")
-    found = profile.numeric_profile(df, exact=False).join(exact, "column").join(bounds, "column")
-    near = " and ".join(f"{name} between q[{2 * i}] and q[{2 * i + 1}]" for i, name in enumerate(("q25", "median", "q75")))
-    return found.select(
-        "column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max", F.expr(near).alias("quartiles_near"),
+    return _near_exact(df, profile.numeric_profile(df, exact=False))
+
+
+def _near_exact(df: DataFrame, found: DataFrame) -> DataFrame:
+    """A sketched profile against exact ranks and distinct counts.
+
+    A quartile is one of the values, so it lies between two exact quantiles if its exact ranks do: counting the values
+    below it and up to it is one pass without a shuffle.  Of different values only those are shuffled.
+    """
+    names = [r.column for r in found.select("column").collect()]
+    _, counts = prepare.present_counts(df, names)
+    exact = profile.distinct_counts(df, names)
+    sketched = {r.column: (r.q25, r.median, r.q75) for r in found.select("column", "q25", "median", "q75").collect()}
+    ranks = []
+    for name in names:
+        x = double_sql(df, name)
+        for q in sketched[name]:
+            at = "double(null)" if q is None else number_sql(q)
+            ranks.append(F.expr(f"struct(count_if({x} < {at}) as below, count_if({x} <= {at}) as upto)"))
+    row = iter(df.agg(*ranks).first())
+    facts = []
+    for name in names:
+        last = counts[name] - 1
+        near = [
+            r.upto - 1 >= math.ceil(last * (share - 0.01)) and r.below <= math.floor(last * (share + 0.01))
+            for share, r in zip((0.25, 0.5, 0.75), row)
+        ]
+        facts.append((name, all(near), exact[name]))
+    known = literal_rows(df.sparkSession, facts, "column string, quartiles_near boolean, u bigint")
+    return found.join(F.broadcast(known), "column").select(
+        "column", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "min", "max", "quartiles_near",
         (F.abs(F.col("unique_count") - F.col("u")) <= 0.1 * F.col("u") + 1).alias("unique_near"),
     )
 

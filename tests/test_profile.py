@@ -96,3 +96,22 @@ def test_duplicates_do_not_shuffle_whole_rows_whatever_the_estimates(spark, monk
         assert duplicate_count(df).first()[0] == 10
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_sketched_profile_is_checked_without_ordering_the_values(spark, monkeypatch):
+    from tabloom.plans.registered import _near_exact
+
+    def ordered(*args):
+        raise AssertionError("no order of all values is needed")
+
+    monkeypatch.setattr("tabloom.operators.profile.value_facts", ordered)
+    df = spark.range(1_000).selectExpr("id as a", "if(id % 3 = 0, null, id % 7) as b", "cast(null as double) as c").drop("c")
+    found = by_column(_near_exact(df, numeric_profile(df, exact=False)))
+    assert all(found[c]["quartiles_near"] and found[c]["unique_near"] for c in "ab")
+    for wrong in ("q25 + 11", "q25 - 11"):
+        moved = numeric_profile(df, exact=False).selectExpr("* except (q25)", f"{wrong} as q25")
+        assert not by_column(_near_exact(df, moved))["a"]["quartiles_near"]
+    held = numeric_profile(df, exact=False).selectExpr("* except (q25)", "if(column = 'a', 240, q25) as q25")
+    assert by_column(_near_exact(df, held))["a"]["quartiles_near"]
+    more = numeric_profile(df, exact=False).selectExpr("* except (unique_count)", "unique_count * 2 + 2 as unique_count")
+    assert not any(r["unique_near"] for r in by_column(_near_exact(df, more)).values())
