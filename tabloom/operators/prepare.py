@@ -24,7 +24,7 @@ from tabloom.functions.columns import (
     text_sql,
 )
 from tabloom.functions.roles import column_roles
-from tabloom.operators.profile import duplicate_count, value_counts
+from tabloom.operators.profile import repeated_hashes, value_counts
 from tabloom.operators.reduce import Projection, fit_projection
 from tabloom.operators.sparse import SparseModel, level_table
 from tabloom.plans.ordered import quantiles
@@ -138,12 +138,14 @@ def deduplicate(df: DataFrame) -> DataFrame:
 def without_duplicates(df: DataFrame, duplicates: int | None = None) -> tuple[DataFrame, int]:
     """(distinct rows, rows removed).
 
-    Counting duplicates shuffles hashes only, so a table without any is left as it
-    is; otherwise the distinct rows are written once for the passes that follow.
+    Looking for equal rows shuffles hashes only, so a table without any is left as it
+    is; otherwise the distinct rows are written once for the passes that follow, and are
+    counted there, if the caller does not know the duplicates.
     """
-    if duplicates is None:
-        duplicates = duplicate_count(df).first()[0]
-    return (staged(deduplicate(df)) if duplicates else df), duplicates
+    if duplicates == 0 or (duplicates is None and repeated_hashes(df).isEmpty()):
+        return df, 0
+    distinct = staged(deduplicate(df))
+    return distinct, df.count() - distinct.count() if duplicates is None else duplicates
 
 
 def present_counts(df: DataFrame, names: list[str]) -> tuple[int, dict[str, int]]:
@@ -159,13 +161,13 @@ def drop_all_missing(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.drop(*[n for n in cols if held[n] == 0])
 
 
-def _level_facts(df: DataFrame, names: list[str]) -> dict[str, tuple[int, str | None, int]]:
+def _level_facts(df: DataFrame, names: list[str], counted: DataFrame | None = None) -> dict[str, tuple[int, str | None, int]]:
     """(distinct values, smallest most frequent value, missing) per column, from one value count."""
     if not names:
         return {}
     held = F.col("value").isNotNull()
     rows = (
-        value_counts(df, names)
+        (value_counts(df, names) if counted is None else counted)
         .groupBy("slot")
         .agg(
             F.count("value").alias("levels"),
@@ -241,13 +243,13 @@ def standard_scale(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     )
 
 
-def levels_of(df: DataFrame, counts: dict[str, int]) -> dict[str, tuple[str, ...]]:
+def levels_of(df: DataFrame, counts: dict[str, int], counted: DataFrame | None = None) -> dict[str, tuple[str, ...]]:
     """Sorted distinct values per column that has any by ``counts``; each one becomes a column of the plan."""
     total = sum(counts.values())
     found: dict[str, list[str]] = {n: [] for n in counts}
     if total:
         names = list(counts)
-        for r in value_counts(df, names).filter("value is not null").collect():
+        for r in (value_counts(df, names) if counted is None else counted).filter("value is not null").collect():
             found[names[int(r.slot)]].append(r.value)
     return {n: tuple(sorted(values, key=lambda v: v.encode())) for n, values in found.items()}
 
@@ -310,7 +312,10 @@ def fit_preparation(
         log.append((name, "drop", "all values are missing"))
         errors.append(("preparation", "column_all_missing", f"{name}: all values are missing", True))
     numeric = [n for n in numeric if held[n]]
-    facts = _level_facts(df, [n for n in categorical if held[n]])
+    coded_names = [n for n in categorical if held[n]]
+    # Counted once and written: the levels are needed again once it is known which columns stay.
+    counted = staged(value_counts(df, coded_names)) if coded_names else None
+    facts = _level_facts(df, coded_names, counted)
     for name in [n for n, f in facts.items() if _too_many_levels(f[0], rows)]:
         text = f"{facts.pop(name)[0]} distinct values in {rows} rows"
         log.append((name, "drop", text))
@@ -330,10 +335,14 @@ def fit_preparation(
         gap(name, missing, "most frequent value")
         log.append((name, "onehot_encode", f"{count} levels"))
     total = sum(f[0] for f in facts.values())
+    if facts:
+        place = {n: str(i) for i, n in enumerate(facts)}
+        slots = f"array({', '.join(place.get(n, 'cast(null as int)') for n in coded_names)})"
+        counted = counted.selectExpr(f"{slots}[int(slot)] as slot", "value", "n").filter("slot is not null")
     if encoding == "vector" or (encoding == "auto" and total > PLAN_COLUMNS):
         coded = [CategoricalFit(n, f[1], (), f[2]) for n, f in facts.items()]
-        return SparseModel(fits, coded, target, level_table(df, list(facts), len(fits)), len(fits) + total), log, errors
-    levels = levels_of(df, {n: f[0] for n, f in facts.items()})
+        return SparseModel(fits, coded, target, level_table(df, list(facts), len(fits), counted), len(fits) + total), log, errors
+    levels = levels_of(df, {n: f[0] for n, f in facts.items()}, counted)
     coded = [CategoricalFit(n, f[1], levels[n], f[2]) for n, f in facts.items()]
     return PrepModel(fits, coded, target), log, errors
 

@@ -26,6 +26,13 @@ def table_profile(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("num_rows"), F.lit(len(df.columns)).alias("num_cols"))
 
 
+def repeated_hashes(df: DataFrame) -> DataFrame:
+    """The 64-bit row hashes ``_h`` that occur more than once, written; without any, no two rows are equal."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    hashed = df.toDF(*names).select(F.xxhash64(*names).alias("_h"))
+    return staged(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h"))
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
     """One row: rows beyond the first copy of each full row, nulls being equal.
 
@@ -37,9 +44,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     names = [f"c{i}" for i in range(len(df.columns))]
     plain = df.toDF(*names)
     hashed = plain.withColumn("_h", F.xxhash64(*names))
-    repeated = staged(
-        hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h")
-    )
+    repeated = repeated_hashes(df)
     known = repeated.count()
     if not known:
         return literal_rows(df.sparkSession, [(0,)], "duplicate_count bigint")

@@ -25,13 +25,17 @@ from tabloom.operators.reduce import fit_axes
 from tabloom.session import ensure_checkpoint_dir, staged
 
 
-def level_table(df: DataFrame, names: list[str], first: int = 0) -> DataFrame:
-    """(slot, level, at): all levels of the named columns by slot and level, numbered on from ``first`` without gaps."""
+def level_table(df: DataFrame, names: list[str], first: int = 0, counted: DataFrame | None = None) -> DataFrame:
+    """(slot, level, at): all levels of the named columns by slot and level, numbered on from ``first`` without gaps.
+
+    ``counted`` is their value count, where the caller has it.
+    """
     spark = df.sparkSession
     schema = "level string, at int, slot int"
     if not names:
         return spark.createDataFrame([], schema)
-    levels = value_counts(df, names).filter("value is not null").select(F.col("slot").cast("int").alias("slot"), F.col("value").alias("level"))
+    counted = value_counts(df, names) if counted is None else counted
+    levels = counted.filter("value is not null").select(F.col("slot").cast("int").alias("slot"), F.col("value").alias("level"))
     placed = staged(levels.repartitionByRange("slot", "level").withColumn("part", F.spark_partition_id()))
     # One row per partition, whatever the number of levels.
     sizes = sorted((r.part, r["count"]) for r in placed.groupBy("part").count().collect())

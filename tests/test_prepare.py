@@ -188,3 +188,24 @@ def test_models_take_sparse_rows(spark):
     zoo = [m for m in select_zoo("classification") if m.name in names]
     found = {r.model_name: r for r in run_experiments(prepared, zoo).collect()}
     assert len(found) == 3 and all(r.success for r in found.values()), found
+
+
+def test_levels_are_counted_once(spark, monkeypatch):
+    from tabloom.operators import prepare as module
+
+    rows = [(f"u{i}", None if i == 3 else "xyz"[i % 3], float(i), "pq"[i % 2]) for i in range(60)]
+    df = spark.createDataFrame([*rows, rows[0]], "own string, kind string, n double, t string")
+    calls, count = [], module.value_counts
+
+    def counting(*args):
+        calls.append(args)
+        return count(*args)
+
+    for place in ("prepare", "sparse"):
+        monkeypatch.setattr(f"tabloom.operators.{place}.value_counts", counting)
+    for how in ("columns", "vector"):
+        calls.clear()
+        prepared = preprocess(df, "t", encoding=how)
+        assert len(calls) == 1 and prepared.df.count() == 60 and prepared.model.feature_count == 4
+        assert [f.name for f in prepared.model.categorical] == ["kind"]
+        assert {"60 distinct values in 60 rows", "1 duplicate rows"} <= {r.details for r in prepared.log.collect()}
