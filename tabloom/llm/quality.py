@@ -262,7 +262,7 @@ def quality_rules(
         rows = rows.withColumn("_row", F.struct(*[F.col("_row").getField(c).alias(c) for c in carry]))
     # Salts are written with the rows, so that a task that runs again deals them alike.
     rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    rows = staged(rows.withColumns({f"_x{i}": F.expr(sql) for i, (sql, _) in enumerate(FEATURES)}))
+    rows = staged(rows.withColumns({f"_x{i}": F.expr(sql) for i, (sql, _) in enumerate(FEATURES)}), texts=True)
     rows = _grouped(rows)
     passed = rows.filter(~F.col("base_failed")).select("_group", "_salt", *[f"_x{i}" for i in _K])
     passed = staged(passed)

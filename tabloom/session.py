@@ -4,9 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows with whole texts are read in batches of so many, and written in row groups of about so many bytes.  Spark's 4,096
+#: rows and 128 MB make arrays of tens of MB of such texts, for which a heap grows far beyond what is in use.
+TEXT_ROWS, TEXT_GROUP_BYTES = 256, 2 << 20
+_BATCH_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+
 
 def local_session(cores: int | str = "*", app: str = "tabloom", **conf: str) -> SparkSession:
     """A session for tests and benches on one machine."""
@@ -60,12 +67,29 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def staged(df: DataFrame) -> DataFrame:
+@contextmanager
+def _read_in_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Parquet read by jobs that start within comes in batches of so many rows at most; the setting is put back."""
+    before = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, min(rows, int(before)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, before)
+
+
+def staged(df: DataFrame, texts: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the checkpoint folder and read on from there.
 
     Used for a wide table that several passes go over: unlike a checkpoint, each
-    pass then reads only the columns it needs.
+    pass then reads only the columns it needs.  With ``texts``, rows are read and
+    written in small batches, so that long texts fill little memory at a time; a later
+    pass never reads more than a row group at once.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if texts:
+        with _read_in_batches(df.sparkSession, TEXT_ROWS):
+            df.write.option("parquet.block.size", TEXT_GROUP_BYTES).parquet(path)
+    else:
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

@@ -1,11 +1,15 @@
 """The minimum-determinant search against random subsets in numpy."""
 
+import glob
+
 import numpy as np
+import pyarrow.parquet as pq
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabloom.llm import quality
+from tabloom.session import TEXT_GROUP_BYTES, ensure_checkpoint_dir
 
 
 def log_det(rows):
@@ -68,3 +72,20 @@ def test_groups_beyond_a_broadcast(spark, monkeypatch):
     for one, two in zip(sent, salted, strict=True):
         assert one[:5] == two[:5] and one.kept == two.kept
         assert one.distance == pytest.approx(two.distance, rel=1e-6) if one.distance is not None else two.distance is None
+
+
+def test_texts_are_written_in_small_row_groups(spark):
+    """Long texts are staged whole, in row groups that bound what a reader holds; the session's batch size is as it was."""
+    name, folder = "spark.sql.parquet.columnarReaderBatchSize", ensure_checkpoint_dir(spark).removeprefix("file:")
+    before, seen = spark.conf.get(name), set(glob.glob(f"{folder}/table-*"))
+    docs = spark.range(0, 3000, 1, 1).select(
+        F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("web").alias("source"),
+        F.expr("array_join(transform(sequence(1, 60), k -> sha2(concat(id, '-', k), 256)), ' ')").alias("text"),
+    )
+    found = quality.quality_rules(docs)
+    assert found.agg(F.count("*"), F.sum(F.length("_row.text"))).first()[:] == (3000, 3000 * (60 * 65 - 1))
+    assert spark.conf.get(name) == before
+    tables = set(glob.glob(f"{folder}/table-*")) - seen
+    files = [pq.ParquetFile(f).metadata for table in tables for f in glob.glob(f"{table}/*.parquet")]
+    groups = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) > 3 * TEXT_GROUP_BYTES > max(groups)
