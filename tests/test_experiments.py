@@ -183,3 +183,29 @@ def test_medians_of_the_profile_are_not_worked_out_again(spark, monkeypatch):
     zoo = [s for s in select_zoo("classification") if s.name == "majority_class"]
     found = run_pipeline(df, "target", scope={"zoo": zoo}).prepared.model.numeric
     assert found == expected
+
+
+def test_boosting_over_merged_rows_equals_boosting_over_single_rows(spark, monkeypatch):
+    """Rows of equal features are boosted as one, however many there are; predictions are those of the single rows."""
+    from pyspark.ml.regression import GBTRegressor
+
+    trained = []
+    fit = GBTRegressor.fit
+
+    def counted(self, rows, *params):
+        trained.append(rows.count())
+        return fit(self, rows, *params)
+
+    monkeypatch.setattr(GBTRegressor, "fit", counted)
+    rng = np.random.default_rng(4)
+    places = rng.integers(0, 5, size=(600, 2))
+    y = np.sin(places[:, 0]) * 3 + places[:, 1] ** 2 + rng.normal(size=600)
+    df = spark.createDataFrame([(int(a), int(b), float(v)) for (a, b), v in zip(places, y, strict=True)], "a int, b int, t double")
+    spec = small("regression", "gradient_boosting_100")[0]
+    with folds(preprocess(df, "t", "regression")) as fold:
+        found = {r.id: r.prediction for r in spec.run(fold)[0].collect()}
+        gbt = GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, seed=42)
+        single = {r.id: r.prediction for r in fit(gbt, fold.train).transform(fold.test).select("id", "prediction").collect()}
+        assert len(found) == fold.n_test and fold.n_train > 400
+    assert trained == [25]
+    assert found == pytest.approx(single, abs=1e-6)
