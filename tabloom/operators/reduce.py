@@ -80,6 +80,16 @@ def _completed(axes: np.ndarray, keep: int) -> np.ndarray:
     return axes
 
 
+def _signed(axes: np.ndarray) -> np.ndarray:
+    """Signs are arbitrary; each axis's largest entry is made positive so that runs agree.
+
+    Flags of two levels have entries of one size and opposite signs; of entries equal but for rounding, the first counts.
+    """
+    sizes = np.abs(axes)
+    first = (sizes >= sizes.max(axis=0) * (1.0 - 1e-6)).argmax(axis=0)
+    return axes * np.where(axes[first, np.arange(axes.shape[1])] < 0, -1.0, 1.0)
+
+
 def fit_axes(
     vectors: DataFrame, width: int, method: str = "svd", components: int | None = None, gram_columns: int = GRAM_COLUMNS
 ) -> tuple[np.ndarray, np.ndarray, float] | None:
@@ -110,8 +120,7 @@ def fit_axes(
     # Square sums about zero become those about the mean.
     kept = float(np.maximum(squares, 0.0).sum()) - (rows * float(((mean @ axes) ** 2).sum()) if method == "svd" else 0.0)
     axes = _completed(axes, keep)
-    # Signs are arbitrary; make each axis's largest entry positive so that runs agree.
-    axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), np.arange(keep)] < 0, -1.0, 1.0)
+    axes = _signed(axes)
     centre = mean if method == "pca" else np.zeros(width)
     return centre, axes, kept / total if total > 0 else 0.0
 

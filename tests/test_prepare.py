@@ -5,6 +5,7 @@ from tabloom import impute_mode, one_hot, preprocess, reduce_dims, standard_scal
 from tabloom.operators.prepare import NoFeaturesLeft
 from tabloom.operators.gram import pair_sums
 from tabloom.operators.prepare import PLAN_COLUMNS
+from tabloom.operators import reduce
 from tabloom.operators.reduce import component_count, fit_axes
 
 
@@ -209,3 +210,11 @@ def test_levels_are_counted_once(spark, monkeypatch):
         assert len(calls) == 1 and prepared.df.count() == 60 and prepared.model.feature_count == 4
         assert [f.name for f in prepared.model.categorical] == ["kind"]
         assert {"60 distinct values in 60 rows", "1 duplicate rows"} <= {r.details for r in prepared.log.collect()}
+
+
+def test_the_sign_of_an_axis_does_not_hang_on_rounding():
+    """Flags of two levels have entries of one size: the last bit must not decide which of them is made positive."""
+    half = np.sqrt(0.5)
+    one, two = (np.array([[half * (1 + e)], [-half * (1 - e)], [0.0]]) for e in (1e-15, -1e-15))
+    assert reduce._signed(one)[0, 0] > 0 and reduce._signed(two)[0, 0] > 0
+    assert reduce._signed(-one)[0, 0] > 0 and reduce._signed(-two)[0, 0] > 0
