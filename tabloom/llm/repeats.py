@@ -14,7 +14,7 @@ the first round.  So the work per byte is one entry for ``EVERY`` bytes, and win
 
 Tasks resolve what repeats within them before anything is shuffled, send one entry of each kind, and spread a core
 with many blocks over buckets; a bucket is some megabytes at every size.  Between rounds only
-ranges are kept; texts are read again and joined with them by their row's id and hash.
+ranges are kept, and a round's shuffle files are removed when it is written; texts are read again and joined with them by their row's id and hash.
 
 Entries are compared by two hashes of 64 bits.  Defined cases: a null or empty text has no bytes; a text shorter than the length has nothing to remove;
 equal rows are repeats of each other; no match crosses two rows; an empty table gives an empty result; other columns are not read.
@@ -332,7 +332,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
     )
 
     def resolved(packed: DataFrame) -> DataFrame:
-        return staged(packed.groupBy("bucket").applyInPandas(_resolved(length), RESOLVED))
+        return staged(packed.groupBy("bucket").applyInPandas(_resolved(length), RESOLVED), drop_shuffles=True)
 
     first = resolved(rows.select("doc_id", "text", "mark").mapInPandas(_parsed(length, buckets), PACKED))
 

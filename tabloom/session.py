@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import ExitStack, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: rows and 128 MB make arrays of tens of MB of such texts, for which a heap grows far beyond what is in use.
 TEXT_ROWS, TEXT_GROUP_BYTES = 256, 2 << 20
 _BATCH_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = "*", app: str = "tabloom", **conf: str) -> SparkSession:
@@ -78,18 +79,34 @@ def _read_in_batches(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(_BATCH_ROWS, before)
 
 
-def staged(df: DataFrame, texts: bool = False) -> DataFrame:
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within remove their shuffle files when they end; the setting is put back."""
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
+
+
+def staged(df: DataFrame, texts: bool = False, drop_shuffles: bool = False) -> DataFrame:
     """Write ``df`` as a Parquet table in the checkpoint folder and read on from there.
 
     Used for a wide table that several passes go over: unlike a checkpoint, each
     pass then reads only the columns it needs.  With ``texts``, rows are read and
     written in small batches, so that long texts fill little memory at a time; a later
-    pass never reads more than a row group at once.
+    pass never reads more than a row group at once.  With ``drop_shuffles``, the shuffle files that led
+    to the table go as soon as it is written, instead of when the driver next collects its garbage; for
+    steps that no other thread runs queries beside.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    if texts:
-        with _read_in_batches(df.sparkSession, TEXT_ROWS):
-            df.write.option("parquet.block.size", TEXT_GROUP_BYTES).parquet(path)
-    else:
-        df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path, write = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}", df.write
+    with ExitStack() as settings:
+        if texts:
+            settings.enter_context(_read_in_batches(spark, TEXT_ROWS))
+            write = write.option("parquet.block.size", TEXT_GROUP_BYTES)
+        if drop_shuffles:
+            settings.enter_context(_shuffles_dropped(spark))
+        write.parquet(path)
+    return spark.read.parquet(path)
