@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import quoted, ref
+from tabloom.session import settle
 
 SEED = 42
 #: Rows a training partition should hold; small tables get few partitions, so that
@@ -19,13 +20,16 @@ ROWS_PER_PARTITION = 25_000
 #: Once every core has several partitions, narrow rows fill them up to this, since an iteration costs a task a partition.
 MAX_ROWS_PER_PARTITION, VALUES_PER_PARTITION = 100_000, 2_000_000
 PARTITIONS_PER_CORE = 4
+#: Feature values of all rows up to which these are shared by the models as a copy in memory, which falls back to disk.
+HELD_VALUES = 100_000_000
 
 
 @dataclass
 class Fold:
     """Training and test rows: ``id``, ``features`` (vector), ``x`` (array), ``label``.
 
-    For clustering both sides are the same rows and ``label`` is absent.
+    For clustering both sides are the same rows and ``label`` is absent.  Rows that are not
+    ``held`` are read anew by each pass, and an ``id`` then holds for one pass only.
     """
 
     train: DataFrame
@@ -35,6 +39,11 @@ class Fold:
     width: int
     classes: list = field(default_factory=list)
     class_rows: list[int] = field(default_factory=list)  # training rows per class
+    held: bool = True
+
+    def numbered_test(self) -> DataFrame:
+        """The test rows with ids that hold for any number of passes."""
+        return self.test if self.held else settle(self.test)
 
 
 @dataclass(frozen=True)

@@ -45,8 +45,9 @@ def ridge(fold: Fold):
 
 
 def neighbours(fold: Fold):
-    found = mean_label(nearest(fold.train, "label", fold.test, "id", ["x"], k=5))
-    return fold.test.select("id", "label").join(found.withColumnRenamed("qid", "id"), "id"), {}
+    test = fold.numbered_test()
+    found = mean_label(nearest(fold.train, "label", test, "id", ["x"], k=5))
+    return test.select("id", "label").join(found.withColumnRenamed("qid", "id"), "id"), {}
 
 
 def forest(fold: Fold):

@@ -8,6 +8,7 @@ few scalars and level names per column, and applying them is a single select.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from tabloom.functions.roles import column_roles
 from tabloom.operators.profile import repeated_hashes, value_counts
 from tabloom.operators.reduce import Projection, fit_projection
 from tabloom.operators.sparse import SparseModel, level_table
-from tabloom.plans.ordered import quantiles
+from tabloom.plans.ordered import quantiles, rounds
 from tabloom.session import staged
 
 # Fixed values of the drop rule for free text and identifiers.
@@ -120,6 +121,14 @@ class PreparedData:
     target: str | None
     task: str
     errors: list[tuple[str, str, str, bool]]
+    #: Whether reading ``df`` again costs little more than reading files.
+    reread: bool = False
+
+
+def scaled_only(prepared: PreparedData) -> bool:
+    """Whether each feature is arithmetic on one number of its row."""
+    model = prepared.model
+    return isinstance(model, PrepModel) and not model.categorical and model.projection is None
 
 
 def imputed(column: Column, fill) -> Column:
@@ -139,13 +148,16 @@ def without_duplicates(df: DataFrame, duplicates: int | None = None) -> tuple[Da
     """(distinct rows, rows removed).
 
     Looking for equal rows shuffles hashes only, so a table without any is left as it
-    is; otherwise the distinct rows are written once for the passes that follow, and are
-    counted there, if the caller does not know the duplicates.
+    is; otherwise the distinct rows are written once for the passes that follow, in rounds if they
+    hold many values, and are counted there, if the caller does not know the duplicates.
     """
     if duplicates == 0 or (duplicates is None and repeated_hashes(df).isEmpty()):
         return df, 0
-    distinct = staged(deduplicate(df))
-    return distinct, df.count() - distinct.count() if duplicates is None else duplicates
+    rows = df.count()
+    cuts = rounds(", ".join(map(quoted, df.columns)), rows * len(df.columns))
+    parts = [staged(deduplicate(df.filter(cut)), drop_shuffles=len(cuts) > 1) for cut in cuts]
+    distinct = reduce(DataFrame.unionByName, parts)
+    return distinct, rows - distinct.count() if duplicates is None else duplicates
 
 
 def present_counts(df: DataFrame, names: list[str]) -> tuple[int, dict[str, int]]:

@@ -8,13 +8,15 @@ themselves: these go through one unpivot per value type, pre-aggregated by
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import double_sql, literal_rows, present_sql, quoted, text_sql
 from tabloom.functions.roles import column_roles
-from tabloom.plans.ordered import by_family, value_facts
-from tabloom.session import staged
+from tabloom.plans.ordered import by_family, rounds, value_facts
+from tabloom.session import shuffles_dropped, staged
 
 HIGH_MISSING_PCT = 50.0
 #: Hashes of repeated rows up to which their table, eight bytes each, is broadcast.
@@ -27,10 +29,17 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 
 def repeated_hashes(df: DataFrame) -> DataFrame:
-    """The 64-bit row hashes ``_h`` that occur more than once, written; without any, no two rows are equal."""
+    """The 64-bit row hashes ``_h`` that occur more than once, written; without any, no two rows are equal.
+
+    Large tables are done in rounds, and a round's shuffle files go when it is written.
+    """
     names = [f"c{i}" for i in range(len(df.columns))]
     hashed = df.toDF(*names).select(F.xxhash64(*names).alias("_h"))
-    return staged(hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h"))
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        return staged(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h"), drop_shuffles=True)
+
+    return reduce(DataFrame.unionByName, [repeated(hashed.filter(cut)) for cut in rounds("_h", df.count())])
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -39,7 +48,7 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     Rows are counted by a 64-bit hash first, and the hashes that occur more than once are written.  Only rows
     with such a hash are compared in full, so mostly distinct tables shuffle a hash a row; which way the second
     step goes is decided by the number of these hashes, not by an estimate.  Beyond ``BROADCAST_HASHES`` all rows
-    are grouped, equal ones combined before the shuffle.
+    are grouped, equal ones combined before the shuffle, in rounds if they hold many values.
     """
     names = [f"c{i}" for i in range(len(df.columns))]
     plain = df.toDF(*names)
@@ -48,9 +57,19 @@ def duplicate_count(df: DataFrame) -> DataFrame:
     known = repeated.count()
     if not known:
         return literal_rows(df.sparkSession, [(0,)], "duplicate_count bigint")
-    held = hashed.join(F.broadcast(repeated), "_h", "left_semi") if known <= BROADCAST_HASHES else plain
-    copies = held.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-    return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_count"))
+
+    def beyond_first(rows: DataFrame) -> DataFrame:
+        copies = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+        return copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_count"))
+
+    if known <= BROADCAST_HASHES:
+        return beyond_first(hashed.join(F.broadcast(repeated), "_h", "left_semi"))
+    cuts = rounds("_h", df.count() * len(names))
+    if len(cuts) == 1:
+        return beyond_first(plain)
+    with shuffles_dropped(df.sparkSession):
+        found = sum(beyond_first(hashed.filter(cut)).first()[0] for cut in cuts)
+    return literal_rows(df.sparkSession, [(found,)], "duplicate_count bigint")
 
 
 def _missing_facts(df: DataFrame) -> DataFrame:

@@ -10,18 +10,19 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 
 from pyspark import inheritable_thread_target
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.columns import present, ref
-from tabloom.models import select_zoo
+from tabloom.models import base, select_zoo
 from tabloom.models.base import Fold, ModelSpec, sized, vector_rows, with_array
 from tabloom.operators.metrics import classification_metrics, cluster_counts, regression_metrics
 from tabloom.operators.prepare import PreparedData
 from tabloom.operators.rank import RECORD_SCHEMA
 from tabloom.operators.silhouette import silhouette
 from tabloom.operators.split import sized_hint, train_test_split
-from tabloom.session import ensure_checkpoint_dir, settle
+from tabloom.session import ensure_checkpoint_dir, settle, staged
 from tabloom.sources.tables import require_min_rows
 
 MAX_WORKERS = 4
@@ -46,9 +47,10 @@ def _expected_length(spec: ModelSpec) -> int:
     return FAMILIES_BY_LENGTH.index(spec.family) if known else len(FAMILIES_BY_LENGTH)
 
 
-def _classes(rows: DataFrame, target: str) -> list:
-    """All classes in order; their list has to fit the driver, as the models keep a row per class anyway."""
-    return sorted(r[0] for r in rows.select(ref(target)).distinct().collect())
+def _classes(rows: DataFrame, target: str) -> tuple[list, int]:
+    """All classes in order, and the rows; the list has to fit the driver, as the models keep a row per class anyway."""
+    found = rows.groupBy(ref(target)).agg(F.count(F.lit(1))).collect()
+    return sorted(r[0] for r in found), sum(r[1] for r in found)
 
 
 def _one(classes: list) -> float | None:
@@ -66,7 +68,9 @@ def _one(classes: list) -> float | None:
 def folds(prepared: PreparedData) -> Iterator[Fold]:
     """The rows all models share, split once, written once and held in memory while in use.
 
-    Row ids and the split must be the same for every model, hence the written copy.
+    Row ids and the split must be the same for every model, hence the written copy.  Beyond ``HELD_VALUES`` feature
+    values, copies in files, shuffles and memory would fill many times the disk of the table: the rows are then
+    written at most once, and each pass reads them again and tells the split by their content.
     """
     features, target, width = prepared.feature_cols, prepared.target, prepared.model.feature_count
     if target is None:
@@ -84,19 +88,20 @@ def folds(prepared: PreparedData) -> Iterator[Fold]:
     known = prepared.df.filter(present(prepared.df, target).isNotNull())
     classes: list = []
     if prepared.task == "classification":
-        classes = _classes(known, target)
+        classes, total = _classes(known, target)
         split = train_test_split(known, by=target if len(classes) > 1 else None)
         spark, kind = known.sparkSession, known.schema[target].dataType.simpleString()
         numbers = spark.createDataFrame([(c, float(i)) for i, c in enumerate(classes)], f"_class {kind}, _label double")
         split = split.join(sized_hint(numbers, len(classes)), ref(target) == F.col("_class")).drop("_class")
         label = F.col("_label")
     else:
-        split = train_test_split(known)
+        split, total = train_test_split(known), known.count()
         label = ref(target).cast("double")
-    rows = settle(
-        vector_rows(split.withColumn("_label", label), features, F.col("_label").alias("label"), "is_test").drop("x")
-        .withColumn("id", F.monotonically_increasing_id())
-    )
+    rows = vector_rows(split.withColumn("_label", label), features, F.col("_label").alias("label"), "is_test")
+    if total * width > base.HELD_VALUES:
+        yield _read_anew(rows, width, classes, prepared.reread)
+        return
+    rows = settle(rows.drop("x").withColumn("id", F.monotonically_increasing_id()))
     sizes = rows.groupBy("is_test").count().collect()
     n = {r.is_test: r["count"] for r in sizes}
     n_train, n_test = n.get(False, 0), n.get(True, 0)
@@ -115,6 +120,21 @@ def folds(prepared: PreparedData) -> Iterator[Fold]:
         test.unpersist()
 
 
+def _read_anew(rows: DataFrame, width: int, classes: list, reread: bool) -> Fold:
+    """A fold that keeps nothing in memory; rows that are costly to read again are written first, features once."""
+    if not reread:
+        written = staged(rows.drop("features") if "x" in rows.columns else rows)
+        rows = written.withColumn("features", array_to_vector("x")) if "x" in written.columns else written
+    n, class_rows = {False: 0, True: 0}, [0] * len(classes)
+    for r in rows.groupBy("is_test", *(["label"] if classes else [])).count().collect():
+        n[r.is_test] += r["count"]
+        if classes and not r.is_test:
+            class_rows[int(r.label)] = r["count"]
+    rows = with_array(rows.withColumn("id", F.monotonically_increasing_id()))
+    train, test = rows.filter(~F.col("is_test")).drop("is_test"), rows.filter("is_test").drop("is_test")
+    return Fold(train, test, n[False], n[True], width, classes, class_rows, held=False)
+
+
 def _scores(task: str, predicted: DataFrame, fold: Fold, silhouette_method: str) -> dict[str, float]:
     if task == "clustering":
         counts = cluster_counts(predicted, "prediction").first()
@@ -141,7 +161,8 @@ def run_one(spec: ModelSpec, task: str, fold: Fold, silhouette_method: str = "sq
     record |= {"family": spec.family, "task_type": task, "params": dict(spec.params)}
     try:
         predicted, found = spec.run(fold)
-        predicted = predicted.persist()
+        # No score of labelled rows asks for their ids.
+        predicted = (predicted if task == "clustering" else predicted.drop("id")).persist()
         try:
             record["metrics"] = _scores(task, predicted, fold, silhouette_method)
         finally:

@@ -17,10 +17,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tabloom.functions.columns import as_double, is_fractional, is_integral, present_sql
-from tabloom.session import settle, staged
+from tabloom.session import shuffles_dropped, staged
 
 #: Rows up to which a bracket or a running sum is finished in one task.
 SINGLE_TASK_ROWS = 200_000
+#: Values that are shuffled at once; more are dealt by their hash over rounds, and a round's files go before the next one.
+VALUES_AT_ONCE = 100_000_000
 
 
 @dataclass
@@ -63,19 +65,19 @@ def _narrow(df: DataFrame, columns: list[Column], ranks: list[_Rank], accuracy:
         for i, r in enumerate(group):
             r.bounds = (guess[2 * i], guess[2 * i + 1])
 
-    counts = []
-    for r in ranks:
+    counts: dict[tuple, Column] = {}
+    for r in ranks:  # neighbouring ranks mostly share bracket and guess
         x = _between(columns[r.slot], r)
         a, b = (F.lit(v) for v in r.bounds)
-        counts.append(
-            F.struct(
-                F.count_if(x < a).alias("lt_a"),
-                F.count_if(x == a).alias("eq_a"),
-                F.count_if((x > a) & (x < b)).alias("mid"),
-                F.count_if(x == b).alias("eq_b"),
-            )
+        counts[r.slot, r.low, r.high, r.bounds] = F.struct(
+            F.count_if(x < a).alias("lt_a"),
+            F.count_if(x == a).alias("eq_a"),
+            F.count_if((x > a) & (x < b)).alias("mid"),
+            F.count_if(x == b).alias("eq_b"),
         )
-    for r, c in zip(ranks, df.agg(*counts).first(), strict=True):
+    found = dict(zip(counts, df.agg(*counts.values()).first(), strict=True))
+    asked = [(r, (r.slot, r.low, r.high, r.bounds)) for r in ranks]
+    for r, c in [(r, found[key]) for r, key in asked]:
         a, b = r.bounds
         offset = r.k - r.below
         if offset < c.lt_a:
@@ -133,8 +135,12 @@ def value_facts(
 
     The different values of all columns are counted, partial counts first, and put in one order by
     range partitioning.  The driver sees one count per column and partition; the
-    partitions that hold a sought rank then add up their own counts.
+    partitions that hold a sought rank then add up their own counts.  Beyond ``VALUES_AT_ONCE`` values, which would
+    fill the disk twice over, brackets are narrowed instead and distinct values are counted column by column in rounds.
     """
+    if sum(counts[n] for n in names) > VALUES_AT_ONCE:
+        quantiles_of = narrowed_quantiles(df, names, fractions, counts)
+        return {n: (quantiles_of[n], _distinct_in_rounds(df, n, counts[n])) for n in names}
     result: dict[str, tuple[list[float | None], int]] = {n: ([None] * len(fractions), 0) for n in names}
     for family, members in by_family(df, [n for n in names if counts[n]]).items():
         slim = df.selectExpr(*[f"cast({present_sql(df, n)} as {family}) as `{i}`" for i, n in enumerate(members)])
@@ -165,12 +171,30 @@ def value_facts(
             quantiles_of = []
             for q in fractions:
                 place = (counts[name] - 1) * q
-                low, high = found[slot, math.floor(place)], found[slot, math.ceil(place)]
-                quantiles_of.append(low + (high - low) * (place - math.floor(place)) if low != high else low)
+                quantiles_of.append(_between_ranks(found[slot, math.floor(place)], found[slot, math.ceil(place)], place))
             result[name] = (quantiles_of, distinct[name])
     return result
 
 
+def _between_ranks(low: float, high: float, place: float) -> float:
+    """The quantile at ``place`` from the values at the ranks around it."""
+    return low + (high - low) * (place - math.floor(place)) if low != high else low
+
+
+def rounds(key: str, values: int) -> list[str]:
+    """Conditions that deal rows by the hash of ``key`` over rounds of about ``VALUES_AT_ONCE`` values; equal keys share one."""
+    n = max(1, -(-values // VALUES_AT_ONCE))
+    return [f"pmod(xxhash64({key}), {n}) = {i}" for i in range(n)] if n > 1 else ["true"]
+
+
+def _distinct_in_rounds(df: DataFrame, name: str, count: int) -> int:
+    """Exact distinct values of one column, compared in its family's type."""
+    family = next(iter(by_family(df, [name])))
+    values = df.selectExpr(f"cast({present_sql(df, name)} as {family}) as value").filter("value is not null")
+    with shuffles_dropped(df.sparkSession):
+        return sum(values.filter(cut).distinct().count() for cut in rounds("value", count)) if count else 0
+
+
 def by_family(df: DataFrame, names: list[str]) -> dict[str, list[str]]:
     """Columns by the type their values are compared in."""
     families: dict[str, list[str]] = {}
@@ -193,6 +217,8 @@ def quantiles(
 
     ``counts`` holds the present values per column, which the caller has from an earlier pass.
     """
+    if sum(counts[n] for n in names) > VALUES_AT_ONCE:
+        return narrowed_quantiles(df, names, fractions, counts)
     return {n: q for n, (q, _) in value_facts(df, names, fractions, counts).items()}
 
 
@@ -214,8 +240,7 @@ def narrowed_quantiles(
         values = []
         for q in fractions:
             place = places[slot, q]
-            low, high = found[slot, math.floor(place)], found[slot, math.ceil(place)]
-            values.append(low + (high - low) * (place - math.floor(place)))
+            values.append(_between_ranks(found[slot, math.floor(place)], found[slot, math.ceil(place)], place))
         result[name] = values
     return result
 
@@ -234,7 +259,7 @@ def running_sums(
         whole = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(c).over(whole).alias(new) for new, c in sums.items()])
 
-    placed = settle(
+    placed = staged(
         df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from tabloom.functions.columns import literal_rows
+from tabloom.models import base
 from tabloom.operators.detect import class_balance, detect_target, detect_task, is_imbalanced
 from tabloom.operators.features import LOG_SCHEMA as FEATURE_LOG_SCHEMA
 from tabloom.operators.features import apply_features
-from tabloom.operators.prepare import PreparedData, preprocess, without_duplicates
+from tabloom.operators.prepare import PreparedData, preprocess, scaled_only, without_duplicates
 from tabloom.operators.profile import missing_total, profile
 from tabloom.operators.rank import (
     ERROR_SCHEMA,
@@ -23,7 +24,7 @@ from tabloom.operators.rank import (
 )
 from tabloom.operators.suggest import feature_suggestions
 from tabloom.plans.experiments import run_experiments
-from tabloom.session import staged
+from tabloom.session import only_read, staged
 from tabloom.sources.tables import require_non_empty, write_table
 
 
@@ -121,8 +122,11 @@ def _run(
         made, found.target_column, found.task_type, reduction=reduction, components=components,
         exact=exact, dedupe=False, medians=medians,
     )
-    # The clean table is a result of its own, and every model reads it.
-    prepared.df = staged(prepared.df)
+    # The clean table is a result of its own, and every model reads it.  A large one that is no more than files with
+    # scaled numbers is not written: its doubles would fill several times the disk of those files.
+    if not (scaled_only(prepared) and table.first().num_rows * prepared.model.feature_count > base.HELD_VALUES and only_read(made)):
+        prepared.df = staged(prepared.df)
+    prepared.reread = True
     if removed:
         note = literal_rows(
             spark, [("dataset", "deduplication", f"{removed} duplicate rows")], prepared.log.schema

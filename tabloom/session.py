@@ -58,6 +58,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def only_read(df: DataFrame) -> bool:
+    """Whether ``df`` is Parquet files with columns worked out row by row, the same each time it is read."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    open_nodes = [plan]
+    while open_nodes:
+        node = open_nodes.pop()
+        children = node.children()
+        if node.nodeName() == "LogicalRelation":
+            if not node.toString().rstrip().endswith(" parquet"):
+                return False
+        elif node.nodeName() not in ("Project", "Filter", "Union") or children.isEmpty():
+            return False
+        open_nodes += [children.apply(i) for i in range(children.size())]
+    return plan.deterministic()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and go on from the written copy.
 
@@ -80,7 +96,7 @@ def _read_in_batches(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 @contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Queries that start within remove their shuffle files when they end; the setting is put back."""
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
@@ -107,6 +123,6 @@ def staged(df: DataFrame, texts: bool = False, drop_shuffles: bool = False) -> D
             settings.enter_context(_read_in_batches(spark, TEXT_ROWS))
             write = write.option("parquet.block.size", TEXT_GROUP_BYTES)
         if drop_shuffles:
-            settings.enter_context(_shuffles_dropped(spark))
+            settings.enter_context(shuffles_dropped(spark))
         write.parquet(path)
     return spark.read.parquet(path)

@@ -1,12 +1,17 @@
 import time
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tabloom import AllExperimentsFailed, preprocess, run_experiments, run_pipeline, run_report, select_zoo
+from tabloom.models import base, classification
 from tabloom.models.base import ModelSpec, sized
+from tabloom.plans import ordered
 from tabloom.plans.experiments import folds
+from tabloom.session import ensure_checkpoint_dir
 
 
 def classified(spark, n=240, classes=2, kind="int"):
@@ -209,3 +214,61 @@ def test_boosting_over_merged_rows_equals_boosting_over_single_rows(spark, monke
         assert len(found) == fold.n_test and fold.n_train > 400
     assert trained == [25]
     assert found == pytest.approx(single, abs=1e-6)
+
+
+def written(spark, since=()):
+    """Files of the checkpoint folder with their bytes, without those of ``since``."""
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    return {p: p.stat().st_size for p in folder.rglob("*") if p.is_file() and p not in since}
+
+
+def test_a_large_table_is_not_copied_for_its_models(spark, tmp_path, monkeypatch):
+    """Beyond the limits, files with plain numbers are read again instead of being written as scaled doubles, twice and more."""
+    classified(spark, 4_000).coalesce(1).write.parquet(str(tmp_path / "rows"))
+    df, zoo = spark.read.parquet(str(tmp_path / "rows")), small("classification", "logistic_regression", "majority_class")
+    expected = by_name(run_pipeline(df, "target", scope={"zoo": zoo}).records)
+    monkeypatch.setattr(base, "HELD_VALUES", 100, raising=False)
+    monkeypatch.setattr(ordered, "VALUES_AT_ONCE", 3_000, raising=False)
+    before = written(spark)
+    result = run_pipeline(df, "target", scope={"zoo": zoo})
+    found = by_name(result.records)
+    assert sum(written(spark, before).values()) < df.count() * 8
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+    assert result.prepared.df.count() == 4_000
+    for name, r in found.items():
+        assert (r.n_train_samples, r.n_test_samples) == (expected[name].n_train_samples, expected[name].n_test_samples)
+        assert r.metrics == pytest.approx(expected[name].metrics, abs=2e-3), name
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_rows_that_are_not_held_give_the_same_models(spark, monkeypatch, task):
+    df = classified(spark, 400).withColumn("target", F.expr("target" if task == "classification" else "a + b * c"))
+    zoo = small(task, "logistic_regression", "majority_class", "nearest_neighbours_5", "linear_regression", "mean_value")
+    held = by_name(run_experiments(preprocess(df, "target", task), zoo))
+    monkeypatch.setattr(base, "HELD_VALUES", 0)
+    with folds(preprocess(df, "target", task)) as fold:
+        assert not fold.held and "InMemory" not in fold.train._jdf.queryExecution().optimizedPlan().toString()
+    anew = by_name(run_experiments(preprocess(df, "target", task), zoo))
+    assert held.keys() == anew.keys() and len(held) > 1
+    for name, r in anew.items():
+        assert r.success and (r.n_train_samples, r.n_test_samples) == (held[name].n_train_samples, held[name].n_test_samples)
+        assert r.metrics == pytest.approx(held[name].metrics, rel=1e-3, nan_ok=True), name
+
+
+def test_newton_finds_the_coefficients_of_least_loss(spark, monkeypatch):
+    from pyspark.ml.classification import LogisticRegression
+
+    monkeypatch.setattr(base, "HELD_VALUES", 0)
+    df = classified(spark, 500).withColumn("e", F.col("a") * 2).withColumn("f", F.lit(1.0))  # one axis twice, and a constant
+    with folds(preprocess(df, "target")) as fold:
+        weights = classification._balanced(fold)
+        model = LogisticRegression(
+            maxIter=1000, tol=1e-12, regParam=1 / fold.n_train, standardization=False, weightCol="weight"
+        ).fit(classification._weighted(fold, weights))
+        found = classification._newton(fold, weights)
+        assert found[:-1] == pytest.approx(model.coefficients.toArray(), abs=1e-5)
+        assert found[-1] == pytest.approx(model.intercept, abs=1e-5)
+        scored = classification._logistic_predicted(fold, found).orderBy("score").collect()
+        expected = model.transform(fold.test).select("prediction", vector_to_array("probability")[1].alias("score")).orderBy("score").collect()
+        assert [r.score for r in scored] == pytest.approx([r.score for r in expected], abs=1e-5)
+        assert sum(r.prediction for r in scored) == pytest.approx(sum(r.prediction for r in expected), abs=1)

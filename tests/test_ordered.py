@@ -47,3 +47,31 @@ def test_running_sums_over_many_partitions(spark, limit):
     rows = ordered.running_sums(df, [F.col("k").desc()], {"upto": "v"}, limit=limit).orderBy(F.col("k").desc()).collect()
     assert [r.upto for r in rows] == np.cumsum([r.v for r in rows]).tolist()
     assert len(rows) == 1_000
+
+
+def test_value_facts_in_rounds_equal_those_at_once(spark, monkeypatch):
+    df, _ = table(spark)
+    df = df.selectExpr(
+        "a", "ties", "half", "wild", "cast(a * 100 as bigint) AS whole", "cast(ties as decimal(9, 2)) AS money",
+        "if(ties = 0, -0D, if(ties = 1, 0D, null)) AS zeros", "if(ties = 1, double('nan'), half) AS gaps", "cast(null as int) AS none",
+    )
+    counts = dict(zip(df.columns, df.agg(*[F.expr(f"count(nanvl({n}, null))") for n in df.columns]).first()))
+    expected = ordered.value_facts(df, df.columns, [0.25, 0.5, 0.75], counts)
+    monkeypatch.setattr(ordered, "VALUES_AT_ONCE", 700)
+    monkeypatch.setattr(ordered, "SINGLE_TASK_ROWS", 50)
+    found = ordered.value_facts(df, df.columns, [0.25, 0.5, 0.75], counts)
+    for name in df.columns:
+        assert found[name][1] == expected[name][1], name
+        assert found[name][0] == pytest.approx(expected[name][0], abs=1e-12), name
+
+
+def test_many_values_leave_no_written_table(spark, monkeypatch):
+    df, values = table(spark)
+    monkeypatch.setattr(ordered, "VALUES_AT_ONCE", 700, raising=False)
+
+    def write(*args, **kwargs):
+        raise AssertionError("no copy of the values is written")
+
+    monkeypatch.setattr(ordered, "staged", write)
+    facts = ordered.value_facts(df, ["a"], [0.5], {"a": len(values)})
+    assert facts["a"] == ([pytest.approx(np.quantile(values[:, 0], 0.5))], len(values))

@@ -1,5 +1,8 @@
 import pytest
 
+from tabloom.operators import profile as profile_module
+from tabloom.operators.prepare import without_duplicates
+from tabloom.plans import ordered
 from tabloom import (
     categorical_profile,
     duplicate_count,
@@ -115,3 +118,18 @@ def test_sketched_profile_is_checked_without_ordering_the_values(spark, monkeypa
     assert by_column(_near_exact(df, held))["a"]["quartiles_near"]
     more = numeric_profile(df, exact=False).selectExpr("* except (unique_count)", "unique_count * 2 + 2 as unique_count")
     assert not any(r["unique_near"] for r in by_column(_near_exact(df, more)).values())
+
+
+def test_duplicates_in_rounds(spark, monkeypatch):
+    rows = [(i % 40 if i % 7 else None, [0.0, -0.0, float("nan")][i % 3], f"t{i % 5}") for i in range(600)]
+    df = spark.createDataFrame(rows, "`a.b` int, x double, t string")
+    expected = df.count() - df.distinct().count()
+    monkeypatch.setattr(ordered, "VALUES_AT_ONCE", 100)
+    assert len(ordered.rounds("t", 600)) == 6
+    assert profile_module.duplicate_count(df).first()[0] == expected
+    monkeypatch.setattr(profile_module, "BROADCAST_HASHES", 0)
+    assert profile_module.duplicate_count(df).first()[0] == expected
+    distinct, removed = without_duplicates(df)
+    assert (removed, distinct.count(), distinct.distinct().count()) == (expected, 600 - expected, 600 - expected)
+    alone = spark.range(300).toDF("k")
+    assert profile_module.duplicate_count(alone).first()[0] == 0 and without_duplicates(alone) == (alone, 0)
